@@ -22,11 +22,6 @@ def floor_div(value: Column, divisor: int) -> Column:
     return F.call_function("div", value, F.lit(divisor).cast("bigint"))
 
 
-def ratio4(part: Column, whole: Column) -> Column:
-    """``part / whole`` to four places, half to even; the caller guards ``whole``."""
-    return F.bround(part.cast("double") / whole.cast("double"), 4)
-
-
 def uniform(*parts: Column | str) -> Column:
     """Deterministic draw in [0, 1) from the md5 of the joined parts."""
     joined = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from authsignal.config import ScaleLimits
@@ -27,17 +27,19 @@ def attach_by_key(
     * many keys, some hot: each hot key is cut into parts. The list of hot keys is bounded by
       ``limits.hot_keys`` because each of them holds more than that fraction of all rows.
     """
-    facts = written(facts, "facts")
-    size = facts.agg(
-        F.count("*").alias("n_keys"),
-        F.sum(weight).alias("total"),
-        F.max(weight).alias("top"),
-    ).first()
+    size = Observation()
+    facts = written(
+        facts.observe(
+            size, F.count("*").alias("n_keys"), F.sum(weight).alias("total"), F.max(weight).alias("top")
+        ),
+        "facts",
+    )
+    n_keys, total, top = (size.get[name] or 0 for name in ("n_keys", "total", "top"))
     plain = facts.drop(weight)
-    if size.n_keys <= limits.broadcast_rows:
+    if n_keys <= limits.broadcast_rows:
         return rows.join(F.broadcast(plain), key, how)
-    threshold = max(limits.hot_rows, (size.total or 0) // limits.hot_keys)
-    if (size.top or 0) <= threshold:
+    threshold = max(limits.hot_rows, total // limits.hot_keys)
+    if top <= threshold:
         return rows.join(plain, key, how)
 
     parts = F.ceil(F.col(weight) / F.lit(threshold)).cast("int")

@@ -170,7 +170,7 @@ def null_scheme_evidence(packets: DataFrame, cfg: DetectorConfig = DetectorConfi
     """Identity exposure: null scheme in dissected text, and as field value."""
     return packets.groupBy("capture").agg(
         F.sum(F.coalesce(occurrences(F.lower("info"), "null scheme"), F.lit(0))).alias("text_hits"),
-        F.count_if(null_scheme(cfg)).alias("field_hits"),
+        F.expr(f"count_if({null_scheme(cfg)})").alias("field_hits"),
         F.count("prot_scheme_id").alias("schemes_seen"),
     ).withColumn("detected", (F.col("text_hits") > 0) | (F.col("field_hits") > 0))
 

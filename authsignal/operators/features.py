@@ -12,12 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.config import DetectorConfig, ScaleLimits
-from authsignal.functions.columns import carries, filled, floor_div, ratio4
 from authsignal.sources.captures import with_capture_length
 
 COUNTERS = (
@@ -35,7 +33,7 @@ SEEN = ("null_seen", "watched_seen")
 
 @dataclass(frozen=True)
 class Layout:
-    """How windows lie on the time line of a capture."""
+    """How windows lie on the time line of a capture; its members are SQL expressions."""
 
     size_us: int
     step_us: int
@@ -53,73 +51,82 @@ class Layout:
     def pane_us(self) -> int:
         return gcd(self.size_us, self.step_us)
 
-    def counted(self) -> Column:
+    @property
+    def pane(self) -> str:
+        return f"rel_us div {self.pane_us}"
+
+    @property
+    def counted(self) -> str:
         """Packets that can count at all; a short capture excludes its own last instant."""
-        if not self.whole_short:
-            return F.lit(True)
-        return (F.col("capture_us") >= self.size_us) | (F.col("rel_us") < F.col("capture_us"))
+        return f"(capture_us >= {self.size_us} OR rel_us < capture_us)" if self.whole_short else "true"
 
-    def n_windows(self, capture_us: Column) -> Column:
+    @property
+    def n_windows(self) -> str:
         if self.whole_short:
-            return F.when(capture_us < self.size_us, F.lit(1).cast("bigint")).otherwise(
-                floor_div(capture_us - self.size_us, self.step_us) + 1
-            )
-        return F.greatest(F.lit(1).cast("bigint"), floor_div(capture_us + self.size_us - 1, self.size_us))
+            return f"if(capture_us < {self.size_us}, 1L, (capture_us - {self.size_us}) div {self.step_us} + 1)"
+        return f"greatest(1L, (capture_us + {self.size_us - 1}) div {self.size_us})"
 
-    def first_window(self, pane: Column) -> Column:
+    def first_window(self, pane: str) -> str:
         """First window that holds a whole pane."""
-        start = (pane + 1) * self.pane_us - self.size_us
-        return F.greatest(F.lit(0).cast("bigint"), floor_div(start + self.step_us - 1, self.step_us))
+        return f"greatest(0L, (({pane} + 1) * {self.pane_us} + {self.step_us - self.size_us - 1}) div {self.step_us})"
+
+    def last_window(self, pane: str) -> str:
+        return f"({pane} * {self.pane_us}) div {self.step_us}"
 
-    def last_window(self, pane: Column) -> Column:
-        return floor_div(pane * self.pane_us, self.step_us)
 
-    def pane(self) -> Column:
-        return floor_div(F.col("rel_us"), self.pane_us)
+def _carries(array: str, code: int) -> str:
+    """A multi-valued packet field holds a code; a packet matches once, however often."""
+    return f"coalesce(array_contains({array}, {code}), false)"
 
 
-def conditions(cfg: DetectorConfig) -> dict[str, Column]:
+def conditions(cfg: DetectorConfig) -> dict[str, str]:
     """What each counter counts; shared by batch windows, overrides and streams."""
     return {
-        "total_packets": F.lit(True),
-        "auth_requests": carries("nas_msg_types", cfg.auth_request),
-        "auth_failures": carries("nas_msg_types", cfg.auth_failure),
-        "reg_requests": carries("nas_msg_types", cfg.reg_request),
-        "reg_rejects": carries("nas_msg_types", cfg.reg_reject),
-        "sec_mode_cmds": carries("nas_msg_types", cfg.sec_mode_cmd),
-        "ng_setup_req": carries("ngap_procedures", cfg.ng_setup),
-        "sctp_abort": carries("sctp_chunk_types", cfg.sctp_abort),
+        "total_packets": "true",
+        "auth_requests": _carries("nas_msg_types", cfg.auth_request),
+        "auth_failures": _carries("nas_msg_types", cfg.auth_failure),
+        "reg_requests": _carries("nas_msg_types", cfg.reg_request),
+        "reg_rejects": _carries("nas_msg_types", cfg.reg_reject),
+        "sec_mode_cmds": _carries("nas_msg_types", cfg.sec_mode_cmd),
+        "ng_setup_req": _carries("ngap_procedures", cfg.ng_setup),
+        "sctp_abort": _carries("sctp_chunk_types", cfg.sctp_abort),
     }
 
 
-def null_scheme(cfg: DetectorConfig) -> Column:
-    return F.coalesce(F.col("prot_scheme_id") == cfg.null_scheme, F.lit(False))
+def _listed(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} IN ({', '.join(repr(v) for v in values)})" if values else "false"
 
 
-def watched(cfg: DetectorConfig) -> Column:
-    src, dst = F.col("src_ip").isin(*cfg.watch_list), F.col("dst_ip").isin(*cfg.watch_list)
-    return F.coalesce(src, F.lit(False)) | F.coalesce(dst, F.lit(False))
+def null_scheme(cfg: DetectorConfig) -> str:
+    return f"coalesce(prot_scheme_id = {cfg.null_scheme}, false)"
 
 
-def rogue_setup(cfg: DetectorConfig) -> Column:
+def watched(cfg: DetectorConfig) -> str:
+    return f"(coalesce({_listed('src_ip', cfg.watch_list)}, false) OR coalesce({_listed('dst_ip', cfg.watch_list)}, false))"
+
+
+def rogue_setup(cfg: DetectorConfig) -> str:
     """A set-up message whose sender is known and not on the allow list."""
-    unlisted = filled("src_ip") & ~F.trim("src_ip").isin(*cfg.setup_allow_list)
-    return carries("ngap_procedures", cfg.ng_setup) & F.coalesce(unlisted, F.lit(False))
+    unlisted = f"coalesce(trim(src_ip) <> '' AND NOT {_listed('trim(src_ip)', cfg.setup_allow_list)}, false)"
+    return f"({_carries('ngap_procedures', cfg.ng_setup)} AND {unlisted})"
 
 
 def panes(packets: DataFrame, cfg: DetectorConfig, layout: Layout) -> DataFrame:
     """One row per (capture, pane): counts inside windows, and whole-capture evidence."""
-    counted = layout.counted()
     tests = conditions(cfg)
-    return packets.groupBy("capture", layout.pane().alias("pane")).agg(
-        *[F.count_if(counted & tests[name]).alias(name) for name in COUNTERS],
-        F.max(counted & null_scheme(cfg)).alias("null_seen"),
-        F.max(counted & watched(cfg)).alias("watched_seen"),
-        F.count_if(tests["auth_failures"]).alias("all_failures"),
-        F.max(tests["sctp_abort"]).alias("any_abort"),
-        F.max(rogue_setup(cfg)).alias("any_rogue"),
-        F.max("capture_us").alias("capture_us"),
-        F.max(F.col("frame_no") == F.col("last_frame")).alias("has_last"),
+    keep = layout.counted
+    aggregates = {
+        **{name: f"count_if({keep} AND {tests[name]})" for name in COUNTERS},
+        "null_seen": f"bool_or({keep} AND {null_scheme(cfg)})",
+        "watched_seen": f"bool_or({keep} AND {watched(cfg)})",
+        "all_failures": f"count_if({tests['auth_failures']})",
+        "any_abort": f"bool_or({tests['sctp_abort']})",
+        "any_rogue": f"bool_or({rogue_setup(cfg)})",
+        "capture_us": "max(capture_us)",
+        "has_last": "bool_or(frame_no = last_frame)",
+    }
+    return packets.groupBy("capture", F.expr(f"{layout.pane} AS pane")).agg(
+        *[F.expr(f"{expression} AS {name}") for name, expression in aggregates.items()]
     )
 
 
@@ -130,46 +137,41 @@ def rand_repeats(packets: DataFrame, layout: Layout) -> DataFrame:
     are expanded, so the many unique values never are.
     """
     seen = (
-        packets.where(filled("rand") & layout.counted())
-        .groupBy("capture", "rand", layout.pane().alias("pane"))
-        .agg(F.count("*").alias("n"), F.max("capture_us").alias("capture_us"))
+        packets.where(f"rand IS NOT NULL AND rand <> '' AND {layout.counted}")
+        .groupBy("capture", "rand", F.expr(f"{layout.pane} AS pane"))
+        .agg(F.expr("count(*) AS n"), F.expr("max(capture_us) AS capture_us"))
     )
-    by_value = W.partitionBy("capture", "rand").orderBy("pane")
-    spans = (
-        seen.withColumn("earlier", F.lag("pane").over(by_value))
-        .select(
-            "capture",
-            layout.first_window(F.col("pane")).alias("lo"),
-            F.least(
-                layout.last_window(F.when(F.col("n") > 1, F.col("pane")).otherwise(F.col("earlier"))),
-                layout.n_windows(F.col("capture_us")) - 1,
-            ).alias("hi"),
-            (F.col("n") > 1).alias("twice"),
-            F.col("earlier").isNotNull().alias("again"),
+    latest = layout.last_window("if(n > 1, pane, earlier)")
+    return (
+        seen.selectExpr("*", "lag(pane) OVER (PARTITION BY capture, rand ORDER BY pane) AS earlier")
+        .where("n > 1 OR earlier IS NOT NULL")
+        .selectExpr(
+            "capture", f"{layout.first_window('pane')} AS lo", f"least({latest}, {layout.n_windows} - 1) AS hi"
         )
-        .where((F.col("twice") | F.col("again")) & (F.col("lo") <= F.col("hi")))
+        .where("lo <= hi")
+        .selectExpr("capture", "explode(sequence(lo, hi)) AS w")
+        .distinct()
     )
-    return spans.select("capture", F.explode(F.sequence("lo", "hi")).alias("w")).distinct()
 
 
 def _spread(pane_rows: DataFrame, layout: Layout, limits: ScaleLimits) -> DataFrame:
-    """Pane rows repeated for their windows, plus the empty grid from each capture's last pane."""
-    n = layout.n_windows(F.col("capture_us"))
+    """Pane rows repeated for their windows, plus the empty grid from each capture's last pane.
+
+    The grid comes in blocks, so no single row ever holds the window list of a very long capture.
+    """
     size = limits.span_block
-    blocks = F.sequence(F.lit(-1).cast("bigint"), floor_div(n - 1, size))
-    own = F.col("block") < 0
     return (
-        pane_rows.withColumn(
-            "block", F.explode(F.when(F.col("has_last"), blocks).otherwise(F.array(F.lit(-1).cast("bigint"))))
+        pane_rows.selectExpr(
+            "*", f"explode(if(has_last, sequence(-1L, ({layout.n_windows} - 1) div {size}), array(-1L))) AS block"
         )
-        .withColumn("lo", F.when(own, layout.first_window(F.col("pane"))).otherwise(F.col("block") * size))
-        .withColumn(
-            "hi",
-            F.least(F.when(own, layout.last_window(F.col("pane"))).otherwise((F.col("block") + 1) * size - 1), n - 1),
+        .selectExpr(
+            "*",
+            "block < 0 AS own",
+            f"if(block < 0, {layout.first_window('pane')}, block * {size}) AS lo",
+            f"least(if(block < 0, {layout.last_window('pane')}, block * {size} + {size - 1}), {layout.n_windows} - 1) AS hi",
         )
-        .where(F.col("lo") <= F.col("hi"))
-        .withColumn("w", F.explode(F.sequence("lo", "hi")))
-        .withColumn("own", own)
+        .where("lo <= hi")
+        .selectExpr("*", "explode(sequence(lo, hi)) AS w")
     )
 
 
@@ -178,65 +180,56 @@ def window_counts(
 ) -> DataFrame:
     """Raw counts per (capture, w); every window of the grid is present, also empty ones."""
     packets = with_capture_length(packets, limits=limits)
-    spread = _spread(panes(packets, cfg, layout), layout, limits)
-    counted = spread.select(
+    counted = _spread(panes(packets, cfg, layout), layout, limits).selectExpr(
         "capture",
         "w",
         "capture_us",
-        *[F.when(F.col("own"), F.col(c)).otherwise(F.lit(0)).cast("bigint").alias(c) for c in COUNTERS],
-        *[(F.col("own") & F.col(c)).alias(c) for c in SEEN],
-        F.lit(0).alias("rand_repeat"),
+        *[f"if(own, {c}, 0L) AS {c}" for c in COUNTERS],
+        *[f"own AND {c} AS {c}" for c in SEEN],
+        "0 AS rand_repeat",
     )
-    repeats = rand_repeats(packets, layout).select(
+    repeats = rand_repeats(packets, layout).selectExpr(
         "capture",
         "w",
-        F.lit(None).cast("bigint").alias("capture_us"),
-        *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
-        *[F.lit(False).alias(c) for c in SEEN],
-        F.lit(1).alias("rand_repeat"),
-    )
-    return (
-        counted.unionByName(repeats)
-        .groupBy("capture", "w")
-        .agg(
-            F.max("capture_us").alias("capture_us"),
-            *[F.sum(c).alias(c) for c in COUNTERS],
-            *[F.max(c).alias(c) for c in SEEN],
-            F.max("rand_repeat").alias("rand_repeat"),
-        )
+        "cast(NULL AS bigint) AS capture_us",
+        *[f"0L AS {c}" for c in COUNTERS],
+        *[f"false AS {c}" for c in SEEN],
+        "1 AS rand_repeat",
     )
+    totals = ["max(capture_us) AS capture_us", *[f"sum({c}) AS {c}" for c in COUNTERS]]
+    totals += [f"bool_or({c}) AS {c}" for c in SEEN] + ["max(rand_repeat) AS rand_repeat"]
+    return counted.union(repeats).groupBy("capture", "w").agg(*[F.expr(t) for t in totals])
+
+
+# ---- fixed formulas of the rates: four places, half to even, guarded denominators ----
+RATES = {
+    "auth_rate": "bround(cast(auth_requests AS double) / if(duration > 0, duration, 1.0D), 4)",
+    "reg_rate": "bround(cast(reg_requests AS double) / if(duration > 0, duration, 1.0D), 4)",
+    "reject_rate": "bround(cast(reg_rejects AS double) / greatest(reg_requests, 1L), 4)",
+    "auth_success_rate": "bround(cast(greatest(auth_requests - reg_rejects, 0L) AS double) / greatest(auth_requests, 1L), 4)",
+}
 
 
 def rate_columns(rows: DataFrame) -> DataFrame:
     """The four rates of a feature row from its counts and duration; a zero duration counts as one second."""
-    one = F.lit(1).cast("bigint")
-    safe = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.lit(1.0))
-    return (
-        rows.withColumn("auth_rate", ratio4(F.col("auth_requests"), safe))
-        .withColumn("reg_rate", ratio4(F.col("reg_requests"), safe))
-        .withColumn("reject_rate", ratio4(F.col("reg_rejects"), F.greatest(F.col("reg_requests"), one)))
-        .withColumn(
-            "auth_success_rate",
-            ratio4(F.greatest(F.col("auth_requests") - F.col("reg_rejects"), F.lit(0)), F.greatest(F.col("auth_requests"), one)),
-        )
-    )
+    return rows.selectExpr("*", *[f"{formula} AS {name}" for name, formula in RATES.items()])
 
 
 def derive(counts: DataFrame, cfg: DetectorConfig, layout: Layout) -> DataFrame:
     """Rates, flags and window bounds from raw counts; pure projection."""
     unit = float(cfg.unit_us)
-    size = F.lit(layout.size_us / unit)
-    duration = size
+    duration = f"{layout.size_us / unit}D"
     if layout.whole_short:
-        duration = F.when(F.col("capture_us") < layout.size_us, F.col("capture_us") / F.lit(unit)).otherwise(size)
-    start = F.col("w") * F.lit(layout.step_us / unit)
-    return (
-        rate_columns(counts.withColumn("duration", duration))
-        .withColumn("t_start", F.bround(start, 1))
-        .withColumn("t_end", F.bround(start + F.col("duration"), 1))
-        .withColumn("suci_unencrypted", (F.col("null_seen") & F.col("watched_seen")).cast("int"))
-        .withColumn("is_active", (F.col("total_packets") > cfg.active_packets).cast("int"))
+        duration = f"if(capture_us < {layout.size_us}, capture_us / {unit}D, {duration})"
+    start = f"w * {layout.step_us / unit}D"
+    bounded = counts.selectExpr(
+        "*",
+        f"{duration} AS duration",
+        f"bround({start}, 1) AS t_start",
+        "cast(null_seen AND watched_seen AS int) AS suci_unencrypted",
+        f"cast(total_packets > {cfg.active_packets} AS int) AS is_active",
     )
+    return rate_columns(bounded).selectExpr("*", f"bround({start} + duration, 1) AS t_end")
 
 
 FEATURE_COLUMNS = (

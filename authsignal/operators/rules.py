@@ -6,115 +6,117 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.config import SCORE_ORDER, SCORE_WEIGHTS, UNKNOWN, DetectorConfig
-from authsignal.functions.columns import first_match
 
-c = F.col
+EXPOSED = "suci_unencrypted = 1"
+DOWNGRADED = "reg_rejects >= 1 AND sec_mode_cmds >= 1"
 
 
-def _null_scheme_used() -> Column:
-    return c("suci_unencrypted") == 1
+def _first(rules: list[tuple[str, str]], otherwise: Column) -> Column:
+    """Class of the first rule that holds. The chain is one expression inside generated code."""
+    chain = F
+    for condition, name in rules:
+        chain = chain.when(F.expr(condition), name)
+    return chain.otherwise(otherwise)
 
 
-def _downgraded() -> Column:
-    return (c("reg_rejects") >= 1) & (c("sec_mode_cmds") >= 1)
+def _column(value: Column | str) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def online_class(cfg: DetectorConfig = DetectorConfig(), otherwise: Column | str = "model") -> Column:
     """Definitive rules of the online detector, on features after the whole-capture overrides."""
-    return first_match(
-        [
-            (_null_scheme_used(), "supi_harvest"),
-            (_downgraded(), "bidding_down"),
-            (c("auth_failures") >= cfg.online_failures, "brute_force"),
-            (c("sctp_abort") >= 1, "replay"),
-            (c("ng_setup_req") == cfg.rogue_sentinel, "false_bs"),
-        ],
-        otherwise,
-    )
+    rules = [
+        (EXPOSED, "supi_harvest"),
+        (DOWNGRADED, "bidding_down"),
+        (f"auth_failures >= {cfg.online_failures}", "brute_force"),
+        ("sctp_abort >= 1", "replay"),
+        (f"ng_setup_req = {cfg.rogue_sentinel}", "false_bs"),
+    ]
+    return _first(rules, _column(otherwise))
 
 
 def simple_class() -> Column:
     """First-match rules of the plain detector."""
-    guessing = (c("auth_rate") > 0.03) & (c("auth_success_rate") < 0.5)
-    return first_match(
-        [
-            (_null_scheme_used(), "supi_harvest"),
-            (_downgraded(), "bidding_down"),
-            ((c("ng_setup_req") >= 1) & (c("reg_rejects") == 0) & (c("suci_unencrypted") == 0), "false_bs"),
-            ((c("rand_repeat") == 1) | (c("sctp_abort") == 1), "replay"),
-            ((c("auth_failures") > 0) | guessing, "brute_force"),
-        ],
-        "normal",
-    )
+    rules = [
+        (EXPOSED, "supi_harvest"),
+        (DOWNGRADED, "bidding_down"),
+        ("ng_setup_req >= 1 AND reg_rejects = 0 AND suci_unencrypted = 0", "false_bs"),
+        ("rand_repeat = 1 OR sctp_abort = 1", "replay"),
+        ("auth_failures > 0 OR (auth_rate > 0.03D AND auth_success_rate < 0.5D)", "brute_force"),
+    ]
+    return _first(rules, F.lit("normal"))
 
 
 def offline_class(otherwise: Column | str = "model") -> Column:
     """Rules of the offline hybrid; whatever they leave goes to the model."""
-    return first_match(
-        [
-            (_null_scheme_used(), "supi_harvest"),
-            (_downgraded(), "bidding_down"),
-            (c("auth_failures") > 0, "brute_force"),
-            (c("sctp_abort") == 1, "replay"),
-        ],
-        otherwise,
-    )
-
-
-def weighted_conditions() -> dict[str, list[tuple[Column, int]]]:
-    """Conditions of the weighted detector with their weight in tenths, per class."""
-    requested = c("auth_requests") >= 1
-    return {
-        "brute_force": [
-            (c("auth_failures") > 0, 10),
-            (c("auth_rate") > 0.03, 3),
-            ((c("auth_success_rate") < 0.5) & requested, 3),
-            ((c("reg_rejects") == 0) & requested & (c("suci_unencrypted") == 0), 2),
-        ],
-        "supi_harvest": [(_null_scheme_used(), 10)],
-        "bidding_down": [
-            (c("reg_rejects") >= 1, 5),
-            (_downgraded(), 4),
-            (c("reject_rate") >= 0.3, 2),
-        ],
-        "false_bs": [
-            ((c("ng_setup_req") >= 1) & (c("reg_rejects") == 0), 6),
-            ((c("ng_setup_req") >= 1) & requested, 3),
-        ],
-        "replay": [((c("rand_repeat") == 1) | (c("sctp_abort") == 1), 10)],
-        "normal": [
-            ((c("suci_unencrypted") == 0) & (c("rand_repeat") == 0), 2),
-            ((c("reg_rejects") == 0) & (c("auth_success_rate") >= 0.8), 3),
-            ((c("reject_rate") == 0) & (c("ng_setup_req") == 0), 2),
-        ],
-    }
+    rules = [
+        (EXPOSED, "supi_harvest"),
+        (DOWNGRADED, "bidding_down"),
+        ("auth_failures > 0", "brute_force"),
+        ("sctp_abort = 1", "replay"),
+    ]
+    return _first(rules, _column(otherwise))
+
+
+# ---- fixed values: conditions of the weighted detector and their weight in tenths ----
+WEIGHTED_CONDITIONS = {
+    "brute_force": (
+        ("auth_failures > 0", 10),
+        ("auth_rate > 0.03D", 3),
+        ("auth_success_rate < 0.5D AND auth_requests >= 1", 3),
+        ("reg_rejects = 0 AND auth_requests >= 1 AND suci_unencrypted = 0", 2),
+    ),
+    "supi_harvest": (("suci_unencrypted = 1", 10),),
+    "bidding_down": (
+        ("reg_rejects >= 1", 5),
+        ("sec_mode_cmds >= 1 AND reg_rejects >= 1", 4),
+        ("reject_rate >= 0.3D", 2),
+    ),
+    "false_bs": (
+        ("ng_setup_req >= 1 AND reg_rejects = 0", 6),
+        ("ng_setup_req >= 1 AND auth_requests >= 1", 3),
+    ),
+    "replay": (("rand_repeat = 1 OR sctp_abort = 1", 10),),
+    "normal": (
+        ("suci_unencrypted = 0 AND rand_repeat = 0", 2),
+        ("reg_rejects = 0 AND auth_success_rate >= 0.8D", 3),
+        ("reject_rate = 0 AND ng_setup_req = 0", 2),
+    ),
+}
 
 
 def with_weighted_scores(rows: DataFrame) -> DataFrame:
     """Adds ``score_<class>`` in tenths for the six classes."""
-    scores = {}
-    for name, parts in weighted_conditions().items():
-        total = F.lit(0)
-        for condition, weight in parts:
-            total = total + F.when(condition, F.lit(weight)).otherwise(F.lit(0))
-        scores[f"score_{name}"] = total
-    return rows.withColumns(scores)
+    scores = [
+        " + ".join(f"if({condition}, {weight}, 0)" for condition, weight in parts) + f" AS score_{name}"
+        for name, parts in WEIGHTED_CONDITIONS.items()
+    ]
+    return rows.selectExpr("*", *scores)
+
+
+# the highest score and its class as one number: the score times eight, plus a rank that settles ties
+_BEST = "greatest(" + ", ".join(
+    f"score_{name} * 8 + {len(SCORE_ORDER) - 1 - i}" for i, name in enumerate(SCORE_ORDER)
+) + ")"
 
 
 def weighted_class() -> Column:
     """Class of the highest score on rows from :func:`with_weighted_scores`; ties go to the first."""
-    best = F.greatest(*[c(f"score_{name}") for name in SCORE_ORDER])
-    return first_match([(c(f"score_{name}") == best, name) for name in SCORE_ORDER])
+    names = ", ".join(f"'{name}'" for name in reversed(SCORE_ORDER))
+    return F.expr(f"elt({_BEST} % 8 + 1, {names})")
+
+
+def score_share() -> Column:
+    """Share of the highest score in all six, a confidence that needs no model."""
+    total = " + ".join(f"score_{name}" for name in SCORE_ORDER)
+    return F.expr(f"({_BEST} div 8) / greatest({total}, 1)")
 
 
 def window_score() -> Column:
     """How suspicious a window looks; used to pick one window per capture."""
-    total = F.lit(0).cast("bigint")
-    for name, weight in SCORE_WEIGHTS.items():
-        total = total + c(name) * weight
-    return total
+    return F.expr(" + ".join(f"{weight}L * {name}" for name, weight in SCORE_WEIGHTS.items()))
 
 
-def gated(prediction: Column, confidence: Column, method: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
+def gated(prediction: Column, confidence: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
     """Model verdicts below the gate become unknown; a verdict exactly at the gate is kept."""
-    return F.when((method == "rf") & (confidence < cfg.confidence_gate), F.lit(UNKNOWN)).otherwise(prediction)
+    return F.when(confidence < cfg.confidence_gate, F.lit(UNKNOWN)).otherwise(prediction)

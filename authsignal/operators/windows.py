@@ -36,36 +36,30 @@ def capture_verdict_inputs(
     """
     layout = Layout.tumbling(cfg)
     packets = with_capture_length(packets, unreadable_us=cfg.window_us, limits=limits)
-    rows = panes(packets, cfg, layout).withColumn(
-        "suci_unencrypted", (F.col("null_seen") & F.col("watched_seen")).cast("int")
-    )
-    inside = F.col("pane") < layout.n_windows(F.col("capture_us"))
-    window = F.struct(F.col("pane").alias("w"), window_score().alias("score"), *COUNTERS, *SEEN)
-    rank = F.when(inside, F.struct(window_score().alias("score"), (-F.col("pane")).alias("earliest")))
+    rows = panes(packets, cfg, layout).selectExpr("*", "cast(null_seen AND watched_seen AS int) AS suci_unencrypted")
+    rows = rows.select("*", window_score().alias("score"))
     per_capture = rows.groupBy("capture").agg(
-        F.max_by(window, rank).alias("best"),
-        F.max("capture_us").alias("capture_us"),
-        F.sum("all_failures").alias("all_failures"),
-        F.max("any_abort").alias("any_abort"),
-        F.max("any_rogue").alias("any_rogue"),
+        F.expr(
+            f"max_by(struct(pane AS w, score, {', '.join(COUNTERS + SEEN)}), "
+            f"if(pane < {layout.n_windows}, struct(score, -pane AS earliest), NULL)) AS best"
+        ),
+        F.expr("max(capture_us) AS capture_us"),
+        F.expr("sum(all_failures) AS all_failures"),
+        F.expr("bool_or(any_abort) AS any_abort"),
+        F.expr("bool_or(any_rogue) AS any_rogue"),
     )
-    zero = F.lit(0).cast("bigint")
-    chosen = per_capture.select(
+    chosen = per_capture.selectExpr(
         "capture",
         "capture_us",
         "all_failures",
         "any_abort",
         "any_rogue",
-        F.coalesce("best.w", zero).alias("w"),
-        F.coalesce("best.score", zero).alias("score"),
-        *[F.coalesce(f"best.{name}", zero).alias(name) for name in COUNTERS],
-        *[F.coalesce(f"best.{name}", F.lit(False)).alias(name) for name in SEEN],
-    )
-    repeated = rand_repeats(packets, layout).withColumn("rand_repeat", F.lit(1))
-    chosen = chosen.join(repeated, ["capture", "w"], "left").withColumn(
-        "rand_repeat", F.coalesce("rand_repeat", F.lit(0))
+        *[f"coalesce(best.{name}, 0L) AS {name}" for name in ("w", "score", *COUNTERS)],
+        *[f"coalesce(best.{name}, false) AS {name}" for name in SEEN],
     )
-    return derive(chosen, cfg, layout)
+    repeated = rand_repeats(packets, layout).selectExpr("capture", "w", "1 AS repeated")
+    chosen = chosen.join(repeated, ["capture", "w"], "left").selectExpr("*", "coalesce(repeated, 0) AS rand_repeat")
+    return derive(chosen.drop("repeated"), cfg, layout)
 
 
 def best_window(feature_rows: DataFrame) -> DataFrame:
@@ -81,13 +75,12 @@ def best_window(feature_rows: DataFrame) -> DataFrame:
 
 def apply_overrides(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Whole-capture evidence written over the features of the chosen window."""
-    return (
-        rows.withColumn("sctp_abort", F.when(F.col("any_abort"), F.lit(1).cast("bigint")).otherwise(F.col("sctp_abort")))
-        .withColumn("auth_failures", F.greatest("auth_failures", "all_failures"))
-        .withColumn(
-            "ng_setup_req",
-            F.when(F.col("any_rogue"), F.lit(cfg.rogue_sentinel).cast("bigint")).otherwise(F.col("ng_setup_req")),
-        )
+    return rows.withColumns(
+        {
+            "sctp_abort": F.expr("if(any_abort, 1L, sctp_abort)"),
+            "auth_failures": F.greatest("auth_failures", "all_failures"),
+            "ng_setup_req": F.expr(f"if(any_rogue, {cfg.rogue_sentinel}L, ng_setup_req)"),
+        }
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from authsignal.config import MODEL_FEATURES, SCORE_ORDER, DetectorConfig, ScaleLimits
 from authsignal.operators import forest
 from authsignal.operators.respond import online_actions
-from authsignal.operators.rules import gated, online_class, weighted_class, with_weighted_scores
+from authsignal.operators.rules import gated, online_class, score_share, weighted_class, with_weighted_scores
 from authsignal.operators.windows import apply_overrides, capture_verdict_inputs
 
 
@@ -28,21 +28,16 @@ def decide(
     fallback_confidence: str,
 ) -> DataFrame:
     """Rules first; the rest takes the fallback verdict, subject to the confidence gate."""
-    rule = online_class(cfg, otherwise=F.lit(None).cast("string"))
-    ruled = rows.withColumn("rule_class", rule)
-    method = F.when(F.col("rule_class").isNotNull(), "rule").otherwise("rf")
-    confidence = F.when(F.col("rule_class").isNotNull(), F.lit(1.0)).otherwise(F.col(fallback_confidence))
-    return (
-        ruled.withColumn("method", method)
-        .withColumn("exact_confidence", confidence)
-        .withColumn(
-            "prediction",
-            gated(F.coalesce("rule_class", fallback_class), F.col("exact_confidence"), F.col("method"), cfg),
-        )
-        .withColumn("confidence", F.bround("exact_confidence", 3))
-        .withColumn("actions", online_actions(F.col("prediction"), cfg))
-        .drop("rule_class", "exact_confidence")
-    )
+    left = gated(F.col(fallback_class), F.col(fallback_confidence), cfg)
+    ruled = online_class(cfg, otherwise=F.lit(None).cast("string")).isNotNull()
+    confidence = F.when(ruled, F.lit(1.0)).otherwise(F.bround(fallback_confidence, 3))
+    return rows.withColumns(
+        {
+            "prediction": online_class(cfg, otherwise=left),
+            "confidence": confidence,
+            "method": F.when(ruled, "rule").otherwise("rf"),
+        }
+    ).withColumn("actions", online_actions(F.col("prediction"), cfg))
 
 
 def detect(
@@ -57,14 +52,10 @@ def detect(
 
 
 def with_score_share(rows: DataFrame) -> DataFrame:
-    """Weighted class and its share of all weighted scores, a confidence that needs no model."""
-    scored = with_weighted_scores(rows)
-    columns = [F.col(f"score_{name}") for name in SCORE_ORDER]
-    total = sum(columns[1:], columns[0])
-    share = F.when(total > 0, F.greatest(*columns) / total).otherwise(F.lit(0.0))
+    """Weighted class and its share of all weighted scores."""
     return (
-        scored.withColumn("weighted_class", weighted_class())
-        .withColumn("score_share", share)
+        with_weighted_scores(rows)
+        .withColumns({"weighted_class": weighted_class(), "score_share": score_share()})
         .drop(*[f"score_{name}" for name in SCORE_ORDER])
     )
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.config import LABELS, DetectorConfig, ScaleLimits
-from authsignal.functions.columns import first_match
 from authsignal.sources.captures import with_capture_clock
 
 ADAPTER = replace(DetectorConfig(), unit_us=8_640_000_000, active_packets=10)
@@ -23,71 +22,46 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-def _every(n: int):
-    return F.col("event_id") % n == 0
+CAPTURE = "concat(cast(user_id AS string), '-', cast((dayofmonth(ts) - 1) div 6 AS string)) AS capture"
+
+FRAME_COLUMNS = (
+    CAPTURE,
+    "event_id AS frame_no",
+    "unix_micros(cast(ts AS timestamp)) AS ts_us",
+    "concat('10.10.0.', cast(30 + event_id % 25 AS string)) AS src_ip",
+    "'10.10.0.12' AS dst_ip",
+    "CASE event_id % 4 WHEN 0 THEN 'SCTP' WHEN 1 THEN 'NGAP' WHEN 2 THEN 'NGAP/NAS-5GS' ELSE 'HTTP2' END AS protocol",
+    # every eleventh packet bundles the same message twice and must still count once
+    "array_repeat({code}, if(event_id % 11 = 0, 2, 1)) AS nas_msg_types",
+    "array_repeat(21, if(event_id % 97 = 0, 1, 0)) AS ngap_procedures",
+    "array(if(event_id % 401 = 0, 6, 0)) AS sctp_chunk_types",
+    "CASE WHEN event_id % 53 = 0 THEN 0 WHEN event_id % 7 = 0 THEN 1 END AS prot_scheme_id",
+    "CASE WHEN event_type = 'click' THEN get_json_object(props, '$.k') END AS rand",
+    "cast(64 + event_id % 512 AS int) AS length",
+    "concat({base}, {setup}, if(event_id % 401 = 0, ', ABORT', ''), if(event_id % 53 = 0, ', Protection scheme Id: NULL scheme (0)', '')) AS info",
+    "user_id AS subscriber",
+)
+CODE = (
+    "CASE event_type WHEN 'click' THEN 86 WHEN 'error' THEN 89 WHEN 'signup' THEN 65 WHEN 'purchase' THEN 93 "
+    "ELSE if(event_id % 5 = 0, 68, 103) END"
+)
+BASE = (
+    "CASE event_type WHEN 'click' THEN 'DownlinkNASTransport, Authentication request' "
+    "WHEN 'error' THEN 'UplinkNASTransport, Authentication failure (MAC failure)' "
+    "WHEN 'signup' THEN 'InitialUEMessage, Registration request' "
+    "WHEN 'purchase' THEN 'DownlinkNASTransport, Security mode command' "
+    "ELSE if(event_id % 5 = 0, 'DownlinkNASTransport, Registration reject (UE security capabilities mismatch)', 'UplinkNASTransport') END"
+)
+SETUP = (
+    "CASE WHEN event_id % 97 <> 0 THEN '' WHEN event_id % 5 = 0 THEN ', NGSetupFailure' "
+    "WHEN event_id % 2 = 0 THEN ', NGSetupResponse' ELSE ', NGSetupRequest' END"
+)
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """Packets stamped with wall-clock time only; the capture clock is not attached yet."""
-    kind = F.col("event_type")
-    code = first_match(
-        [
-            (kind == "click", F.lit(86)),
-            (kind == "error", F.lit(89)),
-            (kind == "signup", F.lit(65)),
-            (kind == "purchase", F.lit(93)),
-            (_every(5), F.lit(68)),
-        ],
-        F.lit(103),
-    )
-    base = first_match(
-        [
-            (kind == "click", "DownlinkNASTransport, Authentication request"),
-            (kind == "error", "UplinkNASTransport, Authentication failure (MAC failure)"),
-            (kind == "signup", "InitialUEMessage, Registration request"),
-            (kind == "purchase", "DownlinkNASTransport, Security mode command"),
-            (_every(5), "DownlinkNASTransport, Registration reject (UE security capabilities mismatch)"),
-        ],
-        "UplinkNASTransport",
-    )
-    setup = first_match(
-        [
-            (_every(97) & _every(5), ", NGSetupFailure"),
-            (_every(97) & _every(2), ", NGSetupResponse"),
-            (_every(97), ", NGSetupRequest"),
-        ],
-        "",
-    )
-    none = F.array().cast("array<int>")
-    return events(spark, folder).select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor((F.dayofmonth("ts") - 1) / 6).cast("string")).alias("capture"),
-        F.col("event_id").alias("frame_no"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-        F.concat(F.lit("10.10.0."), (F.col("event_id") % 25 + 30).cast("string")).alias("src_ip"),
-        F.lit("10.10.0.12").alias("dst_ip"),
-        first_match(
-            [
-                (F.col("event_id") % 4 == 0, "SCTP"),
-                (F.col("event_id") % 4 == 1, "NGAP"),
-                (F.col("event_id") % 4 == 2, "NGAP/NAS-5GS"),
-            ],
-            "HTTP2",
-        ).alias("protocol"),
-        # every eleventh packet bundles the same message twice and must still count once
-        F.when(_every(11), F.array(code, code)).otherwise(F.array(code)).alias("nas_msg_types"),
-        F.when(_every(97), F.array(F.lit(21))).otherwise(none).alias("ngap_procedures"),
-        F.when(_every(401), F.array(F.lit(6))).otherwise(F.array(F.lit(0))).alias("sctp_chunk_types"),
-        first_match([(_every(53), F.lit(0)), (_every(7), F.lit(1))]).alias("prot_scheme_id"),
-        F.when(kind == "click", F.get_json_object("props", "$.k")).alias("rand"),
-        (F.lit(64) + F.col("event_id") % 512).cast("int").alias("length"),
-        F.concat(
-            base,
-            setup,
-            F.when(_every(401), F.lit(", ABORT")).otherwise(F.lit("")),
-            F.when(_every(53), F.lit(", Protection scheme Id: NULL scheme (0)")).otherwise(F.lit("")),
-        ).alias("info"),
-        F.col("user_id").alias("subscriber"),
-    )
+    columns = [c.format(code=CODE, base=BASE, setup=SETUP) for c in FRAME_COLUMNS]
+    return events(spark, folder).selectExpr(*columns)
 
 
 def packets(spark: SparkSession, folder: str, limits: ScaleLimits = ScaleLimits()) -> DataFrame:
@@ -105,90 +79,51 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SUCI = (
+    "if(event_id % 53 = 0, concat('suci-0-001-01-0000-0-0-', lpad(cast(user_id AS string), 10, '0')), "
+    "concat('suci-0-001-01-0000-1-1-', md5(cast(user_id AS string))))"
+)
+ADDRESS = "concat('10.10.0.', cast(30 + event_id % 25 AS string))"
+MESSAGE = (
+    f"CASE WHEN event_id % 97 = 0 THEN concat('gNB-N2 accepted[', {ADDRESS}, ']:38412 in ng-path module') "
+    f"WHEN event_id % 193 = 0 THEN concat('gNB-N2[', {ADDRESS}, '] connection refused!!!') "
+    f"WHEN event_type = 'error' THEN concat('[', {SUCI}, '] Authentication failure [MAC failure]') "
+    f"WHEN event_type = 'view' THEN concat('[', {SUCI}, '] Registration reject [23]') "
+    f"WHEN event_type = 'purchase' THEN concat('[', {SUCI}, '] Authentication reject') "
+    "WHEN event_type = 'signup' THEN concat('UE SUPI[imsi-00101', lpad(cast(user_id AS string), 10, '0'), '] DNN[internet] S_NSSAI[SST:1 SD:0x1]') "
+    f"ELSE concat('[', {SUCI}, '] Unknown UE by SUCI') END"
+)
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """AMF log lines, one per event, with terminal colours and without a year."""
-    e = events(spark, folder)
-    kind = F.col("event_type")
-    user = F.col("user_id").cast("string")
-    address = F.concat(F.lit("10.10.0."), (F.col("event_id") % 25 + 30).cast("string"))
-    suci = F.when(
-        _every(53), F.concat(F.lit("suci-0-001-01-0000-0-0-"), F.lpad(user, 10, "0"))
-    ).otherwise(F.concat(F.lit("suci-0-001-01-0000-1-1-"), F.md5(user)))
-    message = first_match(
-        [
-            (_every(97), F.concat(F.lit("gNB-N2 accepted["), address, F.lit("]:38412 in ng-path module"))),
-            (_every(193), F.concat(F.lit("gNB-N2["), address, F.lit("] connection refused!!!"))),
-            (kind == "error", F.concat(F.lit("["), suci, F.lit("] Authentication failure [MAC failure]"))),
-            (kind == "view", F.concat(F.lit("["), suci, F.lit("] Registration reject [23]"))),
-            (kind == "purchase", F.concat(F.lit("["), suci, F.lit("] Authentication reject"))),
-            (
-                kind == "signup",
-                F.concat(F.lit("UE SUPI[imsi-00101"), F.lpad(user, 10, "0"), F.lit("] DNN[internet] S_NSSAI[SST:1 SD:0x1]")),
-            ),
-        ],
-        F.concat(F.lit("["), suci, F.lit("] Unknown UE by SUCI")),
+    line = (
+        "concat('\x1b[32m', date_format(ts, 'MM/dd HH:mm:ss.SSS'), '\x1b[0m: [\x1b[33m', if(event_type = 'signup', 'gmm', 'amf'), "
+        "'\x1b[0m] \x1b[1;36m', if(event_type IN ('error', 'view', 'purchase'), 'WARNING', 'INFO'), '\x1b[0m: ', "
+        f"{MESSAGE}, ' (context.c:', cast(100 + event_id % 900 AS string), ')') AS line"
     )
-    level = F.when(kind.isin("error", "view", "purchase"), "WARNING").otherwise("INFO")
-    module = F.when(kind == "signup", "gmm").otherwise("amf")
-    return e.select(
-        F.concat(user, F.lit("-"), F.floor((F.dayofmonth("ts") - 1) / 6).cast("string")).alias("capture"),
-        F.concat(F.lit("amf-"), (F.col("user_id") % 10).cast("string")).alias("source"),
-        F.col("event_id").alias("seq"),
-        F.concat(
-            F.lit("\x1b[32m"),
-            F.date_format("ts", "MM/dd HH:mm:ss.SSS"),
-            F.lit("\x1b[0m: [\x1b[33m"),
-            module,
-            F.lit("\x1b[0m] \x1b[1;36m"),
-            level,
-            F.lit("\x1b[0m: "),
-            message,
-            F.lit(" (context.c:"),
-            (F.col("event_id") % 900 + 100).cast("string"),
-            F.lit(")"),
-        ).alias("line"),
+    return events(spark, folder).selectExpr(
+        CAPTURE, "concat('amf-', cast(user_id % 10 AS string)) AS source", "event_id AS seq", line
     )
 
 
-def summary_lines(packets_or_frames: DataFrame, unit_us: int) -> DataFrame:
+def summary_lines(packets: DataFrame, unit_us: int) -> DataFrame:
     """Packet-summary text lines: ``no time src → dst proto len info``."""
-    seconds = F.format_string("%.6f", F.col("rel_us") / F.lit(float(unit_us)))
-    return packets_or_frames.select(
+    return packets.selectExpr(
         "capture",
-        F.col("frame_no").alias("seq"),
-        F.concat(
-            F.lpad(F.col("frame_no").cast("string"), 8, " "),
-            F.lit("   "),
-            seconds,
-            F.lit("   "),
-            "src_ip",
-            F.lit(" → "),
-            "dst_ip",
-            F.lit("   "),
-            "protocol",
-            F.lit(" "),
-            F.col("length").cast("string"),
-            F.lit(" "),
-            "info",
-        ).alias("line"),
+        "frame_no AS seq",
+        f"concat(lpad(cast(frame_no AS string), 8, ' '), '   ', format_string('%.6f', rel_us / {float(unit_us)}D), '   ', "
+        "src_ip, ' → ', dst_ip, '   ', protocol, ' ', cast(length AS string), ' ', info) AS line",
     )
 
 
 def metric_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Counter samples; one of the six counters never reports."""
-    kind = F.col("event_type")
-    return events(spark, folder).select(
-        first_match(
-            [
-                (kind == "signup", "reg_init_req"),
-                (kind == "purchase", "reg_init_succ"),
-                (kind == "view", "reg_init_fail"),
-                (kind == "click", "auth_req"),
-            ],
-            "auth_fail",
-        ).alias("name"),
-        F.create_map(F.lit("instance"), F.concat(F.lit("amf-"), (F.col("user_id") % 10).cast("string"))).alias("labels"),
-        F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor((F.dayofmonth("ts") - 1) / 6).cast("string")).alias("capture"),
+    return events(spark, folder).selectExpr(
+        "CASE event_type WHEN 'signup' THEN 'reg_init_req' WHEN 'purchase' THEN 'reg_init_succ' WHEN 'view' THEN 'reg_init_fail' "
+        "WHEN 'click' THEN 'auth_req' ELSE 'auth_fail' END AS name",
+        "map('instance', concat('amf-', cast(user_id % 10 AS string))) AS labels",
+        "CASE WHEN event_id % 3 <> 0 THEN value END AS value",
+        "cast(ts AS timestamp) AS ts",
+        CAPTURE,
     )
