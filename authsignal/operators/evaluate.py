@@ -73,21 +73,25 @@ def class_scores(rows: DataFrame) -> DataFrame:
 
 
 def classification_report(rows: DataFrame) -> DataFrame:
-    """Per-class rows plus ``macro avg`` and ``weighted avg``."""
-    scored = class_scores(rows)
-    metrics = ("precision", "recall", "f1")
-    per_class = scored.select("name", *metrics, "support")
-    macro = scored.agg(
-        F.lit("macro avg").alias("name"), *[F.avg(m).alias(m) for m in metrics], F.sum("support").alias("support")
+    """Per-class rows plus ``macro avg`` and ``weighted avg``, from one pass over the rows.
+
+    Each class feeds its own line and both averages, with weight one or its support.
+    """
+    lines = class_scores(rows).withColumn(
+        "line",
+        F.explode(
+            F.array(
+                F.struct(F.col("name").alias("name"), F.lit(1).cast("bigint").alias("weight")),
+                F.struct(F.lit("macro avg").alias("name"), F.lit(1).cast("bigint").alias("weight")),
+                F.struct(F.lit("weighted avg").alias("name"), F.col("support").alias("weight")),
+            )
+        ),
     )
-    weight = F.sum("support")
-    weighted = scored.agg(
-        F.lit("weighted avg").alias("name"),
-        *[_over(F.sum(F.col(m) * F.col("support")), weight).alias(m) for m in metrics],
-        weight.alias("support"),
+    weight = F.col("line.weight")
+    return lines.groupBy(F.col("line.name").alias("name")).agg(
+        *[F.bround(_over(F.sum(F.col(m) * weight), F.sum(weight)), 6).alias(m) for m in ("precision", "recall", "f1")],
+        F.sum("support").alias("support"),
     )
-    report = per_class.unionByName(macro).unionByName(weighted)
-    return report.select("name", *[F.bround(m, 6).alias(m) for m in metrics], "support")
 
 
 def confusion_matrix(rows: DataFrame, classes: Sequence[str] = LABELS) -> DataFrame:

@@ -15,10 +15,28 @@ ANSI = "\x1b\\[[0-9;]*m"
 AMF_LINE = r"^(\d\d/\d\d \d\d:\d\d:\d\d\.\d{3}): \[([^\]]+)\] ([A-Z]+): (.*) \(([^()]+:\d+)\)$"
 SIMULATOR_LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3})\] \[([^\]]+)\] \[([^\]]+)\] (.*)$"
 SUMMARY_LINE = r"^\s*(\d+)\s+(\d+\.\d+)\s+(\S+) → (\S+)\s+(\S+) (\d+) (.*)$"
-DUMP_LINE = r"^(\d\d:\d\d:\d\d\.\d{6}) IP (\S+)\.(\d+) > (\S+)\.(\d+): sctp \(1\) \[([A-Z ]+)\]"
+DUMP_LINE = r"^(\d\d:\d\d:\d\d\.\d{6}) IP (\S+)\.(\d+) > (\S+)\.(\d+): sctp \(1\) \[([A-Z ]+)\].*$"
 HEX_RAND = "^[0-9a-f]{32}$"
 
 
+SEPARATOR = "\x01"
+
+
+def _fields(lines: DataFrame, text: Column, pattern: str, columns: dict[str, str]) -> DataFrame:
+    """Match each line once and turn its groups into columns; lines that do not match are dropped.
+
+    One replacement writes all groups side by side, one split takes them apart. Going through a
+    generator keeps that work in a single place: a filter on the parts would be pushed below the
+    projection and match every line a second time.
+    """
+    groups = SEPARATOR.join(f"${i + 1}" for i in range(len(columns)))
+    parts = F.split(F.regexp_replace(text, pattern, groups), SEPARATOR)
+    row = F.struct(*[F.expr(sql.replace("{}", f"_parts[{i}]")).alias(name) for i, (name, sql) in enumerate(columns.items())])
+    kept = [c for c in lines.columns if c != "line"]
+    matched = F.when(F.size("_parts") == len(columns), F.array(row))
+    return lines.withColumn("_parts", parts).select(*kept, F.inline(matched))
+
+
 def plain(line: Column) -> Column:
     """The line without terminal colours."""
     return F.regexp_replace(line, ANSI, "")
@@ -29,62 +47,42 @@ def parse_amf(lines: DataFrame, year: int) -> DataFrame:
 
     The lines carry no year, so the caller gives it.
     """
-    text = plain(F.col("line"))
-    part = lambda i: F.regexp_extract(text, AMF_LINE, i)
-    return (
-        lines.where(text.rlike(AMF_LINE))
-        .withColumn("stamp", part(1))
-        .withColumn("ts", F.to_timestamp(F.concat(F.lit(f"{year}/"), part(1)), "yyyy/MM/dd HH:mm:ss.SSS"))
-        .withColumn("module", part(2))
-        .withColumn("level", part(3))
-        .withColumn("message", part(4))
-        .withColumn("place", part(5))
-        .drop("line")
-    )
+    columns = {name: "{}" for name in ("stamp", "module", "level", "message", "place")}
+    rows = _fields(lines, plain(F.col("line")), AMF_LINE, columns)
+    return rows.withColumn("ts", F.to_timestamp(F.concat(F.lit(f"{year}/"), "stamp"), "yyyy/MM/dd HH:mm:ss.SSS"))
 
 
 def parse_simulator(lines: DataFrame) -> DataFrame:
-    text = plain(F.col("line"))
-    part = lambda i: F.regexp_extract(text, SIMULATOR_LINE, i)
-    return (
-        lines.where(text.rlike(SIMULATOR_LINE))
-        .withColumn("ts", F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss.SSS"))
-        .withColumn("module", part(2))
-        .withColumn("level", part(3))
-        .withColumn("message", part(4))
-        .drop("line")
-    )
+    columns = {name: "{}" for name in ("stamp", "module", "level", "message")}
+    rows = _fields(lines, plain(F.col("line")), SIMULATOR_LINE, columns)
+    return rows.withColumn("ts", F.to_timestamp("stamp", "yyyy-MM-dd HH:mm:ss.SSS")).drop("stamp")
 
 
 def parse_summary(lines: DataFrame) -> DataFrame:
     """Packet-summary lines into their columns."""
-    part = lambda i: F.regexp_extract("line", SUMMARY_LINE, i)
-    return (
-        lines.where(F.col("line").rlike(SUMMARY_LINE))
-        .withColumn("frame_no", part(1).cast("bigint"))
-        .withColumn("seconds", part(2).cast("double"))
-        .withColumn("src_ip", part(3))
-        .withColumn("dst_ip", part(4))
-        .withColumn("protocol", part(5))
-        .withColumn("length", part(6).cast("int"))
-        .withColumn("info", part(7))
-        .drop("line")
-    )
+    columns = {
+        "frame_no": "cast({} AS bigint)",
+        "seconds": "cast({} AS double)",
+        "src_ip": "{}",
+        "dst_ip": "{}",
+        "protocol": "{}",
+        "length": "cast({} AS int)",
+        "info": "{}",
+    }
+    return _fields(lines, F.col("line"), SUMMARY_LINE, columns)
 
 
 def parse_dump(lines: DataFrame) -> DataFrame:
     """Packet-dump lines into time, ends and chunk name."""
-    part = lambda i: F.regexp_extract("line", DUMP_LINE, i)
-    return (
-        lines.where(F.col("line").rlike(DUMP_LINE))
-        .withColumn("time", part(1))
-        .withColumn("src_ip", part(2))
-        .withColumn("src_port", part(3).cast("int"))
-        .withColumn("dst_ip", part(4))
-        .withColumn("dst_port", part(5).cast("int"))
-        .withColumn("chunk", part(6))
-        .drop("line")
-    )
+    columns = {
+        "time": "{}",
+        "src_ip": "{}",
+        "src_port": "cast({} AS int)",
+        "dst_ip": "{}",
+        "dst_port": "cast({} AS int)",
+        "chunk": "{}",
+    }
+    return _fields(lines, F.col("line"), DUMP_LINE, columns)
 
 
 def _found(name: str, pattern: str) -> Column:
@@ -192,14 +190,19 @@ def rogue_evidence(packets: DataFrame, parsed: DataFrame, rogue_address: str) ->
 
 
 def abort_evidence(packets: DataFrame, rand: str = "rand") -> DataFrame:
-    """Replay: an abort was sent; the first well-formed challenge of the capture."""
+    """Replay: an abort was sent; the first well-formed challenge of the capture.
+
+    Picking a text value needs a sorted aggregation, so only the few packets with a well-formed
+    challenge take part in it; the counts over all packets stay in a hash aggregation.
+    """
     clean = F.lower(F.replace(F.col(rand), F.lit(":"), F.lit("")))
-    well_formed = clean.rlike(HEX_RAND)
-    return packets.groupBy("capture").agg(
+    challenges = packets.select("capture", "frame_no", clean.alias("clean")).where(F.col("clean").rlike(HEX_RAND))
+    first = challenges.groupBy("capture").agg(F.min_by("clean", "frame_no").alias("first_rand"))
+    seen = packets.groupBy("capture").agg(
         F.max(F.coalesce(F.contains("info", F.lit("ABORT")), F.lit(False))).alias("abort_seen"),
-        F.min_by(F.when(well_formed, clean), F.when(well_formed, F.col("frame_no"))).alias("first_rand"),
         F.count("*").alias("packets"),
     )
+    return seen.join(first, "capture", "left").select("capture", "abort_seen", "first_rand", "packets")
 
 
 def evidence_sections(packets: DataFrame, parsed: DataFrame) -> DataFrame:

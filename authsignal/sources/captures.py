@@ -22,7 +22,7 @@ def discover(spark: SparkSession, folder: str, suffix: str = ".parquet") -> Data
         .option("pathGlobFilter", f"*{suffix}")
         .parquet(folder)
     )
-    if not found.inputFiles():
+    if found.isEmpty():
         raise FileNotFoundError(f"no {suffix} captures in {folder}")
     name = F.regexp_replace(F.col("_metadata.file_name"), f"{suffix.replace('.', '[.]')}$", "")
     return found.withColumn("capture", F.coalesce(F.col("capture"), name))
