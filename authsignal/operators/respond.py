@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from authsignal.config import ATTACKS, UNKNOWN, DetectorConfig
-from authsignal.functions.columns import carries, filled, first_match, floor_div
+from authsignal.functions.columns import carries, filled, first_match
 from authsignal.operators.features import rogue_setup
 
 # ---- fixed values: actions of the online detector per class ----
@@ -136,32 +136,49 @@ def block_list(packets: DataFrame, detections: DataFrame, cfg: DetectorConfig =
 def rate_limits(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), time: str = "ts_us") -> DataFrame:
     """Attempts and failures of a subscriber in the window up to each instant, and the decision.
 
-    Packets of one instant are merged first. Time is cut into buckets as long as the window and
-    each instant is also handed to the next bucket as context, so a window never spans more than
-    one group and a busy subscriber is split over time.
+    A packet adds to the running count when it happens and takes itself back one microsecond after
+    the window has passed it, so a plain running sum gives the rolling count in linear time, also
+    where one subscriber floods a window. Time is cut into buckets as long as the window: whatever
+    happened in a bucket is still counted when the next one opens, and is taken back during it. A
+    busy subscriber is so split over time, and packets of one instant merge before the shuffle.
     """
     width = cfg.rate_window_us
-    attempt = carries("nas_msg_types", cfg.auth_request)
-    failure = carries("nas_msg_types", cfg.auth_failure)
-    instants = (
-        packets.where(attempt | failure)
-        .groupBy("subscriber", F.col(time).alias("at_us"))
-        .agg(F.count_if(attempt).alias("now_attempts"), F.count_if(failure).alias("now_failures"))
+    attempt = f"coalesce(array_contains(nas_msg_types, {cfg.auth_request}), false)"
+    failure = f"coalesce(array_contains(nas_msg_types, {cfg.auth_failure}), false)"
+    steps = (
+        packets.where(f"{attempt} OR {failure}")
+        .selectExpr(
+            "subscriber",
+            f"{time} AS at",
+            f"{time} div {width} AS home",
+            f"cast({attempt} AS bigint) AS a",
+            f"cast({failure} AS bigint) AS f",
+        )
+        .selectExpr(
+            "subscriber",
+            "home",
+            "inline(array("
+            "struct(home AS bucket, at AS at_us, a AS attempts, f AS failures, true AS own),"
+            f"struct(home + 1 AS bucket, (home + 1) * {width} AS at_us, a AS attempts, f AS failures, false AS own),"
+            f"struct((at + {width} + 1) div {width} AS bucket, at + {width} + 1 AS at_us, -a AS attempts, -f AS failures, false AS own)))",
+        )
+        # what the last microsecond of a bucket would take back lies past the next bucket
+        .where("bucket <= home + 1")
+        .groupBy("subscriber", "bucket", "at_us")
+        .agg(F.sum("attempts").alias("attempts"), F.sum("failures").alias("failures"), F.max("own").alias("own"))
     )
-    home = floor_div(F.col("at_us"), width)
-    rolling = W.partitionBy("subscriber", "bucket").orderBy("at_us").rangeBetween(-width, W.currentRow)
+    running = W.partitionBy("subscriber", "bucket").orderBy("at_us").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        instants.withColumn("bucket", F.explode(F.array(home, home + 1)))
-        .withColumn("attempts", F.sum("now_attempts").over(rolling))
-        .withColumn("failures", F.sum("now_failures").over(rolling))
-        .where(F.col("bucket") == home)
-        .select(
+        steps.withColumn("attempts", F.sum("attempts").over(running))
+        .withColumn("failures", F.sum("failures").over(running))
+        .where("own")
+        .selectExpr(
             "subscriber",
             "at_us",
             "attempts",
             "failures",
-            (F.col("attempts") > cfg.max_attempts).alias("over_limit"),
-            (F.col("failures") >= cfg.block_failures).alias("blocked"),
+            f"attempts > {cfg.max_attempts} AS over_limit",
+            f"failures >= {cfg.block_failures} AS blocked",
         )
     )
 

@@ -128,6 +128,8 @@ def test_rate_limits_against_brute_force(spark):
     rows = [
         packet("c", i, round(rng.uniform(0, 400), 1), nas=[rng.choice([86, 89, 65])]) for i in range(300)
     ]
+    edges = (0, 59.999999, 60, 60.000001, 119.999999, 120, 120.000001, 179.999999, 180, 240)
+    rows += [packet("c", 300 + 3 * i, s, nas=[86]) for i, s in enumerate(edges)]
     packets = table(spark, rows).withColumns(
         {"subscriber": F.pmod("frame_no", F.lit(3)), "ts_us": F.col("rel_us")}
     )
