@@ -4,18 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from authsignal.llm import simhash
+from authsignal.functions.shared import new_path
+from authsignal.llm import packing, simhash, tokens, toxicity
 from authsignal.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(docs, table(spark, folder, "labels"), keep=~toxicity.held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "n_sentences",
+        F.size("spans").alias("n_offending"),
+        "spans",
+    )
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+
+
+def op6_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "token_file")
+    tokens.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = tokens.digests(tokens.read_tokens(spark, path))
+    found = tokens.with_starts(rows, tokens.range_starts(spark, path))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op4_packing": op4_packing,
+    "op6_token_file": op6_token_file,
     "op10_simhash": op10_simhash,
 }
 LLM_ORACLE: dict[str, str] = {}
