@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import new_path
-from authsignal.llm import packing, simhash, tokens, toxicity
+from authsignal.llm import bpe, packing, simhash, tokens, toxicity, warc
 from authsignal.llm.common import table
 
 
@@ -27,6 +27,12 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    manifest = warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(manifest, path).drop("url")
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
@@ -39,6 +45,10 @@ def op6_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -46,8 +56,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op6_token_file": op6_token_file,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_simhash": op10_simhash,
 }
 LLM_ORACLE: dict[str, str] = {}
