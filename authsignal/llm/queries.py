@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import new_path
-from authsignal.llm import bpe, packing, simhash, tokens, toxicity, warc
+from authsignal.llm import bpe, lines, packing, simhash, tokens, toxicity, warc
 from authsignal.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicate(table(spark, folder, "documents"), least_words=50)
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.learn(docs, table(spark, folder, "labels"), keep=~toxicity.held_out())
@@ -55,6 +59,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,

@@ -46,6 +46,7 @@ class Limits:
 
 
 PREFIXES = (5, 6, 7)  # bytes: inflected and compound forms share the start of a word
+OFFENDING = 0.5  # a sentence or document of this score or more is toxic
 MOST_WORDS = 500_000  # words whose features one Python worker remembers
 
 
@@ -79,7 +80,7 @@ class Known(dict):
         found = self[word] = self.names.intersection(features(word))
         return found
 
-    def of(self, words: list[bytes]) -> set[bytes]:
+    def of(self, words) -> set[bytes]:
         return set().union(*map(self.__getitem__, words))
 
 
@@ -231,25 +232,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(weights)
-        base = 1 / (1 + np.exp(-bias))
 
         def found():
             for part in parts:
                 for doc_id, text in rows_of(part, "doc_id", "text"):
-                    form, parts_ = sentences(text)
-                    hits = {word for word in set(form.split()) if known[word]}
-                    if not hits:
-                        yield doc_id, float(-np.expm1(len(parts_) * np.log1p(-base))), len(parts_), []
-                        continue
-                    miss, at, spans = 0.0, 0, []
-                    for sentence in parts_:
-                        own = known.of(hits.intersection(sentence.split()))
-                        p = 1 / (1 + np.exp(-np.clip(bias + sum(weights[w] for w in sorted(own)), -30, 30))) if own else base
-                        miss += np.log1p(-min(p, 1 - 1e-12))
-                        if p >= 0.5:
-                            spans.append({"start": at, "end": at + len(sentence), "score": float(p)})
-                        at += len(sentence) + 1
-                    yield doc_id, float(-np.expm1(miss)), len(parts_), spans
+                    yield doc_id, *judged(text, known, weights, bias)
 
         yield from batches(found(), schema)
 
@@ -258,6 +245,40 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
+def judged(text: str, known: Known, weights: dict[bytes, float], bias: float) -> tuple[float, int, list[dict]]:
+    """Noisy-or score, number of sentences and the offending ones."""
+    form, parts = sentences(text)
+    base = float(1 / (1 + np.exp(-bias)))
+    hits = {word for word in set(form.split()) if known[word]}
+    if not hits:
+        return float(-np.expm1(len(parts) * np.log1p(-base))), len(parts), []
+    miss, at, spans = 0.0, 0, []
+    for sentence in parts:
+        own = known.of(hits.intersection(sentence.split()))
+        p = base
+        if own:
+            p = float(1 / (1 + np.exp(-np.clip(bias + sum(weights[name] for name in sorted(own)), -30, 30))))
+        miss += np.log1p(-min(p, 1 - 1e-12))
+        if p >= OFFENDING:
+            spans.append({"start": at, "end": at + len(sentence), "score": p})
+        at += len(sentence) + 1
+    return float(-np.expm1(miss)), len(parts), spans
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below 0.5; nothing is shuffled."""
+    ship(docs.sparkSession)
+    weights, bias = model.weights, model.bias
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(weights)
+        for part in parts:
+            scores = [judged(text or "", known, weights, bias)[0] for text in part.column(text_col).to_pylist()]
+            yield part.filter(pa.array([score < OFFENDING for score in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model learns from: every fifth by checksum of the id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
