@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import new_path
-from authsignal.llm import bpe, lines, packing, simhash, tokens, toxicity, warc
+from authsignal.llm import bpe, licences, lines, packing, simhash, tokens, toxicity, vector_join, warc
 from authsignal.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
 def op6_token_file(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "token_file")
     tokens.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -53,6 +57,10 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_join.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -63,8 +71,10 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_licences": op5_licences,
     "op6_token_file": op6_token_file,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_vector_join": op8_vector_join,
     "op10_simhash": op10_simhash,
 }
 LLM_ORACLE: dict[str, str] = {}
