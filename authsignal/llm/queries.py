@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import new_path
-from authsignal.llm import bpe, licences, lines, packing, simhash, tokens, toxicity, vector_join, warc
+from authsignal.llm import ann, bpe, licences, lines, packing, simhash, tokens, toxicity, vector_join, warc
 from authsignal.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op8_vector_join(spark: SparkSession, folder: str) -> DataFrame:
     return vector_join.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, most=5)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -75,6 +79,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_file": op6_token_file,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_vector_join": op8_vector_join,
+    "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
 }
 LLM_ORACLE: dict[str, str] = {}
