@@ -164,8 +164,8 @@ class DetectorConfig:
 class ScaleLimits:
     """Bounds that decide between a broadcast, a plain join and a salted join."""
 
-    # a one-row-per-key table is broadcast only up to this many rows (about 100 bytes each)
-    broadcast_rows: int = 200_000
+    # a one-row-per-key table is broadcast only up to this many bytes, measured while it is written
+    broadcast_bytes: int = 32 << 20
     # a key is hot once it holds more than this many rows ...
     hot_rows: int = 5_000_000
     # ... and more than one part in this many of all rows, so hot keys stay below this count

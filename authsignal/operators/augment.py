@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from authsignal.config import (
     BINARY_FEATURES,
     INTEGER_FEATURES,
-    LABELS,
     TRAINING_FEATURES,
     DetectorConfig,
 )
@@ -62,12 +61,9 @@ def class_weights(rows: DataFrame) -> DataFrame:
 
 
 def small_classes(rows: DataFrame, order: list[str], cfg: DetectorConfig) -> DataFrame:
-    """Rows of the classes below the target, numbered by ``seq`` within the class, with class size ``n``.
-
-    The list of small classes holds at most one row per known class, hence the broadcast.
-    """
-    counts = class_distribution(rows).where(F.col("label").isin(*LABELS) & (F.col("n") < cfg.per_class))
-    return first_n(rows.join(F.broadcast(counts), "label"), "label", order, cfg.per_class)
+    """Rows of the classes below the target, numbered by ``seq`` within the class, with class size ``n``."""
+    counts = class_distribution(rows).where(F.col("n") < cfg.per_class)
+    return first_n(rows.join(counts, "label"), "label", order, cfg.per_class)
 
 
 def class_knn(small: DataFrame, rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
@@ -169,4 +165,8 @@ def stratified_folds(training: DataFrame, folds: int = 5) -> DataFrame:
 
 def shuffled(training: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Seeded random order for writing."""
-    return training.orderBy(F.xxhash64(F.lit(cfg.seed), "label", "seq"))
+    return training.orderBy(shuffle_key(cfg), "label", "seq")
+
+
+def shuffle_key(cfg: DetectorConfig = DetectorConfig()) -> Column:
+    return uniform(str(cfg.seed), F.col("label"), F.col("seq"), "order")

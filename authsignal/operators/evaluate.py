@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authsignal.config import LABELS, UNKNOWN
-
 
 def _over(part: Column, whole: Column) -> Column:
     """Ratio that is zero where the denominator is zero."""
@@ -94,12 +92,18 @@ def classification_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def confusion_matrix(rows: DataFrame, classes: Sequence[str] = LABELS) -> DataFrame:
-    """One row per occurring label, one column per class; predictions outside the classes are dropped."""
+def confusion_matrix(rows: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+    """Rows (label, prediction, n) of the classes that occur; with ``classes``, one column for each of them.
+
+    In the wide form predictions outside the classes are counted in ``pred_other``.
+    """
     pairs = pair_counts(rows)
+    if classes is None:
+        return pairs
     cells = [
         F.sum(F.when(F.col("prediction") == name, F.col("n")).otherwise(0)).alias(f"pred_{name}")
         for name in sorted(classes)
-        if name != UNKNOWN
     ]
+    known = F.coalesce(F.col("prediction").isin(*classes), F.lit(False))
+    cells.append(F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("pred_other"))
     return pairs.groupBy("label").agg(*cells)

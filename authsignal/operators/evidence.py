@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.config import DetectorConfig
 from authsignal.functions.columns import carries, occurrences
-from authsignal.operators.features import null_scheme
+from authsignal.operators.features import null_scheme_field
 from authsignal.operators.filters import last_n
 
 # ---- fixed values: shapes of the four text formats ----
@@ -22,9 +24,12 @@ HEX_RAND = "^[0-9a-f]{32}$"
 SEPARATOR = "\x01"
 
 
-def _fields(lines: DataFrame, text: Column, pattern: str, columns: dict[str, str]) -> DataFrame:
-    """Match each line once and turn its groups into columns; lines that do not match are dropped.
+def _fields(
+    lines: DataFrame, text: Column, pattern: str, columns: dict[str, str], otherwise: dict[str, Column] | None = None
+) -> DataFrame:
+    """Match each line once and turn its groups into columns.
 
+    Lines that do not match are dropped, or, with ``otherwise``, kept with these values and nulls.
     One replacement writes all groups side by side, one split takes them apart. Going through a
     generator keeps that work in a single place: a filter on the parts would be pushed below the
     projection and match every line a second time.
@@ -34,6 +39,9 @@ def _fields(lines: DataFrame, text: Column, pattern: str, columns: dict[str, str
     row = F.struct(*[F.expr(sql.replace("{}", f"_parts[{i}]")).alias(name) for i, (name, sql) in enumerate(columns.items())])
     kept = [c for c in lines.columns if c != "line"]
     matched = F.when(F.size("_parts") == len(columns), F.array(row))
+    if otherwise is not None:
+        spare = [otherwise.get(name, F.lit(None).cast("string")).alias(name) for name in columns]
+        matched = matched.otherwise(F.array(F.struct(*spare)))
     return lines.withColumn("_parts", parts).select(*kept, F.inline(matched))
 
 
@@ -42,31 +50,43 @@ def plain(line: Column) -> Column:
     return F.regexp_replace(line, ANSI, "")
 
 
-def parse_amf(lines: DataFrame, year: int) -> DataFrame:
-    """AMF log lines into stamp, time, module, level, message and place; other lines are dropped.
+def parse_amf(lines: DataFrame, year: int | Column) -> DataFrame:
+    """AMF log lines into stamp, time, module, level, message and place.
 
-    The lines carry no year, so the caller gives it.
+    The lines carry no year, so the caller gives one, or a column where a log crosses New Year. A
+    line of another shape keeps its text as the message, with ``parsed`` false and no time; a stamp
+    that is no date in its year leaves the time null.
     """
     columns = {name: "{}" for name in ("stamp", "module", "level", "message", "place")}
-    rows = _fields(lines, plain(F.col("line")), AMF_LINE, columns)
-    return rows.withColumn("ts", F.to_timestamp(F.concat(F.lit(f"{year}/"), "stamp"), "yyyy/MM/dd HH:mm:ss.SSS"))
+    if isinstance(year, Column):
+        lines, year = lines.withColumn("_year", year), F.col("_year")
+    else:
+        year = F.lit(year)
+    text = plain(F.col("line"))
+    rows = _fields(lines.withColumn("_text", text), F.col("_text"), AMF_LINE, columns, {"message": F.col("_text")})
+    stamp = F.concat(year.cast("string"), F.lit("/"), "stamp")
+    return (
+        rows.withColumn("parsed", F.col("stamp").isNotNull())
+        .withColumn("ts", F.try_to_timestamp(stamp, F.lit("yyyy/MM/dd HH:mm:ss.SSS")))
+        .drop("_text", "_year")
+    )
 
 
 def parse_simulator(lines: DataFrame) -> DataFrame:
     columns = {name: "{}" for name in ("stamp", "module", "level", "message")}
     rows = _fields(lines, plain(F.col("line")), SIMULATOR_LINE, columns)
-    return rows.withColumn("ts", F.to_timestamp("stamp", "yyyy-MM-dd HH:mm:ss.SSS")).drop("stamp")
+    return rows.withColumn("ts", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).drop("stamp")
 
 
 def parse_summary(lines: DataFrame) -> DataFrame:
     """Packet-summary lines into their columns."""
     columns = {
-        "frame_no": "cast({} AS bigint)",
-        "seconds": "cast({} AS double)",
+        "frame_no": "try_cast({} AS bigint)",
+        "seconds": "try_cast({} AS double)",
         "src_ip": "{}",
         "dst_ip": "{}",
         "protocol": "{}",
-        "length": "cast({} AS int)",
+        "length": "try_cast({} AS int)",
         "info": "{}",
     }
     return _fields(lines, F.col("line"), SUMMARY_LINE, columns)
@@ -77,9 +97,9 @@ def parse_dump(lines: DataFrame) -> DataFrame:
     columns = {
         "time": "{}",
         "src_ip": "{}",
-        "src_port": "cast({} AS int)",
+        "src_port": "try_cast({} AS int)",
         "dst_ip": "{}",
-        "dst_port": "cast({} AS int)",
+        "dst_port": "try_cast({} AS int)",
         "chunk": "{}",
     }
     return _fields(lines, F.col("line"), DUMP_LINE, columns)
@@ -95,7 +115,7 @@ def with_identifiers(parsed: DataFrame) -> DataFrame:
         parsed.withColumn("suci", _found("message", r"\[(suci-[^\]]+)\]"))
         .withColumn("scheme", _found("message", r"suci-\d+-\d+-\d+-\d+-(\d)-").cast("int"))
         .withColumn("imsi", _found("message", r"(imsi-\d{15})"))
-        .withColumn("cause", _found("message", r"reject \[(\d+)\]").cast("int"))
+        .withColumn("cause", _found("message", r"reject \[(\d+)\]").try_cast("int"))
         .withColumn("gnb_ip", _found("message", r"gNB-N2(?: accepted)?\[([0-9.]+)\]"))
     )
 
@@ -131,13 +151,32 @@ def recent_failures(parsed: DataFrame, by: str, order: str, n: int = 20) -> Data
     )
 
 
+def recent_lines(parsed: DataFrame, pattern: str, by: str, order: str, n: int = 5) -> DataFrame:
+    """How many of the last ``n`` matching lines each source has, and the newest of them."""
+    rows = last_n(matching(parsed, pattern), by, order, n)
+    return rows.groupBy(by).agg(F.count("*").alias("lines"), F.max(order).alias("newest"))
+
+
 def last_registrations(parsed: DataFrame, by: str, order: str, n: int = 4) -> DataFrame:
     return last_n(matching(parsed, "SUPI"), by, order, n)
 
 
-def failure_evidence(packets: DataFrame, parsed: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Guessing: failures and rejects in the log, packet counts, verdict from the log."""
-    from_log = parsed.groupBy("capture").agg(
+def merged(from_packets: DataFrame, from_log: DataFrame) -> DataFrame:
+    """One row per capture that either side has; what a side doesn't have counts as zero or false."""
+    both = from_packets.unionByName(from_log, allowMissingColumns=True)
+    values = [c for c in both.columns if c != "capture"]
+    return both.groupBy("capture").agg(*[F.max(c).alias(c) for c in values]).na.fill(0).na.fill(False)
+
+
+def _since(parsed: DataFrame, since: Column | None) -> DataFrame:
+    return parsed if since is None else parsed.where(F.col("ts") >= since)
+
+
+def failure_evidence(
+    packets: DataFrame, parsed: DataFrame, cfg: DetectorConfig = DetectorConfig(), since: Column | None = None
+) -> DataFrame:
+    """Guessing: failures and rejects in the log (from a time on), packet counts, verdict from the log."""
+    from_log = _since(parsed, since).groupBy("capture").agg(
         F.count_if(F.contains("message", F.lit("MAC failure"))).alias("log_failures"),
         F.count_if(F.contains("message", F.lit("Authentication reject"))).alias("log_rejects"),
     )
@@ -146,21 +185,20 @@ def failure_evidence(packets: DataFrame, parsed: DataFrame, cfg: DetectorConfig
         F.count_if(F.col("protocol").rlike("(?i)sctp|ngap")).alias("sctp_packets"),
         F.count_if(carries("nas_msg_types", cfg.auth_failure)).alias("failure_packets"),
     )
-    both = from_packets.join(from_log, "capture", "left").na.fill(0, ["log_failures", "log_rejects"])
-    return both.withColumn("detected", F.col("log_failures") > 0)
+    return merged(from_packets, from_log).withColumn("detected", F.col("log_failures") > 0)
 
 
-def reject_evidence(packets: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Bidding down: the word reject in packet summaries and log lines."""
+def reject_evidence(packets: DataFrame, parsed: DataFrame, since: Column | None = None) -> DataFrame:
+    """Bidding down: the word reject in packet summaries and log lines (from a time on)."""
     picked = F.coalesce(F.col("info").rlike("(?i)reject|security mode"), F.lit(False))
     from_packets = packets.groupBy("capture").agg(
         F.sum(F.when(picked, occurrences(F.lower("info"), "reject")).otherwise(0)).alias("packet_rejects")
     )
     logged = F.col("message").rlike("(?i)security|reject|algorithm")
-    from_log = parsed.groupBy("capture").agg(
+    from_log = _since(parsed, since).groupBy("capture").agg(
         F.sum(F.when(logged, occurrences(F.lower("message"), "reject")).otherwise(0)).alias("log_rejects")
     )
-    both = from_packets.join(from_log, "capture", "left").na.fill(0, ["log_rejects"])
+    both = merged(from_packets, from_log)
     return both.withColumn("detected", F.col("packet_rejects") + F.col("log_rejects") > 0)
 
 
@@ -168,12 +206,14 @@ def null_scheme_evidence(packets: DataFrame, cfg: DetectorConfig = DetectorConfi
     """Identity exposure: null scheme in dissected text, and as field value."""
     return packets.groupBy("capture").agg(
         F.sum(F.coalesce(occurrences(F.lower("info"), "null scheme"), F.lit(0))).alias("text_hits"),
-        F.expr(f"count_if({null_scheme(cfg)})").alias("field_hits"),
+        F.expr(f"count_if({null_scheme_field(cfg)})").alias("field_hits"),
         F.count("prot_scheme_id").alias("schemes_seen"),
     ).withColumn("detected", (F.col("text_hits") > 0) | (F.col("field_hits") > 0))
 
 
-def rogue_evidence(packets: DataFrame, parsed: DataFrame, rogue_address: str) -> DataFrame:
+def rogue_evidence(
+    packets: DataFrame, parsed: DataFrame, rogue_address: str, since: Column | None = None
+) -> DataFrame:
     """False base station: set-up answers, refusals, acceptance of the address, authentications seen."""
     has = lambda col, word: F.max(F.coalesce(F.contains(F.col(col), F.lit(word)), F.lit(False)))
     from_packets = packets.groupBy("capture").agg(
@@ -182,11 +222,10 @@ def rogue_evidence(packets: DataFrame, parsed: DataFrame, rogue_address: str) ->
         has("info", "Authentication").alias("auth_seen"),
     )
     accepted = F.lower("message").contains("accepted") & F.col("message").contains(f"[{rogue_address}]")
-    from_log = parsed.groupBy("capture").agg(
+    from_log = _since(parsed, since).groupBy("capture").agg(
         F.max(F.lower("message").contains("refused")).alias("refused"), F.max(accepted).alias("accepted")
     )
-    both = from_packets.join(from_log, "capture", "left").na.fill(False, ["refused", "accepted"])
-    return both.withColumn("detected", F.col("refused") | F.col("accepted"))
+    return merged(from_packets, from_log).withColumn("detected", F.col("refused") | F.col("accepted"))
 
 
 def abort_evidence(packets: DataFrame, rand: str = "rand") -> DataFrame:
@@ -206,11 +245,20 @@ def abort_evidence(packets: DataFrame, rand: str = "rand") -> DataFrame:
 
 
 def evidence_sections(packets: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Lines worth keeping per capture, by section: packet summaries, then log lines."""
+    """Lines worth keeping per capture, by section.
+
+    ``packets`` and ``scheme_lines`` are packet summaries, ``scheme_values`` the values of the scheme
+    field; ``log`` and ``base_station`` are log lines.
+    """
     from_packets = packets.where(F.col("info").rlike("(?i)reject|security mode|NGSetup|ABORT")).select(
         "capture", F.lit("packets").alias("section"), F.col("frame_no").alias("seq"), F.col("info").alias("line")
     )
-    from_log = matching(parsed, "(?i)security|reject|refused|accepted").select(
-        "capture", F.lit("log").alias("section"), "seq", F.col("message").alias("line")
-    )
-    return from_packets.unionByName(from_log)
+    shown = lambda rows, section, seq, line: rows.select("capture", F.lit(section).alias("section"), F.col(seq).alias("seq"), line.alias("line"))
+    parts = [
+        from_packets,
+        shown(packets.where(F.col("info").rlike("(?i)protection scheme")), "scheme_lines", "frame_no", F.col("info")),
+        shown(packets.where(F.col("prot_scheme_id").isNotNull()), "scheme_values", "frame_no", F.col("prot_scheme_id").cast("string")),
+        shown(matching(parsed, "(?i)security|reject|refused|accepted"), "log", "seq", F.col("message")),
+        shown(matching(parsed, "gNB-N2"), "base_station", "seq", F.col("message")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

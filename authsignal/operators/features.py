@@ -97,10 +97,15 @@ def _listed(column: str, values: tuple[str, ...]) -> str:
     return f"{column} IN ({', '.join(repr(v) for v in values)})" if values else "false"
 
 
-def null_scheme(cfg: DetectorConfig) -> str:
+def null_scheme_field(cfg: DetectorConfig) -> str:
     return f"coalesce(prot_scheme_id = {cfg.null_scheme}, false)"
 
 
+def null_scheme(cfg: DetectorConfig) -> str:
+    """The null protection scheme, by field or by dissected text: one condition for all operators."""
+    return f"({null_scheme_field(cfg)} OR coalesce(info ILIKE '%null scheme%', false))"
+
+
 def watched(cfg: DetectorConfig) -> str:
     return f"(coalesce({_listed('src_ip', cfg.watch_list)}, false) OR coalesce({_listed('dst_ip', cfg.watch_list)}, false))"
 

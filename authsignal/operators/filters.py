@@ -26,7 +26,7 @@ def aborts(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFr
 
 def null_schemes(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Packets using the null protection scheme, by field or by dissected text."""
-    return packets.where(f"{null_scheme(cfg)} OR coalesce(info ILIKE '%null scheme%', false)")
+    return packets.where(null_scheme(cfg))
 
 
 def watched_packets(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authsignal.config import LABELS, MODEL_FEATURES, DetectorConfig
+from authsignal.config import MODEL_FEATURES, DetectorConfig
 from authsignal.operators.augment import class_weights, stratified_folds
 
 
@@ -42,9 +42,8 @@ def zscores(train: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def weighted_training(train: DataFrame) -> DataFrame:
-    """Training rows with the balanced weight of their class; one weight row per known class."""
-    weights = class_weights(train).where(F.col("label").isin(*LABELS)).select("label", F.col("weight").alias("w_class"))
-    return train.join(F.broadcast(weights), "label")
+    """Training rows with the balanced weight of their class, whatever classes occur."""
+    return train.join(class_weights(train).select("label", F.col("weight").alias("w_class")), "label")
 
 
 def classifier(trees: int = 200, cfg: DetectorConfig = DetectorConfig()) -> RandomForestClassifier:
@@ -61,8 +60,13 @@ def classifier(trees: int = 200, cfg: DetectorConfig = DetectorConfig()) -> Rand
 
 
 def fit(train: DataFrame, trees: int = 200, cfg: DetectorConfig = DetectorConfig()) -> PipelineModel:
-    """Scaler and forest on a training set with ``label`` and the model features."""
-    indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip")
+    """Scaler and forest on a training set with ``label`` and the model features.
+
+    The classes are those of the data. A row without a label can't be learned from and is refused.
+    """
+    if not train.where(F.col("label").isNull()).isEmpty():
+        raise ValueError("the training set has rows without a label")
+    indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="error")
     weighted = weighted_training(train)
     indexer = indexer.fit(weighted)
     stages = scaling_stages() + [classifier(trees, cfg)]

@@ -42,16 +42,33 @@ def metric_rows(detections: DataFrame) -> DataFrame:
 
 
 def label_text(labels: Column) -> Column:
-    """Labels as ``key="value"`` pairs in their written order."""
-    pairs = F.transform(F.map_entries(labels), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    """Labels as ``key="value"`` pairs in their written order; a null value is an empty one."""
+
+    def escaped(value: Column) -> Column:
+        for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            value = F.replace(value, F.lit(raw), F.lit(shown))
+        return F.coalesce(value, F.lit(""))
+
+    pairs = F.transform(F.map_entries(labels), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
     return F.array_join(pairs, ",")
 
 
 def exposition(rows: DataFrame) -> DataFrame:
-    """Text exposition: for each sample its HELP, TYPE and value line, in ``part`` order."""
+    """Text exposition: for each sample its HELP, TYPE and value line, in ``part`` order.
+
+    Rows without ``labels`` or ``capture``, as the summary's, have neither; samples without a value
+    are not exposed.
+    """
+    if "labels" not in rows.columns:
+        rows = rows.withColumn("labels", F.create_map().cast("map<string,string>"))
+    keys = [c for c in ("capture",) if c in rows.columns]
+    rows = rows.where(F.col("value").isNotNull())
     help_text = first_match([(F.col("name") == name, text) for name, text in METRIC_HELP.items()], "")
-    shown = F.when(F.col("value") == F.rint("value"), F.col("value").cast("bigint").cast("string")).otherwise(
-        F.col("value").cast("string")
+    value = F.col("value")
+    shown = (
+        F.when(F.isnan(value), "NaN")
+        .when(F.abs(value) == float("inf"), F.when(value > 0, "+Inf").otherwise("-Inf"))
+        .otherwise(F.regexp_replace(F.format_string("%.6f", value), "[.]?0+$", ""))
     )
     sample = F.concat(
         "name",
@@ -64,7 +81,7 @@ def exposition(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("# TYPE "), "name", F.lit(" gauge")),
         sample,
     )
-    return rows.select("capture", "name", F.posexplode(lines).alias("part", "value"))
+    return rows.select(*keys, "name", F.posexplode(lines).alias("part", "value"))
 
 
 def metric_summary(detections: DataFrame) -> DataFrame:
@@ -120,7 +137,7 @@ def bands(detections: DataFrame) -> DataFrame:
     return detections.select(
         "capture",
         first_match([(confidence < 0.65, "red"), (confidence < 0.85, "yellow")], "green").alias("confidence_band"),
-        first_match([(seconds < 30, "green"), (seconds < 60, "yellow")], "red").alias("time_band"),
+        first_match([(seconds.isNull(), None), (seconds < 30, "green"), (seconds < 60, "yellow")], "red").alias("time_band"),
         class_text(class_code(F.col("prediction"))).alias("class_text"),
     )
 

@@ -133,7 +133,7 @@ def block_list(packets: DataFrame, detections: DataFrame, cfg: DetectorConfig =
     return seen.join(flagged, ["capture", "prediction"], "left_semi").select("kind", "identity").distinct()
 
 
-def rate_limits(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), time: str = "ts_us") -> DataFrame:
+def rate_limits(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), time: str | None = None) -> DataFrame:
     """Attempts and failures of a subscriber in the window up to each instant, and the decision.
 
     A packet adds to the running count when it happens and takes itself back one microsecond after
@@ -142,6 +142,8 @@ def rate_limits(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), time
     happened in a bucket is still counted when the next one opens, and is taken back during it. A
     busy subscriber is so split over time, and packets of one instant merge before the shuffle.
     """
+    if time is None:
+        time = "ts_us" if "ts_us" in packets.columns else "unix_micros(ts)"
     width = cfg.rate_window_us
     attempt = f"coalesce(array_contains(nas_msg_types, {cfg.auth_request}), false)"
     failure = f"coalesce(array_contains(nas_msg_types, {cfg.auth_failure}), false)"

@@ -6,21 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.config import SCORE_ORDER, SCORE_WEIGHTS, UNKNOWN, DetectorConfig
+from authsignal.functions.columns import first_match
 
 EXPOSED = "suci_unencrypted = 1"
 DOWNGRADED = "reg_rejects >= 1 AND sec_mode_cmds >= 1"
 
 
-def _first(rules: list[tuple[str, str]], otherwise: Column) -> Column:
+def _first(rules: list[tuple[str, str]], otherwise: Column | str) -> Column:
     """Class of the first rule that holds. The chain is one expression inside generated code."""
-    chain = F
-    for condition, name in rules:
-        chain = chain.when(F.expr(condition), name)
-    return chain.otherwise(otherwise)
-
-
-def _column(value: Column | str) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+    return first_match([(F.expr(condition), name) for condition, name in rules], otherwise)
 
 
 def online_class(cfg: DetectorConfig = DetectorConfig(), otherwise: Column | str = "model") -> Column:
@@ -32,7 +26,7 @@ def online_class(cfg: DetectorConfig = DetectorConfig(), otherwise: Column | str
         ("sctp_abort >= 1", "replay"),
         (f"ng_setup_req = {cfg.rogue_sentinel}", "false_bs"),
     ]
-    return _first(rules, _column(otherwise))
+    return _first(rules, otherwise)
 
 
 def simple_class() -> Column:
@@ -44,7 +38,7 @@ def simple_class() -> Column:
         ("rand_repeat = 1 OR sctp_abort = 1", "replay"),
         ("auth_failures > 0 OR (auth_rate > 0.03D AND auth_success_rate < 0.5D)", "brute_force"),
     ]
-    return _first(rules, F.lit("normal"))
+    return _first(rules, "normal")
 
 
 def offline_class(otherwise: Column | str = "model") -> Column:
@@ -55,7 +49,7 @@ def offline_class(otherwise: Column | str = "model") -> Column:
         ("auth_failures > 0", "brute_force"),
         ("sctp_abort = 1", "replay"),
     ]
-    return _first(rules, _column(otherwise))
+    return _first(rules, otherwise)
 
 
 # ---- fixed values: conditions of the weighted detector and their weight in tenths ----

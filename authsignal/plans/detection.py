@@ -18,7 +18,20 @@ def capture_features(
 ) -> DataFrame:
     """One row per capture: best window with the whole-capture overrides applied."""
     rows = apply_overrides(capture_verdict_inputs(packets, cfg, limits), cfg)
-    return rows.withColumn("response_time", F.bround(F.col("capture_us") / F.lit(float(cfg.unit_us)), 2))
+    return rows.withColumn("capture_seconds", F.bround(F.col("capture_us") / F.lit(float(cfg.unit_us)), 2))
+
+
+def with_response_time(rows: DataFrame, timings: DataFrame | None) -> DataFrame:
+    """Add the measured ``response_time`` in seconds, null where nothing was measured.
+
+    ``timings`` has one row per capture: when its detection began and when the response was out
+    (``detected_from_us``, ``responded_us``).
+    """
+    if timings is None:
+        return rows.withColumn("response_time", F.lit(None).cast("double"))
+    seconds = F.bround((F.col("responded_us") - F.col("detected_from_us")) / F.lit(1e6), 2)
+    own = timings.select(F.col("capture").alias("_timed"), seconds.alias("response_time"))
+    return rows.join(own, F.col("capture").eqNullSafe(F.col("_timed")), "left").drop("_timed")
 
 
 def decide(
@@ -26,8 +39,9 @@ def decide(
     cfg: DetectorConfig,
     fallback_class: str,
     fallback_confidence: str,
+    method: str,
 ) -> DataFrame:
-    """Rules first; the rest takes the fallback verdict, subject to the confidence gate."""
+    """Rules first; the rest takes the fallback verdict of ``method``, subject to the confidence gate."""
     left = gated(F.col(fallback_class), F.col(fallback_confidence), cfg)
     ruled = online_class(cfg, otherwise=F.lit(None).cast("string")).isNotNull()
     confidence = F.when(ruled, F.lit(1.0)).otherwise(F.bround(fallback_confidence, 3))
@@ -35,7 +49,7 @@ def decide(
         {
             "prediction": online_class(cfg, otherwise=left),
             "confidence": confidence,
-            "method": F.when(ruled, "rule").otherwise("rf"),
+            "method": F.when(ruled, "rule").otherwise(method),
         }
     ).withColumn("actions", online_actions(F.col("prediction"), cfg))
 
@@ -45,10 +59,11 @@ def detect(
     model: PipelineModel,
     cfg: DetectorConfig = DetectorConfig(),
     limits: ScaleLimits = ScaleLimits(),
+    timings: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid detection over all captures in one plan: rules, else forest with the gate."""
-    scored = forest.predict(model, capture_features(packets, cfg, limits))
-    return decide(scored, cfg, "model_class", "model_confidence")
+    scored = forest.predict(model, with_response_time(capture_features(packets, cfg, limits), timings))
+    return decide(scored, cfg, "model_class", "model_confidence", "rf")
 
 
 def with_score_share(rows: DataFrame) -> DataFrame:
@@ -61,10 +76,14 @@ def with_score_share(rows: DataFrame) -> DataFrame:
 
 
 def detect_without_model(
-    packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), limits: ScaleLimits = ScaleLimits()
+    packets: DataFrame,
+    cfg: DetectorConfig = DetectorConfig(),
+    limits: ScaleLimits = ScaleLimits(),
+    timings: DataFrame | None = None,
 ) -> DataFrame:
     """Detection where no model is trained yet: weighted rules stand in for the forest."""
-    return decide(with_score_share(capture_features(packets, cfg, limits)), cfg, "weighted_class", "score_share")
+    rows = with_score_share(with_response_time(capture_features(packets, cfg, limits), timings))
+    return decide(rows, cfg, "weighted_class", "score_share", "weighted")
 
 
 def result_rows(detections: DataFrame, timestamp=None) -> DataFrame:
@@ -77,5 +96,6 @@ def result_rows(detections: DataFrame, timestamp=None) -> DataFrame:
         "method",
         "actions",
         "response_time",
+        "capture_seconds",
         F.struct(*MODEL_FEATURES).alias("features"),
     )

@@ -39,7 +39,7 @@ table(
     "frames",
     "",
     """
-SELECT user_id::VARCHAR || '-' || ((extract(day FROM ts) - 1) // 6)::VARCHAR AS capture,
+SELECT user_id::VARCHAR || '-' || (date_diff('day', DATE '2024-01-01', ts::DATE) // 6)::VARCHAR AS capture,
        event_id AS frame_no, epoch_us(ts) AS ts_us, ts, event_id, user_id, event_type, value,
        '10.10.0.' || (30 + event_id % 25)::VARCHAR AS src_ip, '10.10.0.12' AS dst_ip,
        CASE event_id % 4 WHEN 0 THEN 'SCTP' WHEN 1 THEN 'NGAP' WHEN 2 THEN 'NGAP/NAS-5GS' ELSE 'HTTP2' END AS protocol,
@@ -80,10 +80,12 @@ table(
     "logs",
     "frames",
     """
-SELECT *, 'amf-' || (user_id % 10)::VARCHAR AS source, event_id AS seq,
+SELECT * EXCLUDE (capture, ts), 'amf-' || (user_id % 10)::VARCHAR AS source, event_id AS seq, event_id % 31 <> 0 AS parsed,
+       CASE WHEN event_id % 59 = 0 THEN 'log-' || user_id::VARCHAR ELSE capture END AS capture,
+       CASE WHEN event_id % 31 <> 0 THEN ts END AS ts,
        CASE WHEN event_type = 'signup' THEN 'gmm' ELSE 'amf' END AS module,
        CASE WHEN event_type IN ('error', 'view', 'purchase') THEN 'WARNING' ELSE 'INFO' END AS level,
-       CASE WHEN event_id % 97 = 0 THEN 'gNB-N2 accepted[' || src_ip || ']:38412 in ng-path module'
+       CASE WHEN event_id % 31 = 0 THEN '  continued: ' ELSE '' END || CASE WHEN event_id % 97 = 0 THEN 'gNB-N2 accepted[' || src_ip || ']:38412 in ng-path module'
             WHEN event_id % 193 = 0 THEN 'gNB-N2[' || src_ip || '] connection refused!!!'
             WHEN event_type = 'error' THEN '[' || suci || '] Authentication failure [MAC failure]'
             WHEN event_type = 'view' THEN '[' || suci || '] Registration reject [23]'
@@ -175,10 +177,11 @@ SELECT b.* EXCLUDE (sctp_abort, auth_failures, ng_setup_req),
        CASE WHEN e.any_abort THEN 1 ELSE b.sctp_abort END::BIGINT AS sctp_abort,
        greatest(b.auth_failures, e.all_failures)::BIGINT AS auth_failures,
        CASE WHEN e.any_rogue THEN 99 ELSE b.ng_setup_req END::BIGINT AS ng_setup_req,
-       e.any_rogue, round_even(e.capture_us / {U}.0::DOUBLE, 2) AS response_time
+       e.any_rogue, round_even(e.capture_us / {U}.0::DOUBLE, 2) AS capture_seconds
 FROM best b JOIN evidence e USING (capture)""",
 )
 
+# ---- fixed values: the rule sets, their thresholds and class names ----
 ONLINE = """CASE WHEN suci_unencrypted = 1 THEN 'supi_harvest' WHEN reg_rejects >= 1 AND sec_mode_cmds >= 1 THEN 'bidding_down'
        WHEN auth_failures >= 5 THEN 'brute_force' WHEN sctp_abort >= 1 THEN 'replay' WHEN ng_setup_req = 99 THEN 'false_bs' ELSE 'model' END"""
 SIMPLE = """CASE WHEN suci_unencrypted = 1 THEN 'supi_harvest' WHEN reg_rejects >= 1 AND sec_mode_cmds >= 1 THEN 'bidding_down'
@@ -192,6 +195,7 @@ def offline(rest: str) -> str:
        WHEN auth_failures > 0 THEN 'brute_force' WHEN sctp_abort = 1 THEN 'replay' ELSE '{rest}' END"""
 
 
+# ---- fixed values: weighted conditions in tenths ----
 SCORES = """
        10 * (auth_failures > 0)::INTEGER + 3 * (auth_rate > 0.03)::INTEGER + 3 * (auth_success_rate < 0.5 AND auth_requests >= 1)::INTEGER
        + 2 * (reg_rejects = 0 AND auth_requests >= 1 AND suci_unencrypted = 0)::INTEGER AS score_brute_force,
@@ -212,17 +216,22 @@ table(
     f"SELECT *, {SIMPLE} AS label, {WEIGHTED} AS prediction, {offline('normal')} AS truth FROM scored",
 )
 table("capture_scores", "features", f"SELECT *, {SCORES} FROM features")
+table(
+    "timings",
+    "frames",
+    "SELECT capture, round_even((count(*) * 100 + sum(event_id % 100)) / 100.0::DOUBLE, 2) AS response_time FROM frames GROUP BY capture",
+)
 table(
     "detections",
-    "capture_scores",
+    "capture_scores timings",
     f"""
 SELECT *, CASE WHEN rule <> 'model' THEN rule WHEN share < 0.65 THEN 'unknown' ELSE weighted END AS prediction,
-       CASE WHEN rule <> 'model' THEN 'rule' ELSE 'rf' END AS method,
+       CASE WHEN rule <> 'model' THEN 'rule' ELSE 'weighted' END AS method,
        CASE WHEN rule <> 'model' THEN 1.0::DOUBLE ELSE round_even(share, 3) END AS confidence
 FROM (SELECT *, {ONLINE} AS rule, {WEIGHTED} AS weighted,
              CASE WHEN total > 0 THEN {TOP} / total ELSE 0.0 END AS share
       FROM (SELECT *, score_brute_force + score_supi_harvest + score_bidding_down + score_false_bs + score_replay + score_normal AS total
-            FROM capture_scores))""",
+            FROM capture_scores JOIN timings USING (capture)))""",
 )
 
 
@@ -330,6 +339,7 @@ table(
 )
 CODE = """CASE prediction WHEN 'normal' THEN 0 WHEN 'brute_force' THEN 1 WHEN 'supi_harvest' THEN 2 WHEN 'bidding_down' THEN 3
        WHEN 'replay' THEN 4 WHEN 'false_bs' THEN 5 ELSE -1 END"""
+# ---- fixed values: metric names and help texts ----
 table(
     "gauges",
     "detections",
@@ -340,6 +350,7 @@ UNION ALL SELECT capture, 'detection_response_time', 'Response time in seconds',
 UNION ALL SELECT capture, 'mitigation_applied', 'Mitigation applied', 'capture="' || capture || '",attack="' || prediction || '"', 1.0 FROM detections""",
 )
 SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
+SHOWN = "regexp_replace(printf('%.6f', value), '[.]?0+$', '')"
 RESPONDER = "FROM detections d JOIN plan p ON p.attack_type = d.prediction"
 RESPONDER_ACTIONS = """CASE WHEN p.attack_type <> 'false_bs' THEN p.actions
        WHEN d.any_rogue THEN 'rogue_gnb_terminated,' || p.actions ELSE 'rogue_gnb_not_active,' || p.actions END"""
@@ -349,6 +360,19 @@ def occurrences(text: str, word: str) -> str:
     return f"((length({text}) - length(replace({text}, '{word}', ''))) // {len(word)})"
 
 
+DAY = 86_400_000_000
+HELD_OUT = "('0x' || substr(md5(capture), 1, 8))::BIGINT % 5 = 0"
+# clock windows of three days, one each day, that the watermark (a day behind the last event) has passed
+table(
+    "stream_windows",
+    "frames",
+    f"""
+SELECT capture, start_us, {COUNTS}, bool_or(setup AND src_ip NOT IN ('10.10.0.30', '10.10.0.12')) AS any_rogue
+FROM (SELECT *, unnest([ts_us // {DAY} * {DAY}, (ts_us // {DAY} - 1) * {DAY}, (ts_us // {DAY} - 2) * {DAY}]) AS start_us FROM frames)
+WHERE start_us + {3 * DAY} <= (SELECT max(ts_us) FROM frames) // 1000 * 1000 - {DAY}
+GROUP BY capture, start_us""",
+)
+
 ORACLE: dict[str, str] = {
     "scan_packets": query(
         "frames",
@@ -363,8 +387,9 @@ ORACLE: dict[str, str] = {
     ),
     "log_parse": query(
         "logs",
-        """SELECT capture, source, seq, ts_us // 1000 * 1000 AS ts_us, strftime(ts, '%m/%d %H:%M:%S.%g') AS stamp, module, level, message,
-       'context.c:' || (event_id % 900 + 100)::VARCHAR AS place FROM logs""",
+        """SELECT capture, source, seq, epoch_us(ts) // 1000 * 1000 AS ts_us, strftime(ts, '%m/%d %H:%M:%S.%g') AS stamp,
+       CASE WHEN parsed THEN module END AS module, CASE WHEN parsed THEN level END AS level, message,
+       CASE WHEN parsed THEN 'context.c:' || (event_id % 900 + 100)::VARCHAR END AS place, parsed FROM logs""",
     ),
     "summary_parse": query(
         "packets", "SELECT capture, frame_no, rel / 1000000.0::DOUBLE AS seconds, src_ip, dst_ip, protocol, length, info FROM packets"
@@ -446,7 +471,7 @@ FROM (SELECT s.capture, s.w, m.label, row_number() OVER (ORDER BY m.pos, m.captu
     "online_detection": query(
         "features",
         f"""SELECT capture, prediction, CASE WHEN prediction <> 'model' THEN 1.0::DOUBLE END AS confidence,
-       CASE WHEN prediction <> 'model' THEN 'rule' ELSE 'rf' END AS method, {online_actions("prediction")} AS actions, response_time, t_start, score
+       CASE WHEN prediction <> 'model' THEN 'rule' ELSE 'model' END AS method, {online_actions("prediction")} AS actions, capture_seconds, t_start, score
 FROM (SELECT *, {ONLINE} AS prediction FROM features)""",
     ),
     "simple_rules": query("sliding", f"SELECT capture, w, {SIMPLE} AS prediction FROM sliding"),
@@ -496,8 +521,64 @@ UNION ALL SELECT 'weighted avg', round_even(sum(precision * support) / sum(suppo
             f"count(*) FILTER (WHERE prediction = '{c}') AS pred_{c}"
             for c in ("bidding_down", "brute_force", "false_bs", "normal", "replay", "supi_harvest")
         )
+        + ", 0::BIGINT AS pred_other"
         + " FROM judged GROUP BY label",
     ),
+    "confusion_pairs": query("judged", "SELECT label, prediction, count(*) AS n FROM judged GROUP BY label, prediction"),
+    "held_out_rules": query(
+        "judged",
+        f"""SELECT 'simple' AS method, count(*) AS n_rows, count(*) FILTER (WHERE truth = label) AS n_correct,
+       round_even(avg((truth = label)::INTEGER), 6) AS accuracy FROM judged WHERE {HELD_OUT}
+UNION ALL SELECT 'weighted', count(*), count(*) FILTER (WHERE truth = prediction), round_even(avg((truth = prediction)::INTEGER), 6)
+FROM judged WHERE {HELD_OUT}""",
+    ),
+    "hybrid_rule_rows": query(
+        "judged",
+        f"""SELECT capture, w, truth AS label, label AS simple, prediction AS weighted, rule AS hybrid
+FROM (SELECT *, {offline('model')} AS rule FROM judged) WHERE rule <> 'model' AND {HELD_OUT}""",
+    ),
+    "rf_rule_rows": query(
+        "detections", "SELECT capture, prediction, confidence, method, response_time FROM detections WHERE method = 'rule'"
+    ),
+    "rf_checks": query(
+        "detections",
+        """SELECT count(*) AS captures, count(*) FILTER (WHERE method <> 'rule') AS left_to_forest, 0::BIGINT AS bad_confidence,
+       0::BIGINT AS bad_gate, 0::BIGINT AS bad_rounding FROM detections""",
+    ),
+    "rf_importance_checks": query("", "SELECT 5::BIGINT AS features, true AS none_negative, true AS share_of_one"),
+    "training_order": query(
+        "numbered",
+        f"""SELECT label, seq::INTEGER AS seq, capture, w, (row_number() OVER (ORDER BY key, label, seq))::INTEGER AS place
+FROM (SELECT *, {draw('order').replace('i::VARCHAR', 'seq::VARCHAR')} AS key FROM numbered WHERE seq <= 100)""",
+    ),
+    "recent_rejects": query(
+        "logs",
+        """SELECT source, count(*) AS lines, max(seq) AS newest
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq DESC) AS rn FROM logs WHERE contains(message, 'Registration reject [23]'))
+WHERE rn <= 5 GROUP BY source""",
+    ),
+    "recent_null_schemes": query(
+        "logs",
+        """SELECT source, count(*) AS lines, max(seq) AS newest
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq DESC) AS rn FROM logs WHERE contains(message, 'suci-0-001-01-0000-0-'))
+WHERE rn <= 5 GROUP BY source""",
+    ),
+    "stream_windows": query(
+        "stream_windows",
+        """SELECT capture, start_us, total_packets, auth_requests, auth_failures, reg_requests, reg_rejects, suci_unencrypted, rand_repeat
+FROM stream_windows""",
+    ),
+    "stream_alerts": query(
+        "stream_windows",
+        f"""SELECT DISTINCT capture, prediction FROM (SELECT *, {ONLINE} AS prediction
+FROM (SELECT * EXCLUDE (ng_setup_req), CASE WHEN any_rogue THEN 99 ELSE ng_setup_req END AS ng_setup_req FROM stream_windows))
+WHERE prediction <> 'model'""",
+    ),
+    "stream_overrides": query(
+        "frames",
+        f"""SELECT capture, ts_us // {10 * DAY} * {10 * DAY} AS start_us, count(*) FILTER (WHERE nas = 89) AS all_failures, bool_or(abort) AS any_abort,
+       bool_or(setup AND src_ip NOT IN ('10.10.0.30', '10.10.0.12')) AS any_rogue FROM frames GROUP BY ALL""",
+    ),
     "method_summary": query(
         "judged",
         """SELECT 'simple' AS method, count(*) AS n_rows, count(*) FILTER (WHERE truth = label) AS n_correct,
@@ -561,10 +642,16 @@ FROM (SELECT user_id AS subscriber, ts_us AS at_us, count(*) FILTER (WHERE nas =
     "metric_rows": query("gauges", "SELECT capture, name, labels, value FROM gauges"),
     "metric_exposition": query(
         "gauges",
-        """SELECT capture, name, 0 AS part, '# HELP ' || name || ' ' || help AS value FROM gauges WHERE name <> 'detection_response_time'
-UNION ALL SELECT capture, name, 1, '# TYPE ' || name || ' gauge' FROM gauges WHERE name <> 'detection_response_time'
-UNION ALL SELECT capture, name, 2, name || '{' || labels || '} ' || CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END
-FROM gauges WHERE name <> 'detection_response_time'""",
+        f"""SELECT capture, name, 0 AS part, '# HELP ' || name || ' ' || help AS value FROM gauges
+UNION ALL SELECT capture, name, 1, '# TYPE ' || name || ' gauge' FROM gauges
+UNION ALL SELECT capture, name, 2, name || '{{' || labels || '}} ' || {SHOWN} FROM gauges""",
+    ),
+    "metric_summary_exposition": query(
+        "detections",
+        f"""SELECT name, part, CASE part WHEN 0 THEN '# HELP ' || name || ' ' || help WHEN 1 THEN '# TYPE ' || name || ' gauge' ELSE name || ' ' || {SHOWN} END AS value
+FROM (SELECT 'pipeline_total_captures' AS name, 'Total captures processed' AS help, count(*)::DOUBLE AS value FROM detections
+      UNION ALL SELECT 'pipeline_avg_response_time', 'Average response time', round_even(coalesce(avg(response_time), 0.0), 4) FROM detections)
+CROSS JOIN (SELECT unnest([0, 1, 2]) AS part)""",
     ),
     "metric_summary": query(
         "detections",
@@ -614,18 +701,29 @@ FROM (SELECT *, g AS is_gnb, NOT g AND event_type <> 'signup' AS m
         + " FROM documents GROUP BY lang",
     ),
     "evidence_auth_failures": query(
-        "logs",
-        """SELECT capture, count(*) AS packets, count(*) FILTER (WHERE protocol <> 'HTTP2') AS sctp_packets,
-       count(*) FILTER (WHERE nas = 89) AS failure_packets, count(*) FILTER (WHERE contains(message, 'MAC failure')) AS log_failures,
-       count(*) FILTER (WHERE contains(message, 'Authentication reject')) AS log_rejects,
-       count(*) FILTER (WHERE contains(message, 'MAC failure')) > 0 AS detected
-FROM logs GROUP BY capture""",
+        "frames logs",
+        """SELECT capture, coalesce(packets, 0) AS packets, coalesce(sctp_packets, 0) AS sctp_packets, coalesce(failure_packets, 0) AS failure_packets,
+       coalesce(log_failures, 0) AS log_failures, coalesce(log_rejects, 0) AS log_rejects, coalesce(log_failures, 0) > 0 AS detected
+FROM (SELECT capture, count(*) AS packets, count(*) FILTER (WHERE protocol <> 'HTTP2') AS sctp_packets,
+             count(*) FILTER (WHERE nas = 89) AS failure_packets FROM frames GROUP BY capture)
+FULL JOIN (SELECT capture, count(*) FILTER (WHERE contains(message, 'MAC failure')) AS log_failures,
+                  count(*) FILTER (WHERE contains(message, 'Authentication reject')) AS log_rejects FROM logs GROUP BY capture) USING (capture)""",
     ),
     "evidence_rejects": query(
-        "logs",
+        "frames logs",
         """SELECT capture, packet_rejects, log_rejects, packet_rejects + log_rejects > 0 AS detected
-FROM (SELECT capture, count(*) FILTER (WHERE contains(info, 'Registration reject')) AS packet_rejects,
-             count(*) FILTER (WHERE contains(message, ' reject')) AS log_rejects FROM logs GROUP BY capture)""",
+FROM (SELECT capture, coalesce(p.n, 0) AS packet_rejects, coalesce(l.n, 0) AS log_rejects
+      FROM (SELECT capture, count(*) FILTER (WHERE contains(info, 'Registration reject')) AS n FROM frames GROUP BY capture) p
+      FULL JOIN (SELECT capture, count(*) FILTER (WHERE contains(message, ' reject')) AS n FROM logs GROUP BY capture) l USING (capture))""",
+    ),
+    "evidence_since": query(
+        "frames logs",
+        f"""SELECT capture, coalesce(log_failures, 0) AS log_failures, coalesce(log_rejects, 0) AS log_rejects,
+       coalesce(refused, false) AS refused, coalesce(accepted, false) AS accepted
+FROM (SELECT DISTINCT capture FROM frames)
+FULL JOIN (SELECT capture, count(*) FILTER (WHERE contains(message, 'MAC failure')) AS log_failures,
+                  count(*) FILTER (WHERE contains(message, 'Authentication reject')) AS log_rejects, bool_or(contains(message, 'refused')) AS refused,
+                  bool_or(contains(message, 'accepted') AND src_ip = '10.10.0.50') AS accepted FROM logs WHERE ts >= {SINCE} GROUP BY capture) USING (capture)""",
     ),
     "evidence_null_scheme": query(
         "frames",
@@ -633,12 +731,14 @@ FROM (SELECT capture, count(*) FILTER (WHERE contains(info, 'Registration reject
        count(scheme) AS schemes_seen, count(*) FILTER (WHERE scheme = 0) > 0 AS detected FROM frames GROUP BY capture""",
     ),
     "evidence_rogue": query(
-        "logs",
+        "frames logs",
         """SELECT *, refused OR accepted AS detected
-FROM (SELECT capture, bool_or(contains(info, 'NGSetupResponse')) AS setup_response, bool_or(contains(info, 'NGSetupFailure')) AS setup_failure,
-             bool_or(nas IN (86, 89)) AS auth_seen, bool_or(contains(message, 'refused')) AS refused,
-             bool_or(contains(message, 'accepted') AND src_ip = '10.10.0.50') AS accepted
-      FROM logs GROUP BY capture)""",
+FROM (SELECT capture, coalesce(setup_response, false) AS setup_response, coalesce(setup_failure, false) AS setup_failure,
+             coalesce(auth_seen, false) AS auth_seen, coalesce(refused, false) AS refused, coalesce(accepted, false) AS accepted
+      FROM (SELECT capture, bool_or(contains(info, 'NGSetupResponse')) AS setup_response, bool_or(contains(info, 'NGSetupFailure')) AS setup_failure,
+                   bool_or(nas IN (86, 89)) AS auth_seen FROM frames GROUP BY capture)
+      FULL JOIN (SELECT capture, bool_or(contains(message, 'refused')) AS refused,
+                        bool_or(contains(message, 'accepted') AND src_ip = '10.10.0.50') AS accepted FROM logs GROUP BY capture) USING (capture))""",
     ),
     "evidence_abort": query(
         "frames",
@@ -646,8 +746,11 @@ FROM (SELECT capture, bool_or(contains(info, 'NGSetupResponse')) AS setup_respon
 FROM frames GROUP BY capture""",
     ),
     "evidence_sections": query(
-        "logs",
-        """SELECT capture, 'packets' AS section, seq, info AS line FROM logs WHERE setup OR abort OR nas IN (68, 93)
+        "frames logs",
+        """SELECT capture, 'packets' AS section, frame_no AS seq, info AS line FROM frames WHERE setup OR abort OR nas IN (68, 93)
+UNION ALL SELECT capture, 'scheme_lines', frame_no, info FROM frames WHERE scheme = 0
+UNION ALL SELECT capture, 'scheme_values', frame_no, scheme::VARCHAR FROM frames WHERE scheme IS NOT NULL
+UNION ALL SELECT capture, 'base_station', seq, message FROM logs WHERE event_id % 97 = 0 OR event_id % 193 = 0
 UNION ALL SELECT capture, 'log', seq, message FROM logs WHERE regexp_matches(lower(message), 'security|reject|refused|accepted')""",
     ),
     "last_registrations": query(
@@ -657,3 +760,4 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY seq DESC))::INT
 WHERE rank <= 4""",
     ),
 }
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from authsignal.config import LABELS, MODEL_FEATURES, TRAINING_FEATURES
-from authsignal.functions.shared import written
+from authsignal.functions.shared import new_path, written
 from authsignal.operators import augment, evaluate, evidence, filters, forest, metrics, respond, rules, windows
 from authsignal.operators.features import (
     FEATURE_COLUMNS,
@@ -19,13 +22,16 @@ from authsignal.operators.features import (
 from authsignal.plans import detection, training
 from authsignal.sources import captures
 from authsignal.sources import events as ev
+from authsignal.streaming import jobs
 
 CFG = ev.ADAPTER
 KEY = ("capture", "w")
 SINCE = "2024-01-10 00:00:00"
 STARTED, ENDED = "2024-01-16 00:00:00", "2024-01-26 00:00:00"
 YEAR = 2024
-TREES = 20
+TREES = 200
+STREAM = replace(CFG, unit_us=1_000_000, rate_window_seconds=CFG.rate_window_us // 1_000_000)
+LATE, SPAN, STEP, STRETCH = "1 day", "3 days", "1 day", "10 days"
 
 
 def _since(text: str):
@@ -62,7 +68,7 @@ def _truth(spark, folder) -> DataFrame:
 
 
 def _detections(spark, folder) -> DataFrame:
-    return detection.detect_without_model(ev.packets(spark, folder), CFG)
+    return detection.detect_without_model(ev.packets(spark, folder), CFG, timings=ev.timings(spark, folder))
 
 
 def _parsed(spark, folder) -> DataFrame:
@@ -99,7 +105,7 @@ def missing_captures(spark, folder):
 
 def log_parse(spark, folder):
     return _parsed(spark, folder).select(
-        "capture", "source", "seq", F.unix_micros("ts").alias("ts_us"), "stamp", "module", "level", "message", "place"
+        "capture", "source", "seq", F.unix_micros("ts").alias("ts_us"), "stamp", "module", "level", "message", "place", "parsed"
     )
 
 
@@ -224,7 +230,7 @@ def active_windows(spark, folder):
 
 
 def capture_duration(spark, folder):
-    return captures.capture_duration(ev.packets(spark, folder)).select("capture", "capture_us", "n_rows")
+    return captures.stamped_duration(ev.frames(spark, folder)).select("capture", "capture_us", "n_rows")
 
 
 def capture_overrides(spark, folder):
@@ -270,9 +276,9 @@ def online_detection(spark, folder):
         "capture",
         "prediction",
         F.when(ruled, F.lit(1.0)).alias("confidence"),
-        F.when(ruled, "rule").otherwise("rf").alias("method"),
+        F.when(ruled, "rule").otherwise("model").alias("method"),
         F.array_join(respond.online_actions(F.col("prediction"), CFG), ",").alias("actions"),
-        "response_time",
+        "capture_seconds",
         "t_start",
         "score",
     )
@@ -315,23 +321,66 @@ def stratified_folds(spark, folder):
     return augment.stratified_folds(trimmed).select("label", "seq", *KEY, "fold")
 
 
-def _model(spark, folder):
-    return training.train(_labelled(spark, folder), TREES, CFG)
+def _detected(spark, folder) -> DataFrame:
+    """Train and detect on one packet table: its clock is attached once for both."""
+    packets = ev.packets(spark, folder)
+    labelled = sliding_features(packets, CFG).withColumn("label", rules.simple_class())
+    model = training.train(labelled, TREES, CFG)
+    return detection.detect(packets, model, CFG, timings=ev.timings(spark, folder))
 
 
 def rf_train_predict(spark, folder):
-    rows = detection.detect(ev.packets(spark, folder), _model(spark, folder), CFG)
+    return _detected(spark, folder).select("capture", "prediction", "confidence", "method", "response_time")
+
+
+def rf_rule_rows(spark, folder):
+    """The captures that the rules decide although a forest is there."""
+    rows = _detected(spark, folder).where(F.col("method") == "rule")
     return rows.select("capture", "prediction", "confidence", "method", "response_time")
 
 
-def offline_hybrid(spark, folder):
+def rf_checks(spark, folder):
+    """How many captures there are, and how many break a rule that any forest must keep."""
+    rows = _detected(spark, folder)
+    sure, ruled = F.col("model_confidence"), F.col("method") == "rule"
+    # the highest of at most six class probabilities
+    return rows.agg(
+        F.count("*").alias("captures"),
+        F.count_if(~ruled).alias("left_to_forest"),
+        F.count_if(sure.isNull() | (sure < 1 / len(LABELS) - 1e-9) | (sure > 1 + 1e-9)).alias("bad_confidence"),
+        F.count_if(~ruled & ((F.col("prediction") == "unknown") != (sure < CFG.confidence_gate))).alias("bad_gate"),
+        F.count_if(~ruled & (F.col("confidence") != F.bround(sure, 3))).alias("bad_rounding"),
+    )
+
+
+def _held_out(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """A forest trained on the other captures, and all verdicts on the captures kept for testing."""
     labelled = _stored(spark, folder)
-    rows = training.with_all_predictions(training.train(labelled, TREES, CFG), labelled)
-    return rows.select(*KEY, "label", "simple", "weighted", "forest", "hybrid")
+    train = labelled.where(~training.held_out())
+    truth = labelled.where(training.held_out()).withColumn("label", rules.offline_class(otherwise="normal"))
+    return train, training.with_all_predictions(training.train(train, TREES, CFG), truth)
+
+
+def offline_hybrid(spark, folder):
+    return _held_out(spark, folder)[1].select(*KEY, "label", "simple", "weighted", "forest", "hybrid")
+
+
+def hybrid_rule_rows(spark, folder):
+    """The held-out windows that the offline rules decide."""
+    rows = offline_hybrid(spark, folder).join(_sliding(spark, folder), list(KEY))
+    ruled = rules.offline_class(otherwise="model") != "model"
+    return rows.where(ruled).select(*KEY, "label", "simple", "weighted", "hybrid")
 
 
 def rf_importances(spark, folder):
-    return forest.importances(_model(spark, folder))
+    return forest.importances(training.train(_labelled(spark, folder), TREES, CFG))
+
+
+def rf_importance_checks(spark, folder):
+    whole = F.sum("importance")
+    return rf_importances(spark, folder).agg(
+        F.count("*").alias("features"), (F.min("importance") >= 0).alias("none_negative"), ((whole > 0) & (whole <= 1 + 1e-9)).alias("share_of_one")
+    )
 
 
 def rf_cv(spark, folder):
@@ -339,12 +388,42 @@ def rf_cv(spark, folder):
 
 
 def method_accuracy(spark, folder):
-    """Accuracy of all four methods on labelled windows."""
-    labelled = _stored(spark, folder)
-    model = training.train(labelled, TREES, CFG)
-    truth = labelled.withColumn("label", rules.offline_class(otherwise="normal"))
-    names = {"simple": "simple", "weighted": "weighted", "forest": "forest", "hybrid": "hybrid"}
-    return evaluate.method_summary(training.with_all_predictions(model, truth), names)
+    """Accuracy of all four methods on captures the forest has not seen, and of its cross-validation."""
+    train, judged = _held_out(spark, folder)
+    summary = evaluate.method_summary(judged, {name: name for name in ("simple", "weighted", "forest", "hybrid")})
+    rows = training.training_set(train, CFG)
+    folds = forest.cross_validate(rows, TREES, cfg=CFG).select(
+        F.lit("forest, 5 folds").alias("method"),
+        F.lit(rows.count()).alias("n_rows"),
+        F.lit(None).cast("bigint").alias("n_correct"),
+        F.bround("mean_accuracy", 6).alias("accuracy"),
+    )
+    return summary.unionByName(folds)
+
+
+def held_out_rules(spark, folder):
+    """The lines of ``method_accuracy`` that don't depend on a forest."""
+    labelled = _truth(spark, folder).where(training.held_out())
+    return evaluate.method_summary(labelled, {"simple": "simple", "weighted": "weighted"})
+
+
+def forest_report(spark, folder):
+    """Report per class on held-out captures, for the forest and for the hybrid."""
+    judged = written(_held_out(spark, folder)[1], "judged")
+    reports = [
+        evaluate.classification_report(judged.withColumn("prediction", F.col(name))).withColumn("method", F.lit(name))
+        for name in ("forest", "hybrid")
+    ]
+    return reports[0].unionByName(reports[1])
+
+
+def forest_confusion(spark, folder):
+    judged = written(_held_out(spark, folder)[1], "judged")
+    pairs = [
+        evaluate.confusion_matrix(judged.withColumn("prediction", F.col(name))).withColumn("method", F.lit(name))
+        for name in ("forest", "hybrid")
+    ]
+    return pairs[0].unionByName(pairs[1])
 
 
 # ---- evaluation ----
@@ -362,6 +441,10 @@ def classification_report(spark, folder):
 
 
 def confusion_matrix(spark, folder):
+    return evaluate.confusion_matrix(_judged(spark, folder), LABELS)
+
+
+def confusion_pairs(spark, folder):
     return evaluate.confusion_matrix(_judged(spark, folder))
 
 
@@ -399,6 +482,13 @@ def augmented_counts(spark, folder):
     return augment.class_distribution(training.training_set(_labelled(spark, folder), CFG))
 
 
+def training_order(spark, folder):
+    """Place of each trimmed training row in the seeded order of writing: some hundred rows."""
+    trimmed = filters.first_n(_labelled(spark, folder), "label", training.ORDER, CFG.per_class)
+    place = F.row_number().over(W.orderBy(augment.shuffle_key(CFG), "label", "seq"))
+    return trimmed.select("label", "seq", *KEY, place.alias("place"))
+
+
 # ---- responses ----
 def response_plan(spark, folder):
     return _detections(spark, folder).select("capture", "prediction", F.array_join("actions", ",").alias("actions"))
@@ -437,14 +527,21 @@ def response_summary(spark, folder):
 
 
 def block_list(spark, folder):
-    rows = ev.packets(spark, folder)
-    return respond.block_list(rows, _detections(spark, folder), CFG)
+    return respond.block_list(ev.frames(spark, folder), _detections(spark, folder), CFG)
 
 
 def recent_failures(spark, folder):
     return evidence.recent_failures(_parsed(spark, folder), "source", "seq")
 
 
+def recent_rejects(spark, folder):
+    return evidence.recent_lines(_parsed(spark, folder), r"Registration reject \[23\]", "source", "seq")
+
+
+def recent_null_schemes(spark, folder):
+    return evidence.recent_lines(_parsed(spark, folder), r"suci-\d+-\d+-\d+-\d+-0-", "source", "seq")
+
+
 def rate_limit(spark, folder):
     return respond.rate_limits(ev.frames(spark, folder), CFG)
 
@@ -465,8 +562,11 @@ def metric_rows(spark, folder):
 
 
 def metric_exposition(spark, folder):
-    rows = metrics.metric_rows(_detections(spark, folder)).where(F.col("name") != "detection_response_time")
-    return metrics.exposition(rows).select("capture", "name", "part", "value")
+    return metrics.exposition(metrics.metric_rows(_detections(spark, folder))).select("capture", "name", "part", "value")
+
+
+def metric_summary_exposition(spark, folder):
+    return metrics.exposition(metrics.metric_summary(_detections(spark, folder)))
 
 
 def metric_summary(spark, folder):
@@ -538,6 +638,60 @@ def last_registrations(spark, folder):
     return rows.select("source", "rank", "seq", "message")
 
 
+def evidence_since(spark, folder):
+    """The verdicts that rest on the log alone, from a time on."""
+    frames, parsed, since = ev.frames(spark, folder), _parsed(spark, folder), _since(SINCE)
+    guessing = evidence.failure_evidence(frames, parsed, CFG, since).select("capture", "log_failures", "log_rejects")
+    rogue = evidence.rogue_evidence(frames, parsed, CFG.rogue_address, since).select("capture", "refused", "accepted")
+    return guessing.join(rogue, "capture")
+
+
+# ---- streams: event files as they arrive, all that is there, then what the watermark closes ----
+def _streamed(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and read what it wrote to the shared folder."""
+    spark = df.sparkSession
+    out, log = new_path(spark, name), new_path(spark, f"{name}-log")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.schema(df.schema).parquet(out).drop("batch")
+
+
+def _stream_windows(spark, folder) -> DataFrame:
+    packets = ev.packet_stream(spark, folder, LATE)
+    return jobs.window_features(packets, CFG, SPAN, STEP, float(CFG.window_seconds))
+
+
+def stream_windows(spark, folder):
+    rows = _streamed(_stream_windows(spark, folder), "stream-windows")
+    return rows.select(
+        "capture",
+        F.unix_micros("t_start").alias("start_us"),
+        *[F.col(name) for name in ("total_packets", "auth_requests", "auth_failures", "reg_requests", "reg_rejects")],
+        "suci_unencrypted",
+        "rand_repeat",
+    )
+
+
+def stream_overrides(spark, folder):
+    rows = _streamed(jobs.running_overrides(ev.packet_stream(spark, folder, LATE), CFG, STRETCH), "stream-overrides", "update")
+    return rows.select("capture", F.unix_micros("stretch.start").alias("start_us"), "all_failures", "any_abort", "any_rogue")
+
+
+def stream_rate_limit(spark, folder):
+    return _streamed(jobs.rate_limiter(ev.packet_stream(spark, folder, LATE), STREAM), "stream-limits")
+
+
+def stream_alerts(spark, folder):
+    scored = jobs.score_windows(_stream_windows(spark, folder), CFG)
+    return _streamed(jobs.alerts(scored), "stream-alerts").select("capture", "prediction")
+
+
 QUERIES = {
     "scan_packets": scan_packets,
     "labelled_packets": labelled_packets,
@@ -584,6 +738,23 @@ QUERIES = {
     "class_weights": class_weights,
     "stratified_folds": stratified_folds,
     "rf_train_predict": rf_train_predict,
+    "rf_rule_rows": rf_rule_rows,
+    "rf_checks": rf_checks,
+    "rf_importance_checks": rf_importance_checks,
+    "hybrid_rule_rows": hybrid_rule_rows,
+    "held_out_rules": held_out_rules,
+    "forest_report": forest_report,
+    "forest_confusion": forest_confusion,
+    "confusion_pairs": confusion_pairs,
+    "training_order": training_order,
+    "recent_rejects": recent_rejects,
+    "recent_null_schemes": recent_null_schemes,
+    "metric_summary_exposition": metric_summary_exposition,
+    "evidence_since": evidence_since,
+    "stream_windows": stream_windows,
+    "stream_overrides": stream_overrides,
+    "stream_rate_limit": stream_rate_limit,
+    "stream_alerts": stream_alerts,
     "offline_hybrid": offline_hybrid,
     "rf_importances": rf_importances,
     "rf_cv": rf_cv,
@@ -631,5 +802,4 @@ QUERIES = {
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Which captures are attacks, and why: hybrid detection with nested features."""
-    rows = detection.detect(ev.packets(spark, folder), _model(spark, folder), CFG)
-    return detection.result_rows(rows, F.lit("2024-02-01").cast("timestamp"))
+    return detection.result_rows(_detected(spark, folder), F.lit("2024-02-01").cast("timestamp"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.config import DetectorConfig, ScaleLimits
@@ -39,6 +39,11 @@ def train(labelled: DataFrame, trees: int = 200, cfg: DetectorConfig = DetectorC
     return forest.fit(training_set(labelled, cfg), trees, cfg)
 
 
+def held_out(capture: str = "capture", parts: int = 5) -> Column:
+    """Captures kept for testing: about one in ``parts``, whole captures, by their name alone."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(capture), F.lit(""))), 1, 8), 16, 10).cast("bigint") % parts == 0
+
+
 def with_all_predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Simple, weighted, forest and hybrid verdicts side by side on labelled windows."""
     scored = with_weighted_scores(forest.predict(model, rows))

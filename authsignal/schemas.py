@@ -22,6 +22,7 @@ PACKET = T.StructType(
         T.StructField("rand", T.StringType()),
         T.StructField("length", T.IntegerType()),
         T.StructField("info", T.StringType()),
+        T.StructField("subscriber", T.LongType()),
     ]
 )
 
@@ -49,48 +50,3 @@ METRIC_SAMPLE = T.StructType(
         T.StructField("ts", T.TimestampType()),
     ]
 )
-
-LOG_LINE = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("line", T.StringType()),
-    ]
-)
-
-RESPONSE_EVENT = T.StructType(
-    [
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("attack_type", T.StringType()),
-        T.StructField("actions", T.ArrayType(T.StringType())),
-        T.StructField("target", T.StringType()),
-        T.StructField("success", T.BooleanType()),
-    ]
-)
-
-# Subscriber documents are read for their identifiers and slices only; key material is left out.
-SUBSCRIBER = T.StructType(
-    [
-        T.StructField("imsi", T.StringType()),
-        T.StructField(
-            "ambr",
-            T.StructType(
-                [
-                    T.StructField(way, T.StructType([T.StructField("value", T.LongType()), T.StructField("unit", T.IntegerType())]))
-                    for way in ("downlink", "uplink")
-                ]
-            ),
-        ),
-        T.StructField(
-            "slice",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("sst", T.IntegerType()),
-                        T.StructField("session", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.IntegerType())]))),
-                    ]
-                )
-            ),
-        ),
-    ]
-)

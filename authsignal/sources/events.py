@@ -22,7 +22,8 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-CAPTURE = "concat(cast(user_id AS string), '-', cast((dayofmonth(ts) - 1) div 6 AS string)) AS capture"
+CAPTURE_NAME = "concat(cast(user_id AS string), '-', cast(datediff(ts, DATE'2024-01-01') div 6 AS string))"
+CAPTURE = f"{CAPTURE_NAME} AS capture"
 
 FRAME_COLUMNS = (
     CAPTURE,
@@ -64,6 +65,22 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).selectExpr(*columns)
 
 
+def packet_stream(spark: SparkSession, folder: str, late: str) -> DataFrame:
+    """The same packets as a stream of event files, with their event time."""
+    columns = [c.format(code=CODE, base=BASE, setup=SETUP) for c in FRAME_COLUMNS]
+    # as a pattern, the table may be one file or a folder of files
+    source = spark.readStream.schema(events(spark, folder).schema).parquet(f"{folder}/events.[p]arquet")
+    return source.selectExpr("cast(ts AS timestamp) AS ts", *columns).withWatermark("ts", late)
+
+
+def timings(spark: SparkSession, folder: str) -> DataFrame:
+    """When the detection of each capture began and when the response was out, from its events."""
+    return frames(spark, folder).groupBy("capture").agg(
+        F.max("ts_us").alias("detected_from_us"),
+        (F.max("ts_us") + F.count("*") * 1_000_000 + F.sum(F.col("frame_no") % 100) * 10_000).alias("responded_us"),
+    )
+
+
 def packets(spark: SparkSession, folder: str, limits: ScaleLimits = ScaleLimits()) -> DataFrame:
     return with_capture_clock(frames(spark, folder), limits)
 
@@ -96,14 +113,20 @@ MESSAGE = (
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """AMF log lines, one per event, with terminal colours and without a year."""
+    """AMF log lines, one per event, with terminal colours and without a year.
+
+    Every 31st is a continuation line without any of that, and every 59th belongs to a capture that
+    has no packets.
+    """
     line = (
+        f"if(event_id % 31 = 0, concat('  continued: ', {MESSAGE}), "
         "concat('\x1b[32m', date_format(ts, 'MM/dd HH:mm:ss.SSS'), '\x1b[0m: [\x1b[33m', if(event_type = 'signup', 'gmm', 'amf'), "
         "'\x1b[0m] \x1b[1;36m', if(event_type IN ('error', 'view', 'purchase'), 'WARNING', 'INFO'), '\x1b[0m: ', "
-        f"{MESSAGE}, ' (context.c:', cast(100 + event_id % 900 AS string), ')') AS line"
+        f"{MESSAGE}, ' (context.c:', cast(100 + event_id % 900 AS string), ')')) AS line"
     )
     return events(spark, folder).selectExpr(
-        CAPTURE, "concat('amf-', cast(user_id % 10 AS string)) AS source", "event_id AS seq", line
+        f"if(event_id % 59 = 0, concat('log-', cast(user_id AS string)), {CAPTURE_NAME}) AS capture",
+        "concat('amf-', cast(user_id % 10 AS string)) AS source", "event_id AS seq", line
     )
 
 

@@ -56,7 +56,8 @@ def write_response_report(events: DataFrame, blocked: DataFrame, path: str) -> N
 def write_exposition(metric_rows: DataFrame, path: str) -> None:
     """Metric text files; lines of one sample stay together and in order."""
     lines = exposition(metric_rows)
-    lines.repartition("capture").sortWithinPartitions("capture", "name", "part").select("value").write.text(path)
+    keys = [c for c in ("capture", "name") if c in lines.columns]
+    lines.repartition(*keys[:1]).sortWithinPartitions(*keys, "part").select("value").write.text(path)
 
 
 def write_event_log(lines: DataFrame, path: str) -> None:

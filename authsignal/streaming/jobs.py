@@ -85,10 +85,14 @@ def score_windows(
     return scored.withColumn("prediction", online_class(cfg, otherwise=sure))
 
 
-def running_overrides(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Whole-capture evidence so far; write in update mode."""
+def running_overrides(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), keep: str = "1 day") -> DataFrame:
+    """Whole-capture evidence so far, per capture and stretch of ``keep``; write in update mode.
+
+    A stretch is forgotten once the watermark has passed it, so the state is bounded by what arrives
+    in ``keep``; a capture that goes on for longer has a row for each stretch.
+    """
     tests = conditions(cfg)
-    return packets.groupBy("capture").agg(
+    return packets.groupBy("capture", F.window("ts", keep).alias("stretch")).agg(
         F.expr(f"count_if({tests['auth_failures']}) AS all_failures"),
         F.expr(f"bool_or({tests['sctp_abort']}) AS any_abort"),
         F.expr(f"bool_or({rogue_setup(cfg)}) AS any_rogue"),

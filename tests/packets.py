@@ -9,7 +9,7 @@ from authsignal.schemas import PACKET
 ORIGIN = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
 
-def packet(capture, frame_no, seconds, nas=(), ngap=(), sctp=(), scheme=None, rand=None, src="10.10.0.30", dst="10.10.0.12", info=""):
+def packet(capture, frame_no, seconds, nas=(), ngap=(), sctp=(), scheme=None, rand=None, src="10.10.0.30", dst="10.10.0.12", info="", subscriber=None):
     us = round(seconds * 1_000_000)
     return (
         capture,
@@ -26,6 +26,7 @@ def packet(capture, frame_no, seconds, nas=(), ngap=(), sctp=(), scheme=None, ra
         rand,
         100,
         info,
+        subscriber,
     )
 
 

@@ -4,13 +4,16 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from authsignal.config import BINARY_FEATURES, INTEGER_FEATURES, TRAINING_FEATURES, DetectorConfig
-from authsignal.functions.shared import shared_folder
-from authsignal.operators import augment, evaluate, forest, metrics, respond
-from authsignal.operators.features import sliding_features
+from authsignal.config import BINARY_FEATURES, INTEGER_FEATURES, LABELS, TRAINING_FEATURES, DetectorConfig, ScaleLimits
+from authsignal.functions.shared import release, shared_folder, written
+from authsignal.functions.skew import attach_by_key
+from authsignal.operators import augment, evaluate, filters, forest, metrics, respond
+from authsignal.operators.features import sliding_features, tumbling_features
 from authsignal.plans import detection, training
+from authsignal.plans.queries import QUERIES
 from authsignal.schemas import PACKET
-from authsignal.sources import captures, logs, sinks
+from authsignal.sources import captures, events, logs, sinks
+from tests.conftest import SMALL
 from tests.packets import packet, table
 
 CFG = DetectorConfig()
@@ -114,11 +117,13 @@ def test_report_handles_absent_classes(spark):
     assert got["macro avg"].f1 == 0.166667 and got["weighted avg"].f1 == 0.333333
 
 
-def test_confusion_drops_other_predictions(spark):
-    rows = spark.createDataFrame([("replay", "unknown"), ("replay", "replay"), ("normal", "replay")], "label string, prediction string")
-    got = {r.label: r.asDict() for r in evaluate.confusion_matrix(rows).collect()}
-    assert got["replay"]["pred_replay"] == 1 and sum(v for k, v in got["replay"].items() if k != "label") == 1
-    assert got["normal"]["pred_replay"] == 1
+def test_confusion_of_occurring_and_of_given_classes(spark):
+    rows = spark.createDataFrame([("replay", "unknown"), ("replay", "replay"), ("own", "replay")], "label string, prediction string")
+    pairs = {tuple(r) for r in evaluate.confusion_matrix(rows).collect()}
+    assert pairs == {("replay", "unknown", 1), ("replay", "replay", 1), ("own", "replay", 1)}
+    got = {r.label: r.asDict() for r in evaluate.confusion_matrix(rows, LABELS).collect()}
+    assert got["replay"]["pred_replay"] == 1 and got["replay"]["pred_other"] == 1
+    assert got["own"]["pred_replay"] == 1 and got["own"]["pred_other"] == 0
 
 
 def test_rate_limits_against_brute_force(spark):
@@ -219,10 +224,101 @@ def test_text_sources(spark, tmp_path):
     assert logs.read_metric_samples(spark, str(tmp_path / "samples.json")).first().labels == {"instance": "a"}
 
 
+class Elsewhere:
+    """Stands for a session of a cluster."""
+
+    def __init__(self, spark, master, folder):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": staticmethod(lambda: None)})
+
+
 def test_shared_folder_is_the_clusters_own(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        assert shared_folder(spark) == named.rstrip("/")
+    assert shared_folder(Elsewhere(spark, "spark://host:7077", "hdfs://store/shared/")) == "hdfs://store/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError):
+            shared_folder(Elsewhere(spark, master, None))
+    assert shared_folder(spark)
+
+
+def test_written_tables_can_be_released(spark):
+    table = written(spark.range(10).toDF("n"), "ten")
+    folder = Path(table.inputFiles()[0].split(":", 1)[1]).parent
+    assert table.count() == 10 and folder.exists()
+    release(spark, table)
+    assert not folder.exists()
+
+
+def test_null_captures_are_kept(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "capture string, frame_no long")
+    facts = rows.groupBy("capture").agg(F.count("*").alias("n_rows"), F.max("frame_no").alias("last"))
+    for limits in (ScaleLimits(), ScaleLimits(broadcast_bytes=0), ScaleLimits(broadcast_bytes=0, hot_rows=1, hot_keys=8)):
+        got = attach_by_key(rows, facts, "capture", "n_rows", "frame_no", limits).select("capture", "frame_no", "last").collect()
+        assert sorted(tuple(r)[1:] for r in got) == [(1, 1), (2, 3), (3, 3)]
+
+
+def test_seventh_class_and_unlabelled_rows(labelled):
+    extra = labelled.withColumn("label", F.when(F.col("capture") == "calm0", "custom").otherwise(F.col("label")))
+    assert {r.label: r.n for r in augment.class_distribution(training.training_set(extra, CFG)).collect()}["custom"] == CFG.per_class
+    assert "custom" in {r.label for r in forest.weighted_training(extra).select("label").distinct().collect()}
+    with pytest.raises(ValueError):
+        forest.fit(extra.withColumn("label", F.when(F.col("label") == "custom", None).otherwise(F.col("label"))), 2, CFG)
+
+
+def test_same_file_name_in_two_folders(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / "logs" / name).mkdir(parents=True)
+        (tmp_path / "logs" / name / "amf.log").write_text(f"{name}\n")
+    rows = logs.read_lines(spark, str(tmp_path / "logs")).collect()
+    assert {(r.source, r.line) for r in rows} == {("one/amf.log", "one"), ("two/amf.log", "two")}
+
+
+def test_exposition_of_odd_values(spark):
+    rows = spark.createDataFrame(
+        [("a", "g", {"k": 'q"\\\n'}, 1.5), ("a", "g", {"k": None}, 2.0), ("a", "g", {}, None), ("a", "g", {}, float("nan"))],
+        "capture string, name string, labels map<string,string>, value double",
+    )
+    got = [r.value for r in metrics.exposition(rows).where("part = 2").collect()]
+    assert got == ['g{k="q\\"\\\\\\n"} 1.5', 'g{k=""} 2', "g NaN"]
+
+
+def test_other_writers(spark, tmp_path):
+    events = spark.createDataFrame([("c", "replay", ["x"])], "capture string, attack_type string, actions array<string>")
+    blocked = spark.createDataFrame([("imsi", "imsi-1")], "kind string, identity string")
+    sinks.write_response_report(events, blocked, str(tmp_path / "responses"))
+    assert spark.read.json(str(tmp_path / "responses" / "summary")).first().total_mitigations == 1
+    assert spark.read.json(str(tmp_path / "responses" / "blocked")).first().identity == "imsi-1"
+    lines = spark.createDataFrame([("c", "INFO", "[x] [INFO] y")], "capture string, level string, line string")
+    for _ in range(2):
+        sinks.write_event_log(lines, str(tmp_path / "events"))
+    assert spark.read.json(str(tmp_path / "events")).count() == 2
+    sections = spark.createDataFrame([("c", "log", 1, "x"), ("c", "packets", 2, "y")], "capture string, section string, seq long, line string")
+    sinks.write_evidence(sections, str(tmp_path / "evidence"))
+    assert {p.name for p in (tmp_path / "evidence").glob("section=*")} == {"section=log", "section=packets"}
+
+
+def test_packet_tables_feed_limits_and_block_list(spark):
+    rows = [packet("g", i, i, nas=[89], subscriber=7) for i in range(4)] + [packet("g", 9, 200, nas=[86], subscriber=7)]
+    packets = table(spark, rows)
+    last = respond.rate_limits(packets).orderBy(F.desc("failures")).first()
+    assert (last.subscriber, last.failures, last.blocked) == (7, 4, True)
+    flagged = spark.createDataFrame([("g", "brute_force")], "capture string, prediction string")
+    assert [tuple(r) for r in respond.block_list(packets, flagged).collect()] == [("imsi", "imsi-001010000000007")]
+
+
+def test_text_only_null_scheme_counts_everywhere(spark):
+    rows = table(spark, [packet("t", 0, 0, info="Protection scheme Id: NULL scheme (0)", src="10.10.0.41"), packet("t", 1, 40)])
+    assert filters.null_schemes(rows).count() == 1
+    assert tumbling_features(rows).where("suci_unencrypted = 1").count() == 1
+
+
+def test_scans_of_a_plan(spark):
+    """``events`` is read once for the length of captures, and once on the packet side of the block list."""
+    plan = QUERIES["capture_duration"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    packets = events.frames(spark, SMALL)
+    flagged = spark.createDataFrame([("g", "brute_force")], "capture string, prediction string")
+    plan = respond.block_list(packets, flagged)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2
 
 
 def test_stored_labels_match_windows(traffic, labelled):

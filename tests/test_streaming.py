@@ -14,8 +14,8 @@ CFG = DetectorConfig()
 def stream_folder(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("stream") / "packets")
     rows = [
-        *[packet("a", i, 1 + i * 2, nas=[86], rand=str(i % 3)) for i in range(10)],
-        *[packet("a", 20 + i, 22 + i, nas=[89]) for i in range(6)],
+        *[packet("a", i, 1 + i * 2, nas=[86], rand=str(i % 3), subscriber=7) for i in range(10)],
+        *[packet("a", 20 + i, 22 + i, nas=[89], subscriber=7) for i in range(6)],
         packet("b", 0, 3, scheme=0),
         packet("b", 1, 4, src="10.10.0.41"),
         packet("b", 2, 50, sctp=[6]),
@@ -84,10 +84,8 @@ def test_running_overrides(spark, stream_folder):
 
 
 def test_rate_limiter_equals_batch(spark, stream_folder):
-    packets = jobs.packet_stream(spark, stream_folder).withColumn("subscriber", F.lit(7).cast("bigint"))
+    packets = jobs.packet_stream(spark, stream_folder)
     got = {tuple(r) for r in run(jobs.rate_limiter(packets, CFG), "limits").collect()}
-    batch = spark.read.schema(PACKET).parquet(stream_folder).withColumns(
-        {"subscriber": F.lit(7).cast("bigint"), "ts_us": F.unix_micros("ts")}
-    )
+    batch = spark.read.schema(PACKET).parquet(stream_folder)
     want = {tuple(r) for r in rate_limits(batch, CFG).collect()}
     assert got == want and any(r[4] for r in want) and any(r[5] for r in want)

@@ -193,8 +193,8 @@ def test_long_capture_grid_comes_in_blocks(spark):
 def test_salted_join_gives_the_same_rows(spark, cases):
     stamped = cases.withColumn("ts_us", F.unix_micros("ts")).drop("rel_us")
     plain = with_capture_clock(stamped)
-    salted = with_capture_clock(stamped, ScaleLimits(broadcast_rows=0, hot_rows=1, hot_keys=8))
-    joined = with_capture_clock(stamped, ScaleLimits(broadcast_rows=0))
+    salted = with_capture_clock(stamped, ScaleLimits(broadcast_bytes=0, hot_rows=1, hot_keys=8))
+    joined = with_capture_clock(stamped, ScaleLimits(broadcast_bytes=0))
     key = lambda df: sorted((r.capture, r.frame_no, r.rel_us, r.capture_us, r.last_frame) for r in df.collect())
     assert key(plain) == key(salted) == key(joined) and plain.count() == cases.count()
     assert "_salt" in salted._jdf.queryExecution().toString()
