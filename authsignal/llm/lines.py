@@ -134,7 +134,8 @@ def deduplicate(
     by_doc = runs.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     named = written(by_doc, "repeated_runs").withColumnsRenamed({"doc_id": "run_id", "mark": "run_mark"})
     same = F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("mark") == F.col("run_mark"))
-    joined = held.join(named, same, "left").drop("mark", "run_id", "run_mark")
+    # the runs grow with the corpus, so they are never broadcast, at any size
+    joined = held.join(named.hint("merge"), same, "left").drop("mark", "run_id", "run_mark")
     fields = [f for f in held.schema.fields if f.name != "mark"]
     schema = T.StructType([*fields, T.StructField("removed_lines", T.LongType())])
 
