@@ -36,7 +36,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     """Near-duplicates by SimHash: the document of smallest id stays in each group."""
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
     kept = written(found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*DOCUMENT)
+    # the kept ids grow with the corpus, so they are never broadcast, at any size
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*DOCUMENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
