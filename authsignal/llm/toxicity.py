@@ -47,6 +47,7 @@ class Limits:
 
 PREFIXES = (5, 6, 7)  # bytes: inflected and compound forms share the start of a word
 OFFENDING = 0.5  # a sentence or document of this score or more is toxic
+NONE: frozenset[bytes] = frozenset()
 MOST_WORDS = 500_000  # words whose features one Python worker remembers
 
 
@@ -77,7 +78,8 @@ class Known(dict):
     def __missing__(self, word: bytes) -> frozenset[bytes]:
         if len(self) >= MOST_WORDS:
             self.clear()
-        found = self[word] = self.names.intersection(features(word))
+        # most words have no feature: they share one empty set
+        found = self[word] = self.names.intersection(features(word)) or NONE
         return found
 
     def of(self, words) -> set[bytes]:
