@@ -112,7 +112,8 @@ def nearest(query_id: int, query: Query, ids, rows, code, own, ones, far, most:
         return []
 
     def exact(places: np.ndarray) -> np.ndarray:
-        return np.clip(units(rows[places]) @ query.unit, -1.0, 1.0)
+        # summed row by row in one order, so that equal vectors score the same wherever they stand
+        return np.clip((units(rows[places]) * query.unit).sum(axis=1), -1.0, 1.0)
 
     if len(left) > most:
         guess = query.cosines(code, own, ones, far, 0.0)[left]
