@@ -3,8 +3,8 @@
 Lines are hashed. A window begins at every line and ends with the line that brings it to
 ``least_words`` words; the line of least hash in it is its fingerprint. Equal windows choose equal
 fingerprints, so every passage of whole lines that repeats with that many words or more has its
-fingerprints in common with the earlier one. Fingerprints that occur once are dropped by counts
-alone. The windows around the others are joined, by fingerprint and content, to the first place in
+fingerprints in common with the earlier one. A line that several windows choose counts as one place;
+fingerprints of one place in the corpus are dropped by counts alone. The windows around the others are joined, by fingerprint and content, to the first place in
 the corpus where they stand. To extend a match both ways, windows are also laid backwards, one
 ending at every line: the lines on either side that belong to the longer match are in one of the two
 kinds. So exactly those lines are deleted that lie in a run of whole lines with ``least_words``
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authsignal.functions.shared import written
+from authsignal.functions.shared import release, written
 from authsignal.llm.common import batches, rows_of, ship
 
 LEAST_WORDS = 50
-WINDOWS = "doc_id long, mark long, first int, last int, fingerprint long, content long"
+WINDOWS = "doc_id long, mark long, first int, last int, fingerprint long, content long, fresh int"
 
 
 def document_lines(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -51,8 +51,12 @@ def document_lines(text: str) -> tuple[list[int], list[int], list[int]]:
     return places, marks.view(np.int64).tolist(), counts
 
 
-def document_windows(text: str, least_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first, last, fingerprint, content) of each window; lines that are blank aren't counted."""
+def document_windows(text: str, least_words: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first, last, fingerprint, content, fresh) of each window; lines that are blank aren't counted.
+
+    Of equal least hashes the first line is chosen, so equal windows choose lines equally far in.
+    ``fresh`` is 1 once for every line chosen, however many windows choose it.
+    """
     _, hashes, counts = document_lines(text)
     if sum(counts) < least_words:
         return
@@ -62,15 +66,20 @@ def document_windows(text: str, least_words: int) -> Iterator[tuple[int, int, in
     ends = np.arange(np.searchsorted(totals, least_words), len(totals))
     backwards = zip((np.searchsorted(totals, totals[ends] - least_words, "right") - 1).tolist(), ends.tolist())
     blob = np.array(hashes, dtype="<i8").tobytes()
+    chosen = set()
     for first, end in {*forwards, *backwards}:
         content = xxhash.xxh64_intdigest(blob[8 * first : 8 * end], 7)
-        yield first, end - 1, min(hashes[first:end]), content - ((content >> 63) << 64)
+        least = min(hashes[first:end])
+        line = hashes.index(least, first)
+        fresh = int(line not in chosen)
+        chosen.add(line)
+        yield first, end - 1, least, content - ((content >> 63) << 64), fresh
 
 
 def windows(docs: DataFrame, least_words: int) -> DataFrame:
     ship(docs.sparkSession)
     kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "first": pa.int32(), "last": pa.int32()}
-    schema = pa.schema(list((kinds | {"fingerprint": pa.int64(), "content": pa.int64()}).items()))
+    schema = pa.schema(list((kinds | {"fingerprint": pa.int64(), "content": pa.int64(), "fresh": pa.int32()}).items()))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -90,8 +99,10 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     ``mark`` is the hash of the text; lines are counted without the blank ones.
     """
     held = written(windows(docs, least_words), "windows", compression="zstd")
-    common = written(held.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "common")
-    shared = written(held.join(common, "fingerprint"), "shared_windows", compression="zstd")
+    chosen = held.groupBy("fingerprint").agg(F.sum("fresh").alias("n"))
+    common = written(chosen.where("n > 1").select("fingerprint"), "common")
+    shared = written(held.drop("fresh").join(common, "fingerprint"), "shared_windows", compression="zstd")
+    release(docs.sparkSession, held, common)
     place = F.struct("doc_id", "mark", "first")
     sources = shared.groupBy("fingerprint", "content").agg(F.min(place).alias("source"), F.count("*").alias("n"))
     sources = written(sources.where("n > 1").select("fingerprint", "content", "source"), "sources")

@@ -90,3 +90,12 @@ def test_repeated_row_is_one_document(spark, documents):
 
 def test_empty_table(spark, documents):
     assert lines.deduplicate(documents([])).collect() == []
+
+
+def test_a_line_chosen_by_several_windows_is_one_place():
+    text = "\n".join(f"line {k} of a text" for k in range(40))
+    found = list(lines.document_windows(text, 20))
+    assert sum(w[4] for w in found) == len({w[2] for w in found}) < len(found)
+    # equal lines: every place is chosen by the window that begins there
+    same = list(lines.document_windows("\n".join(["a b c d e"] * 12), 20))
+    assert sum(w[4] for w in same) == len({w[0] for w in same}) == len(same)
