@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import new_path
-from authsignal.llm import ann, bpe, licences, lines, packing, simhash, tokens, toxicity, vector_join, warc
+from authsignal.llm import (
+    ann,
+    bpe,
+    conversations,
+    licences,
+    lines,
+    packing,
+    simhash,
+    tokens,
+    toxicity,
+    vector_join,
+    warc,
+    whitening,
+)
 from authsignal.llm.common import table
 
 
@@ -70,6 +83,15 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, components=16))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, folder, "conversations"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -81,5 +103,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_join": op8_vector_join,
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 LLM_ORACLE: dict[str, str] = {}
