@@ -16,6 +16,7 @@ from authsignal.llm import (
     licences,
     lines,
     packing,
+    personal,
     simhash,
     tokens,
     toxicity,
@@ -92,6 +93,11 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op13_personal(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return personal.digest(personal.scan(docs, personal.learn(docs)))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -105,5 +111,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_personal": op13_personal,
 }
 LLM_ORACLE: dict[str, str] = {}
