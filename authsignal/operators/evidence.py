@@ -1,4 +1,8 @@
-"""Evidence from log lines and packets: parsing, identifiers, keyword counts, verdicts."""
+"""Evidence from log lines and packets: parsing, identifiers, keyword counts, verdicts.
+
+Where lines are picked from a time on, the time is ``ts``. ``logtime.with_line_times`` gives one to
+lines that carry none; without it they don't count.
+"""
 
 from __future__ import annotations
 
@@ -30,17 +34,20 @@ def _fields(
     """Match each line once and turn its groups into columns.
 
     Lines that do not match are dropped, or, with ``otherwise``, kept with these values and nulls.
-    One replacement writes all groups side by side, one split takes them apart. Going through a
-    generator keeps that work in a single place: a filter on the parts would be pushed below the
-    projection and match every line a second time.
+    One replacement writes all groups side by side, one split takes them apart; only a line that
+    itself holds the separator is taken apart group by group. Going through a generator keeps that
+    work in a single place: a filter on the parts would be pushed below the projection and match
+    every line a second time.
     """
     groups = SEPARATOR.join(f"${i + 1}" for i in range(len(columns)))
     parts = F.split(F.regexp_replace(text, pattern, groups), SEPARATOR)
+    one_by_one = F.when(text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i + 1) for i in range(len(columns))]))
+    parts = F.when(F.contains(text, F.lit(SEPARATOR)), one_by_one).otherwise(parts)
     row = F.struct(*[F.expr(sql.replace("{}", f"_parts[{i}]")).alias(name) for i, (name, sql) in enumerate(columns.items())])
     kept = [c for c in lines.columns if c != "line"]
-    matched = F.when(F.size("_parts") == len(columns), F.array(row))
+    matched = F.when(F.coalesce(F.size("_parts"), F.lit(0)) == len(columns), F.array(row))
     if otherwise is not None:
-        spare = [otherwise.get(name, F.lit(None).cast("string")).alias(name) for name in columns]
+        spare = [otherwise.get(name, F.expr(f"CAST(NULL AS {sql.split(' AS ')[1][:-1] if ' AS ' in sql else 'string'})")).alias(name) for name, sql in columns.items()]
         matched = matched.otherwise(F.array(F.struct(*spare)))
     return lines.withColumn("_parts", parts).select(*kept, F.inline(matched))
 
@@ -73,13 +80,18 @@ def parse_amf(lines: DataFrame, year: int | Column) -> DataFrame:
 
 
 def parse_simulator(lines: DataFrame) -> DataFrame:
+    """Simulator lines; a line of another shape keeps its text as the message, with ``parsed`` false."""
     columns = {name: "{}" for name in ("stamp", "module", "level", "message")}
-    rows = _fields(lines, plain(F.col("line")), SIMULATOR_LINE, columns)
-    return rows.withColumn("ts", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).drop("stamp")
+    rows = _fields(lines.withColumn("_text", plain(F.col("line"))), F.col("_text"), SIMULATOR_LINE, columns, {"message": F.col("_text")})
+    return (
+        rows.withColumn("parsed", F.col("stamp").isNotNull())
+        .withColumn("ts", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss.SSS")))
+        .drop("stamp", "_text")
+    )
 
 
 def parse_summary(lines: DataFrame) -> DataFrame:
-    """Packet-summary lines into their columns."""
+    """Packet-summary lines into their columns; a line of another shape keeps its text as ``info``."""
     columns = {
         "frame_no": "try_cast({} AS bigint)",
         "seconds": "try_cast({} AS double)",
@@ -89,11 +101,12 @@ def parse_summary(lines: DataFrame) -> DataFrame:
         "length": "try_cast({} AS int)",
         "info": "{}",
     }
-    return _fields(lines, F.col("line"), SUMMARY_LINE, columns)
+    rows = _fields(lines.withColumn("_text", F.col("line")), F.col("_text"), SUMMARY_LINE, columns, {"info": F.col("_text")})
+    return rows.withColumn("parsed", F.col("protocol").isNotNull()).drop("_text")
 
 
 def parse_dump(lines: DataFrame) -> DataFrame:
-    """Packet-dump lines into time, ends and chunk name."""
+    """Packet-dump lines into time, ends and chunk name; a line of another shape is kept as ``rest``."""
     columns = {
         "time": "{}",
         "src_ip": "{}",
@@ -102,7 +115,9 @@ def parse_dump(lines: DataFrame) -> DataFrame:
         "dst_port": "try_cast({} AS int)",
         "chunk": "{}",
     }
-    return _fields(lines, F.col("line"), DUMP_LINE, columns)
+    rows = _fields(lines.withColumn("_text", F.col("line")), F.col("_text"), DUMP_LINE, columns, {})
+    parsed = F.col("time").isNotNull()
+    return rows.withColumn("parsed", parsed).withColumn("rest", F.when(~parsed, F.col("_text"))).drop("_text")
 
 
 def _found(name: str, pattern: str) -> Column:

@@ -96,6 +96,16 @@ FROM (SELECT *, CASE WHEN event_id % 53 = 0 THEN 'suci-0-001-01-0000-0-0-' || lp
                      ELSE 'suci-0-001-01-0000-1-1-' || md5(user_id::VARCHAR) END AS suci FROM frames)""",
 )
 
+table(
+    "timed_logs",
+    "logs",
+    """
+SELECT * EXCLUDE (ts), ts IS NULL AND event_time IS NOT NULL AS carried, event_time AS ts
+FROM (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                         first_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS event_time
+      FROM (SELECT *, date_trunc('millisecond', ts) AS own FROM logs))""",
+)
+
 COUNTS = """
        count(frame_no)::BIGINT AS total_packets,
        (count(*) FILTER (WHERE nas = 86))::BIGINT AS auth_requests,
@@ -429,11 +439,11 @@ UNION ALL SELECT capture, frame_no, 'rand', rand FROM frames WHERE rand <> ''
 UNION ALL SELECT capture, frame_no, 'prot_scheme_id', scheme::VARCHAR FROM frames WHERE scheme IS NOT NULL""",
     ),
     "log_keyword_since": query(
-        "logs",
+        "timed_logs",
         f"""SELECT source, count(*) FILTER (WHERE contains(message, 'MAC failure')) AS mac_failures,
        count(*) FILTER (WHERE contains(message, 'Authentication reject')) AS auth_rejects,
        count(*) FILTER (WHERE contains(message, 'refused')) AS refusals
-FROM logs WHERE ts >= {SINCE} GROUP BY source""",
+FROM timed_logs WHERE ts >= {SINCE} GROUP BY source""",
     ),
     "feature_projection": query("sliding", f"SELECT capture, w, {MODEL} FROM sliding"),
     "rogue_sources": query(
@@ -690,9 +700,16 @@ FROM (SELECT capture, CASE WHEN prediction <> 'normal' THEN 'ALERT' ELSE 'INFO'
 FROM (SELECT *, g AS is_gnb, NOT g AND event_type <> 'signup' AS m
       FROM (SELECT *, event_id % 97 = 0 OR event_id % 193 = 0 AS g FROM logs))""",
     ),
+    "log_times": query(
+        "timed_logs", "SELECT source, seq, epoch_us(ts) AS ts_us, year(ts)::INTEGER AS year, carried FROM timed_logs"
+    ),
+    "log_new_year": query(
+        "timed_logs",
+        """SELECT source, seq, epoch_us(ts - INTERVAL 15 DAY) AS ts_us, year(ts - INTERVAL 15 DAY)::INTEGER AS year, carried FROM timed_logs""",
+    ),
     "log_matches_since": query(
-        "logs",
-        f"SELECT source, seq, message FROM logs WHERE ts >= {SINCE} AND regexp_matches(lower(message), 'security|reject|algorithm')",
+        "timed_logs",
+        f"SELECT source, seq, message FROM timed_logs WHERE ts >= {SINCE} AND regexp_matches(lower(message), 'security|reject|algorithm')",
     ),
     "keyword_occurrences": query(
         "",
@@ -717,13 +734,13 @@ FROM (SELECT capture, coalesce(p.n, 0) AS packet_rejects, coalesce(l.n, 0) AS lo
       FULL JOIN (SELECT capture, count(*) FILTER (WHERE contains(message, ' reject')) AS n FROM logs GROUP BY capture) l USING (capture))""",
     ),
     "evidence_since": query(
-        "frames logs",
+        "frames timed_logs",
         f"""SELECT capture, coalesce(log_failures, 0) AS log_failures, coalesce(log_rejects, 0) AS log_rejects,
        coalesce(refused, false) AS refused, coalesce(accepted, false) AS accepted
 FROM (SELECT DISTINCT capture FROM frames)
 FULL JOIN (SELECT capture, count(*) FILTER (WHERE contains(message, 'MAC failure')) AS log_failures,
                   count(*) FILTER (WHERE contains(message, 'Authentication reject')) AS log_rejects, bool_or(contains(message, 'refused')) AS refused,
-                  bool_or(contains(message, 'accepted') AND src_ip = '10.10.0.50') AS accepted FROM logs WHERE ts >= {SINCE} GROUP BY capture) USING (capture)""",
+                  bool_or(contains(message, 'accepted') AND src_ip = '10.10.0.50') AS accepted FROM timed_logs WHERE ts >= {SINCE} GROUP BY capture) USING (capture)""",
     ),
     "evidence_null_scheme": query(
         "frames",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from authsignal.config import LABELS, MODEL_FEATURES, TRAINING_FEATURES
 from authsignal.functions.shared import new_path, written
-from authsignal.operators import augment, evaluate, evidence, filters, forest, metrics, respond, rules, windows
+from authsignal.operators import augment, evaluate, evidence, filters, forest, logtime, metrics, respond, rules, windows
 from authsignal.operators.features import (
     FEATURE_COLUMNS,
     Layout,
@@ -75,6 +75,11 @@ def _parsed(spark, folder) -> DataFrame:
     return evidence.parse_amf(ev.log_lines(spark, folder), YEAR)
 
 
+def _timed(spark, folder) -> DataFrame:
+    """Parsed lines, those without a stamp with the time of the line they continue."""
+    return logtime.with_line_times(_parsed(spark, folder), first_year=YEAR, block=1_000)
+
+
 # ---- scans ----
 def scan_packets(spark, folder):
     return ev.frames(spark, folder).select(
@@ -173,7 +178,7 @@ def field_values(spark, folder):
 
 def log_keyword_since(spark, folder):
     words = {"mac_failures": "MAC failure", "auth_rejects": "Authentication reject", "refusals": "refused"}
-    return evidence.keyword_counts(_parsed(spark, folder), words, _since(SINCE), "source")
+    return evidence.keyword_counts(_timed(spark, folder), words, _since(SINCE), "source")
 
 
 def feature_projection(spark, folder):
@@ -597,8 +602,20 @@ def log_identifiers(spark, folder):
     return rows.select("source", "seq", "suci", "scheme", "imsi", "cause", "gnb_ip")
 
 
+def log_times(spark, folder):
+    """The time of every line, its own or that of the line it continues."""
+    return _timed(spark, folder).select("source", "seq", F.unix_micros("ts").alias("ts_us"), "year", "carried")
+
+
+def log_new_year(spark, folder):
+    """Times of a log across New Year: only the year of its first line is given."""
+    parsed = evidence.parse_amf(ev.log_lines_over_new_year(spark, folder), YEAR)
+    rows = logtime.with_line_times(parsed, first_year=YEAR - 1, block=100)
+    return rows.select("source", "seq", F.unix_micros("ts").alias("ts_us"), "year", "carried")
+
+
 def log_matches_since(spark, folder):
-    rows = evidence.matching(_parsed(spark, folder), "(?i)security|reject|algorithm", _since(SINCE))
+    rows = evidence.matching(_timed(spark, folder), "(?i)security|reject|algorithm", _since(SINCE))
     return rows.select("source", "seq", "message")
 
 
@@ -640,7 +657,7 @@ def last_registrations(spark, folder):
 
 def evidence_since(spark, folder):
     """The verdicts that rest on the log alone, from a time on."""
-    frames, parsed, since = ev.frames(spark, folder), _parsed(spark, folder), _since(SINCE)
+    frames, parsed, since = ev.frames(spark, folder), _timed(spark, folder), _since(SINCE)
     guessing = evidence.failure_evidence(frames, parsed, CFG, since).select("capture", "log_failures", "log_rejects")
     rogue = evidence.rogue_evidence(frames, parsed, CFG.rogue_address, since).select("capture", "refused", "accepted")
     return guessing.join(rogue, "capture")
@@ -789,6 +806,8 @@ QUERIES = {
     "event_log_lines": event_log_lines,
     "log_identifiers": log_identifiers,
     "log_matches_since": log_matches_since,
+    "log_times": log_times,
+    "log_new_year": log_new_year,
     "keyword_occurrences": keyword_occurrences,
     "evidence_auth_failures": evidence_auth_failures,
     "evidence_rejects": evidence_rejects,

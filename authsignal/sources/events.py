@@ -130,6 +130,16 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_lines_over_new_year(spark: SparkSession, folder: str) -> DataFrame:
+    """The log lines, all fifteen days earlier: from the middle of December to the middle of January."""
+    moved = "date_format(ts - INTERVAL 15 DAYS, 'MM/dd HH:mm:ss.SSS')"
+    line = (
+        f"if(event_id % 31 = 0, concat('  continued: ', {MESSAGE}), "
+        f"concat({moved}, ': [amf] INFO: ', {MESSAGE}, ' (context.c:', cast(100 + event_id % 900 AS string), ')')) AS line"
+    )
+    return events(spark, folder).selectExpr("concat('amf-', cast(user_id % 10 AS string)) AS source", "event_id AS seq", line)
+
+
 def summary_lines(packets: DataFrame, unit_us: int) -> DataFrame:
     """Packet-summary text lines: ``no time src → dst proto len info``."""
     return packets.selectExpr(

@@ -84,7 +84,7 @@ def test_other_formats(spark):
     def lines(*text):
         return spark.createDataFrame([(t,) for t in text], "line string")
 
-    sim = ev.parse_simulator(lines("[2025-03-04 05:06:07.089] [ran] [info] set-up answered", "banner")).collect()
+    sim = ev.parse_simulator(lines("[2025-03-04 05:06:07.089] [ran] [info] set-up answered", "banner")).where("parsed").collect()
     assert len(sim) == 1 and (sim[0].module, sim[0].level, sim[0].message) == ("ran", "info", "set-up answered")
     text = "   17   9.125000   172.16.0.2 → 172.16.0.3   NGAP/NAS-5GS 240 SACK (Ack=5, Arwnd=4096) , UplinkNASTransport, Registration reject (illegal device)"
     s = ev.parse_summary(lines(text)).first()
