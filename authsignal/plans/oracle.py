@@ -165,6 +165,24 @@ SELECT *, w * 30.0::DOUBLE AS t_start, (w + 1) * 30.0::DOUBLE AS t_end, {RATES},
        + 15 * ng_setup_req + 2 * auth_requests + total_packets AS score
 FROM (SELECT *, 30.0::DOUBLE AS duration, 30.0::DOUBLE AS safe FROM tumbling_counts)""",
 )
+DAY_MS = 86_400_000
+# what the watermark of a stream, a day behind the newest packet, has passed; a capture ends six days after its last packet
+table("mark", "frames", f"SELECT max(ts_us) // 1000 - {DAY_MS} AS ms FROM frames")
+table("ready_packets", "packets mark", "SELECT p.* FROM packets p, mark WHERE ts_us <= ms * 1000")
+table(
+    "ready_caps",
+    "ready_packets packets mark",
+    f"""
+SELECT capture, max(rel) AS dur, max(ts_us) // 1000 + 6 * {DAY_MS} <= any_value(ms) AND count(*) = any_value(n) AS finished
+FROM ready_packets JOIN (SELECT capture, count(*) AS n FROM packets GROUP BY capture) USING (capture), mark GROUP BY capture""",
+)
+table("settled_caps", "ready_caps", f"SELECT capture, dur FROM ready_caps WHERE dur >= {SIZE} OR finished")
+table(
+    "settled_counts",
+    "settled_caps ready_packets",
+    TABLES["sliding_counts"][1].replace("FROM caps", "FROM settled_caps").replace("packets p ON", "ready_packets p ON"),
+)
+table("settled_sliding", "settled_counts", TABLES["sliding"][1].replace("FROM sliding_counts", "FROM settled_counts"))
 table(
     "best",
     "tumbling",
@@ -583,6 +601,12 @@ FROM stream_windows""",
         f"""SELECT DISTINCT capture, prediction FROM (SELECT *, {ONLINE} AS prediction
 FROM (SELECT * EXCLUDE (ng_setup_req), CASE WHEN any_rogue THEN 99 ELSE ng_setup_req END AS ng_setup_req FROM stream_windows))
 WHERE prediction <> 'model'""",
+    ),
+    "stream_sliding_features": query("settled_sliding", f"SELECT {ALL} FROM settled_sliding"),
+    "stream_verdicts": query(
+        "detections ready_caps",
+        f"""SELECT capture, prediction, confidence, method, {online_actions("prediction")} AS actions, capture_seconds, t_start, score
+FROM detections JOIN (SELECT capture FROM ready_caps WHERE finished) USING (capture)""",
     ),
     "stream_overrides": query(
         "frames",
@@ -777,4 +801,5 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY seq DESC))::INT
 WHERE rank <= 4""",
     ),
 }
-ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+ORACLE["stream_rate_limit"] = ORACLE["stream_rate_limit_late"] = ORACLE["rate_limit"]
+ORACLE["stream_overrides_updated"] = ORACLE["stream_overrides"]

@@ -22,7 +22,8 @@ from authsignal.operators.features import (
 from authsignal.plans import detection, training
 from authsignal.sources import captures
 from authsignal.sources import events as ev
-from authsignal.streaming import jobs
+from authsignal.streaming import captures as stream_captures
+from authsignal.streaming import commits, jobs
 
 CFG = ev.ADAPTER
 KEY = ("capture", "w")
@@ -31,7 +32,8 @@ STARTED, ENDED = "2024-01-16 00:00:00", "2024-01-26 00:00:00"
 YEAR = 2024
 TREES = 200
 STREAM = replace(CFG, unit_us=1_000_000, rate_window_seconds=CFG.rate_window_us // 1_000_000)
-LATE, SPAN, STEP, STRETCH = "1 day", "3 days", "1 day", "10 days"
+LATE, SPAN, STEP, STRETCH, EVER = "1 day", "3 days", "1 day", "10 days", "1000 days"
+GAP_SECONDS = 6 * 86_400  # a capture of the test tables has ended when none of its packets came for so long
 
 
 def _since(text: str):
@@ -664,19 +666,25 @@ def evidence_since(spark, folder):
 
 
 # ---- streams: event files as they arrive, all that is there, then what the watermark closes ----
-def _streamed(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read what it wrote to the shared folder."""
-    spark = df.sparkSession
-    out, log = new_path(spark, name), new_path(spark, f"{name}-log")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start()
-    query.awaitTermination()
+def _streamed(df: DataFrame, name: str, mode: str = "append", several_states: bool = False) -> DataFrame:
+    """Run a stream over what is there into a committed table in the shared folder, and read that."""
+    spark = df.sparkSession
+    out, log = new_path(spark, name), new_path(spark, f"{name}-log")
+    before = spark.conf.get(STATE_STORE, None)
+    if several_states:
+        stream_captures.state_store(spark)
+    try:
+        query = commits.committed_sink(df, out, log, mode)
+        query.awaitTermination()
+    finally:
+        if several_states:
+            spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
     if query.exception():
         raise query.exception()
-    return spark.read.schema(df.schema).parquet(out).drop("batch")
+    return commits.read_committed(spark, out, df.schema)
 
 
 def _stream_windows(spark, folder) -> DataFrame:
@@ -695,13 +703,32 @@ def stream_windows(spark, folder):
     )
 
 
+def _overrides(packets: DataFrame) -> DataFrame:
+    rows = _streamed(jobs.running_overrides(packets, CFG, STRETCH), "stream-overrides", "update")
+    rows = rows.select("capture", F.unix_micros("stretch.start").alias("start_us"), "all_failures", "any_abort", "any_rogue", commits.COMMITTED)
+    return commits.latest(rows, "capture", "start_us")
+
+
 def stream_overrides(spark, folder):
-    rows = _streamed(jobs.running_overrides(ev.packet_stream(spark, folder, LATE), CFG, STRETCH), "stream-overrides", "update")
-    return rows.select("capture", F.unix_micros("stretch.start").alias("start_us"), "all_failures", "any_abort", "any_rogue")
+    return _overrides(ev.packet_stream(spark, folder, LATE))
+
+
+def stream_overrides_updated(spark, folder):
+    """The same over several micro-batches, each of which changes rows of the one before."""
+    return _overrides(ev.shuffled_packet_stream(spark, folder, EVER))
+
+
+def _limits(packets: DataFrame) -> DataFrame:
+    return commits.latest(_streamed(jobs.rate_limiter(packets, STREAM), "stream-limits"), "subscriber", "at_us")
 
 
 def stream_rate_limit(spark, folder):
-    return _streamed(jobs.rate_limiter(ev.packet_stream(spark, folder, LATE), STREAM), "stream-limits")
+    return _limits(ev.packet_stream(spark, folder, LATE))
+
+
+def stream_rate_limit_late(spark, folder):
+    """Packets out of order over several micro-batches: decisions already out are corrected."""
+    return _limits(ev.shuffled_packet_stream(spark, folder, EVER))
 
 
 def stream_alerts(spark, folder):
@@ -709,6 +736,19 @@ def stream_alerts(spark, folder):
     return _streamed(jobs.alerts(scored), "stream-alerts").select("capture", "prediction")
 
 
+def stream_sliding_features(spark, folder):
+    """Feature windows on each capture's own time line: those that later packets or its end have settled."""
+    rows = stream_captures.sliding_windows(ev.packet_stream(spark, folder, LATE), CFG, GAP_SECONDS)
+    return _streamed(rows, "stream-sliding", several_states=True).select(*FEATURE_COLUMNS)
+
+
+def stream_verdicts(spark, folder):
+    """One verdict for each capture that has ended."""
+    finished = stream_captures.finished_captures(ev.packet_stream(spark, folder, LATE), CFG, GAP_SECONDS)
+    rows = _streamed(stream_captures.verdicts(finished, CFG), "stream-verdicts", several_states=True)
+    return rows.select("capture", "prediction", "confidence", "method", F.array_join("actions", ",").alias("actions"), "capture_seconds", "t_start", "score")
+
+
 QUERIES = {
     "scan_packets": scan_packets,
     "labelled_packets": labelled_packets,
@@ -772,6 +812,10 @@ QUERIES = {
     "stream_overrides": stream_overrides,
     "stream_rate_limit": stream_rate_limit,
     "stream_alerts": stream_alerts,
+    "stream_overrides_updated": stream_overrides_updated,
+    "stream_rate_limit_late": stream_rate_limit_late,
+    "stream_sliding_features": stream_sliding_features,
+    "stream_verdicts": stream_verdicts,
     "offline_hybrid": offline_hybrid,
     "rf_importances": rf_importances,
     "rf_cv": rf_cv,

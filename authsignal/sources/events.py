@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authsignal.config import LABELS, DetectorConfig, ScaleLimits
+from authsignal.functions.shared import new_path
 from authsignal.sources.captures import with_capture_clock
 
 ADAPTER = replace(DetectorConfig(), unit_us=8_640_000_000, active_packets=10)
@@ -65,12 +66,27 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).selectExpr(*columns)
 
 
-def packet_stream(spark: SparkSession, folder: str, late: str) -> DataFrame:
+def packet_stream(spark: SparkSession, folder: str, late: str, files_per_batch: int | None = None) -> DataFrame:
     """The same packets as a stream of event files, with their event time."""
-    columns = [c.format(code=CODE, base=BASE, setup=SETUP) for c in FRAME_COLUMNS]
     # as a pattern, the table may be one file or a folder of files
-    source = spark.readStream.schema(events(spark, folder).schema).parquet(f"{folder}/events.[p]arquet")
-    return source.selectExpr("cast(ts AS timestamp) AS ts", *columns).withWatermark("ts", late)
+    return _packet_stream(spark, folder, f"{folder}/events.[p]arquet", late, files_per_batch)
+
+
+def _packet_stream(spark: SparkSession, folder: str, files: str, late: str, files_per_batch: int | None) -> DataFrame:
+    columns = [c.format(code=CODE, base=BASE, setup=SETUP) for c in FRAME_COLUMNS]
+    reader = spark.readStream.schema(events(spark, folder).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(files).selectExpr("cast(ts AS timestamp) AS ts", *columns).withWatermark("ts", late)
+
+
+def shuffled_packet_stream(spark: SparkSession, folder: str, late: str, parts: int = 3) -> DataFrame:
+    """The packets as a stream of several micro-batches, each of which covers the whole time."""
+    path = new_path(spark, "event-files")
+    rows = events(spark, folder)
+    for part in range(parts):
+        rows.where(F.col("event_id") % parts == part).write.mode("append").parquet(path)
+    return _packet_stream(spark, folder, path, late, 1)
 
 
 def timings(spark: SparkSession, folder: str) -> DataFrame:

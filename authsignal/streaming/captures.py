@@ -185,7 +185,7 @@ class CaptureProcessor(StatefulProcessor):
                 state.clear()
         else:
             self.store(fold, late, *held)
-            self.handle.registerTimer(late[-1][0] // 1000 + 1 if late else fold.last_us // 1000 + self.gap_ms)
+            self.handle.registerTimer(late[0][0] // 1000 + 1 if late else fold.last_us // 1000 + self.gap_ms)
         if found:
             length = fold.last_us - fold.t0 if self.verdicts else None
             yield self.table(key[0], found, fold, length)

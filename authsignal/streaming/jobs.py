@@ -104,34 +104,40 @@ def _limiter(cfg: DetectorConfig) -> Callable:
     width = cfg.rate_window_seconds * 1_000_000
     counts = ["attempts", "failures"]
 
+    def in_window(table: pd.DataFrame, shard: int) -> pd.DataFrame:
+        """Attempts and failures in the window up to each instant of the shard itself."""
+        instants = table.index.to_numpy()
+        own = instants[instants // width == shard]
+        upto = np.searchsorted(instants, own, side="right")
+        since = np.searchsorted(instants, own - width, side="left")
+        running = {c: np.concatenate([[0], table[c].to_numpy().cumsum()]) for c in counts}
+        return pd.DataFrame({c: running[c][upto] - running[c][since] for c in counts}, index=own, dtype="int64")
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         # every arriving batch shrinks to one row per instant before the next one is read
-        fresh = pd.concat(
-            [b.groupby("at_us", as_index=False).agg({"attempts": "sum", "failures": "sum", "own": "max"}) for b in batches]
-        )
+        fresh = pd.concat([b.groupby("at_us", as_index=False)[counts].sum() for b in batches])
         known = pd.DataFrame(dict(zip(["at_us", *counts], state.get))) if state.exists else fresh[["at_us", *counts]].iloc[:0]
-        merged = pd.concat([known, fresh[["at_us", *counts]]]).groupby("at_us")[counts].sum().sort_index()
-        instants = merged.index.to_numpy()
-        asked = np.unique(fresh.loc[fresh.own, "at_us"].to_numpy())
-        upto = np.searchsorted(instants, asked, side="right")
-        since = np.searchsorted(instants, asked - width, side="left")
-        running = {c: np.concatenate([[0], merged[c].to_numpy().cumsum()]) for c in counts}
-        attempts, failures = (running[c][upto] - running[c][since] for c in counts)
-        state.update(tuple(part.tolist() for part in (instants, merged.attempts.to_numpy(), merged.failures.to_numpy())))
+        known = known.astype("int64").groupby("at_us")[counts].sum().sort_index()
+        merged = pd.concat([known.reset_index(), fresh]).astype("int64").groupby("at_us")[counts].sum().sort_index()
+        state.update(tuple(part.tolist() for part in (merged.index.to_numpy(), merged.attempts.to_numpy(), merged.failures.to_numpy())))
         state.setTimeoutTimestamp(max((int(key[1]) + 2) * width // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                "subscriber": np.full(len(asked), key[0]),
-                "at_us": asked,
-                "attempts": attempts,
-                "failures": failures,
-                "over_limit": attempts > cfg.max_attempts,
-                "blocked": failures >= cfg.block_failures,
-            }
-        )
+        now, before = in_window(merged, int(key[1])), in_window(known, int(key[1]))
+        before = before.reindex(now.index, fill_value=-1)
+        changed = now[(now != before).any(axis=1)]
+        if len(changed):
+            yield pd.DataFrame(
+                {
+                    "subscriber": np.full(len(changed), key[0]),
+                    "at_us": changed.index.to_numpy(),
+                    "attempts": changed.attempts.to_numpy(),
+                    "failures": changed.failures.to_numpy(),
+                    "over_limit": changed.attempts.to_numpy() > cfg.max_attempts,
+                    "blocked": changed.failures.to_numpy() >= cfg.block_failures,
+                }
+            )
 
     return step
 
@@ -142,6 +148,10 @@ def rate_limiter(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
     Time is cut into shards as long as the window, each packet also going to the next shard as
     context. One busy subscriber is so spread over groups, and the state of a group is bounded by
     the instants of two windows.
+
+    The rows are changes: a late packet makes every instant whose window it falls into appear again
+    with new counts. The last row of a (subscriber, instant) is the valid one; ``commits.latest``
+    picks it from a committed table.
     """
     tests = conditions(cfg)
     width = cfg.rate_window_seconds * 1_000_000
@@ -154,8 +164,8 @@ def rate_limiter(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
             f"cast({tests['auth_requests']} AS bigint) AS attempts",
             f"cast({tests['auth_failures']} AS bigint) AS failures",
         )
-        .selectExpr("*", f"posexplode(array(at_us div {width}, at_us div {width} + 1)) AS (place, shard)")
-        .selectExpr("subscriber", "shard", "ts", "at_us", "attempts", "failures", "place = 0 AS own")
+        .selectExpr("*", f"explode(array(at_us div {width}, at_us div {width} + 1)) AS shard")
+        .select("subscriber", "shard", "ts", "at_us", "attempts", "failures")
     )
     return shards.groupBy("subscriber", "shard").applyInPandasWithState(
         _limiter(cfg),
