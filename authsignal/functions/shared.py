@@ -52,3 +52,12 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
                 raise ValueError(f"{parent} is not in the shared folder")
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+
+
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Put one folder of the shared folder in another's place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(path(old), True)
+    if not store.rename(path(new), path(old)):
+        raise OSError(f"{new} could not be moved to {old}")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from authsignal.functions.shared import new_path
+from authsignal.functions.shared import new_path, replace_folder
 
 PACKED = "array<struct<feature:array<int>,threshold:array<double>,below:array<int>,above:array<int>,value:array<array<double>>>>"
 
 
-def node_table(model) -> DataFrame:
+def node_table(model, spark: SparkSession | None = None) -> DataFrame:
     """The nodes of a fitted ensemble of trees with continuous features, one row each.
 
     Columns: tree, node (0 is the root), n_rows (training rows that reached it), feature (null in a
@@ -20,7 +21,7 @@ def node_table(model) -> DataFrame:
     forest of classifiers) and tree_weight. The model is stored in the shared folder and read back
     from there, so the table is as large as the model and nothing of it is parsed from text.
     """
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()  # threads have none of their own
     path = new_path(spark, "trees")
     model.write().save(path)
     weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "about", "tree_weight").select("tree", "tree_weight")
@@ -40,6 +41,44 @@ def node_table(model) -> DataFrame:
     return nodes.join(weights, "tree")
 
 
+def with_split_floor(model, least: int, spark: SparkSession | None = None):
+    """The same ensemble with no split of fewer than ``least`` rows.
+
+    Rows only get fewer from a node to its children, so a node below the floor becomes a leaf and all
+    that hangs under it goes: the tree that never splitting it would have given. Rows count as often
+    as they were drawn. The nodes are cut as a table (some hundred a tree) and loaded again.
+    """
+    spark = spark or SparkSession.getActiveSession()  # threads have none of their own
+    path = new_path(spark, "trees")
+    model.write().save(path)
+    stored = spark.read.parquet(f"{path}/data")
+    node = stored.select(F.col("treeID").alias("tree"), "nodeData")
+    inner = node.where("nodeData.leftChild >= 0")
+    children = inner.select(
+        "tree", F.col("nodeData.rawCount").alias("above"), F.explode(F.array("nodeData.leftChild", "nodeData.rightChild")).alias("id")
+    )
+    kept = node.withColumn("id", F.col("nodeData.id")).join(children, ["tree", "id"], "left").where(F.col("above").isNull() | (F.col("above") >= least))
+    # a tree has at most two to the power of its depth rows here; numbers close up in the old order
+    kept = kept.withColumn("new", (F.row_number().over(W.partitionBy("tree").orderBy("id")) - 1).cast("int"))
+    rows = kept.withColumn("splits", (F.col("nodeData.leftChild") >= 0) & (F.col("nodeData.rawCount") >= least))
+    for side in ("left", "right"):
+        number = kept.select(F.col("tree").alias("of"), F.col("id").alias("child"), F.col("new").alias(f"{side}_new"))
+        here = (F.col("tree") == F.col("of")) & (F.col(f"nodeData.{side}Child") == F.col("child"))
+        rows = rows.join(number, here, "left").drop("of", "child")
+    leaf = F.expr("named_struct('featureIndex', -1, 'leftCategoriesOrThreshold', cast(array() AS array<double>), 'numCategories', -1)")
+    data = F.struct(
+        F.col("new").alias("id"),
+        *[F.col(f"nodeData.{name}").alias(name) for name in ("prediction", "impurity", "impurityStats", "rawCount")],
+        F.when(F.col("splits"), F.col("nodeData.gain")).otherwise(-1.0).alias("gain"),
+        F.when(F.col("splits"), F.col("left_new")).otherwise(-1).alias("leftChild"),
+        F.when(F.col("splits"), F.col("right_new")).otherwise(-1).alias("rightChild"),
+        F.when(F.col("splits"), F.col("nodeData.split")).otherwise(leaf).alias("split"),
+    )
+    rows.select(F.col("tree").alias("treeID"), data.cast(stored.schema["nodeData"].dataType).alias("nodeData")).write.parquet(f"{path}/cut")
+    replace_folder(spark, f"{path}/cut", f"{path}/data")
+    return type(model).load(path)
+
+
 def packed(nodes: DataFrame, value: Column) -> Column:
     """All trees as one constant, with ``value`` (array<double>) for every node.
 

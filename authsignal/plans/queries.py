@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -360,6 +361,31 @@ def rf_checks(spark, folder):
     )
 
 
+def rf_node_checks(spark, folder):
+    """Splits below the floor, and windows whose scores differ when worked out from the table of nodes."""
+    labelled = _stored(spark, folder)
+    model = training.train(labelled, TREES, CFG)
+    nodes = forest.nodes(model)
+    scored = forest.table_probabilities(model, model.transform(labelled))
+    apart = F.zip_with(vector_to_array("probability"), "table_probability", lambda a, b: F.abs(a - b))
+    splits = nodes.agg(F.count_if(F.col("feature").isNotNull() & (F.col("n_rows") < forest.LEAST_SPLIT)).alias("small_splits"))
+    judged = scored.agg(F.count("*").alias("windows"), F.count_if(~(F.array_max(apart) < 1e-9)).alias("different"))
+    return judged.join(F.broadcast(splits), F.lit(True)).select("windows", "different", "small_splits")  # one row each
+
+
+def rf_fold_checks(spark, folder):
+    """Rows, classes and wrongly repeated rows of each fold of the cross-validation."""
+    judged = forest.fold_predictions(training.training_set(_labelled(spark, folder), CFG), TREES, cfg=CFG)
+    known = F.col("predicted").isin(*LABELS)
+    return judged.groupBy("fold").agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("label").alias("n_classes"),
+        (F.count("*") - F.count_distinct("label", "seq")).alias("repeated"),
+        F.count_if(~known | F.col("predicted").isNull()).alias("unknown_class"),
+        (F.avg((F.col("label") == F.col("predicted")).cast("double")) > 0.5).alias("better_than_half"),
+    )
+
+
 def _held_out(spark, folder) -> tuple[DataFrame, DataFrame]:
     """A forest trained on the other captures, and all verdicts on the captures kept for testing."""
     labelled = _stored(spark, folder)
@@ -797,6 +823,8 @@ QUERIES = {
     "rf_train_predict": rf_train_predict,
     "rf_rule_rows": rf_rule_rows,
     "rf_checks": rf_checks,
+    "rf_node_checks": rf_node_checks,
+    "rf_fold_checks": rf_fold_checks,
     "rf_importance_checks": rf_importance_checks,
     "hybrid_rule_rows": hybrid_rule_rows,
     "held_out_rules": held_out_rules,
