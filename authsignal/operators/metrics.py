@@ -53,35 +53,59 @@ def label_text(labels: Column) -> Column:
     return F.array_join(pairs, ",")
 
 
-def exposition(rows: DataFrame) -> DataFrame:
-    """Text exposition: for each sample its HELP, TYPE and value line, in ``part`` order.
+def _shown(value: Column) -> Column:
+    """The number in full, as the text format writes it."""
+    return (
+        F.when(F.isnan(value), "NaN")
+        .when(F.abs(value) == float("inf"), F.when(value > 0, "+Inf").otherwise("-Inf"))
+        .otherwise(F.regexp_replace(value.cast("string"), "[.]0$", ""))
+    )
+
 
-    Rows without ``labels`` or ``capture``, as the summary's, have neither; samples without a value
-    are not exposed.
+def _with_lines(rows: DataFrame) -> DataFrame:
+    """Samples that have a value, with their label text (``series``), HELP, TYPE and sample line.
+
+    Rows without ``labels``, as the summary's, have none.
     """
     if "labels" not in rows.columns:
         rows = rows.withColumn("labels", F.create_map().cast("map<string,string>"))
-    keys = [c for c in ("capture",) if c in rows.columns]
-    rows = rows.where(F.col("value").isNotNull())
     help_text = first_match([(F.col("name") == name, text) for name, text in METRIC_HELP.items()], "")
-    value = F.col("value")
-    shown = (
-        F.when(F.isnan(value), "NaN")
-        .when(F.abs(value) == float("inf"), F.when(value > 0, "+Inf").otherwise("-Inf"))
-        .otherwise(F.regexp_replace(F.format_string("%.6f", value), "[.]?0+$", ""))
+    series = label_text(F.col("labels"))
+    braced = F.when(F.size("labels") > 0, F.concat(F.lit("{"), series, F.lit("}"))).otherwise(F.lit(""))
+    return rows.where(F.col("value").isNotNull()).withColumns(
+        {
+            "series": series,
+            "help_line": F.concat(F.lit("# HELP "), "name", F.lit(" "), help_text),
+            "type_line": F.concat(F.lit("# TYPE "), "name", F.lit(" gauge")),
+            "sample_line": F.concat("name", braced, F.lit(" "), _shown(F.col("value"))),
+        }
     )
-    sample = F.concat(
-        "name",
-        F.when(F.size("labels") > 0, F.concat(F.lit("{"), label_text(F.col("labels")), F.lit("}"))).otherwise(F.lit("")),
-        F.lit(" "),
-        shown,
-    )
-    lines = F.array(
-        F.concat(F.lit("# HELP "), "name", F.lit(" "), help_text),
-        F.concat(F.lit("# TYPE "), "name", F.lit(" gauge")),
-        sample,
+
+
+def exposition(rows: DataFrame) -> DataFrame:
+    """Text exposition sample by sample: each with its HELP, TYPE and value line, in ``part`` order."""
+    keys = [c for c in ("capture",) if c in rows.columns]
+    lines = F.array("help_line", "type_line", "sample_line")
+    return _with_lines(rows).select(*keys, "name", F.posexplode(lines).alias("part", "value"))
+
+
+def exposition_files(rows: DataFrame) -> DataFrame:
+    """One exposition over any number of files: lines (name, series, part, value), each header once.
+
+    The samples are dealt by ranges of (family, series) and sorted, so a family lies in one file or
+    in files that follow each other, and only its first sample brings the header. That sample is
+    known from a table with one row per family, which is as short as the list of metric names. Of
+    several samples of one series, which a parser refuses, the one with the largest value is exposed.
+    """
+    series = _with_lines(rows).groupBy("name", "series").agg(
+        *[F.max_by(line, "value").alias(line) for line in ("help_line", "type_line", "sample_line")]
     )
-    return rows.select(*keys, "name", F.posexplode(lines).alias("part", "value"))
+    first = series.groupBy(F.col("name").alias("family")).agg(F.min("series").alias("first_series"))
+    marked = series.join(first, F.col("name") == F.col("family"))
+    ordered = marked.repartitionByRange("name", "series").sortWithinPartitions("name", "series")
+    header = F.when(F.col("series") == F.col("first_series"), F.array("help_line", "type_line")).otherwise(F.array().cast("array<string>"))
+    lines = F.transform(F.concat(header, F.array("sample_line")), lambda line: F.struct(F.when(line.startswith("# HELP "), 0).when(line.startswith("# TYPE "), 1).otherwise(2).alias("part"), line.alias("value")))
+    return ordered.select("name", "series", F.inline(lines))
 
 
 def metric_summary(detections: DataFrame) -> DataFrame:

@@ -57,9 +57,10 @@ def capture_verdict_inputs(
         *[f"coalesce(best.{name}, 0L) AS {name}" for name in ("w", "score", *COUNTERS)],
         *[f"coalesce(best.{name}, false) AS {name}" for name in SEEN],
     )
-    repeated = rand_repeats(packets, layout).selectExpr("capture", "w", "1 AS repeated")
-    chosen = chosen.join(repeated, ["capture", "w"], "left").selectExpr("*", "coalesce(repeated, 0) AS rand_repeat")
-    return derive(chosen.drop("repeated"), cfg, layout)
+    repeated = rand_repeats(packets, layout).selectExpr("capture AS _capture", "w AS _w")
+    same = F.col("capture").eqNullSafe(F.col("_capture")) & (F.col("w") == F.col("_w"))
+    chosen = chosen.join(repeated, same, "left").selectExpr("*", "cast(_w IS NOT NULL AS int) AS rand_repeat")
+    return derive(chosen.drop("_capture", "_w"), cfg, layout)
 
 
 def best_window(feature_rows: DataFrame) -> DataFrame:

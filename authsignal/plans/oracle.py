@@ -378,7 +378,7 @@ UNION ALL SELECT capture, 'detection_response_time', 'Response time in seconds',
 UNION ALL SELECT capture, 'mitigation_applied', 'Mitigation applied', 'capture="' || capture || '",attack="' || prediction || '"', 1.0 FROM detections""",
 )
 SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
-SHOWN = "regexp_replace(printf('%.6f', value), '[.]?0+$', '')"
+SHOWN = "regexp_replace(value::VARCHAR, '[.]0$', '')"
 RESPONDER = "FROM detections d JOIN plan p ON p.attack_type = d.prediction"
 RESPONDER_ACTIONS = """CASE WHEN p.attack_type <> 'false_bs' THEN p.actions
        WHEN d.any_rogue THEN 'rogue_gnb_terminated,' || p.actions ELSE 'rogue_gnb_not_active,' || p.actions END"""
@@ -468,6 +468,11 @@ FROM timed_logs WHERE ts >= {SINCE} GROUP BY source""",
         "frames",
         "SELECT capture, src_ip, count(*) AS setups FROM frames WHERE setup AND src_ip NOT IN ('10.10.0.30', '10.10.0.12') GROUP BY capture, src_ip",
     ),
+    "log_tail_files": query(
+        "logs",
+        """SELECT source, rank::INTEGER AS rank, message
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq DESC) AS rank FROM logs WHERE contains(message, 'reject')) WHERE rank <= 10""",
+    ),
     "log_tail_n": query(
         "logs",
         """SELECT source, rank, seq, message FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY seq DESC))::INTEGER AS rank FROM logs)
@@ -685,6 +690,12 @@ FROM (SELECT user_id AS subscriber, ts_us AS at_us, count(*) FILTER (WHERE nas =
         f"""SELECT capture, name, 0 AS part, '# HELP ' || name || ' ' || help AS value FROM gauges
 UNION ALL SELECT capture, name, 1, '# TYPE ' || name || ' gauge' FROM gauges
 UNION ALL SELECT capture, name, 2, name || '{{' || labels || '}} ' || {SHOWN} FROM gauges""",
+    ),
+    "metric_files": query(
+        "gauges",
+        f"""SELECT name, labels AS series, 2 AS part, name || '{{' || labels || '}} ' || {SHOWN} AS value FROM gauges
+UNION ALL SELECT name, min(labels), 0, '# HELP ' || name || ' ' || any_value(help) FROM gauges GROUP BY name
+UNION ALL SELECT name, min(labels), 1, '# TYPE ' || name || ' gauge' FROM gauges GROUP BY name""",
     ),
     "metric_summary_exposition": query(
         "detections",

@@ -21,7 +21,7 @@ from authsignal.operators.features import (
     tumbling_features,
 )
 from authsignal.plans import detection, training
-from authsignal.sources import captures
+from authsignal.sources import captures, tails
 from authsignal.sources import events as ev
 from authsignal.streaming import captures as stream_captures
 from authsignal.streaming import commits, jobs
@@ -196,6 +196,13 @@ def log_tail_n(spark, folder):
     return filters.last_n(_parsed(spark, folder), "source", "seq", 10).select("source", "rank", "seq", "message")
 
 
+def log_tail_files(spark, folder):
+    """The last ten matching lines of each source of stored logs, read from the ends of the files."""
+    rows = tails.read_tails(spark, ev.log_files(spark, folder), 10, "reject")
+    lines = rows.select(F.regexp_replace("source", "^source=", "").alias("source"), "rank", "line")
+    return evidence.parse_amf(lines, YEAR).select("source", "rank", "message")
+
+
 def trim_per_class(spark, folder):
     rows = filters.first_n(_labelled(spark, folder), "label", training.ORDER, CFG.per_class)
     return rows.select("label", "seq", *KEY, "total_packets")
@@ -598,6 +605,11 @@ def metric_exposition(spark, folder):
     return metrics.exposition(metrics.metric_rows(_detections(spark, folder))).select("capture", "name", "part", "value")
 
 
+def metric_files(spark, folder):
+    """The exposition of all captures as it is written: every header once."""
+    return metrics.exposition_files(metrics.metric_rows(_detections(spark, folder)))
+
+
 def metric_summary_exposition(spark, folder):
     return metrics.exposition(metrics.metric_summary(_detections(spark, folder)))
 
@@ -796,6 +808,7 @@ QUERIES = {
     "feature_projection": feature_projection,
     "rogue_sources": rogue_sources,
     "log_tail_n": log_tail_n,
+    "log_tail_files": log_tail_files,
     "trim_per_class": trim_per_class,
     "sliding_features": sliding,
     "tumbling_features": tumbling,
@@ -871,6 +884,7 @@ QUERIES = {
     "class_codes": class_codes,
     "metric_rows": metric_rows,
     "metric_exposition": metric_exposition,
+    "metric_files": metric_files,
     "metric_summary": metric_summary,
     "counter_delta": counter_delta,
     "metric_bands": metric_bands,

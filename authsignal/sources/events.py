@@ -146,6 +146,15 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_files(spark: SparkSession, folder: str) -> str:
+    """The log lines as text files, a folder for each source and day in it, and their path."""
+    path = new_path(spark, "logs")
+    day = events(spark, folder).select(F.col("event_id").alias("seq"), F.to_date("ts").alias("day"))
+    rows = log_lines(spark, folder).join(day, "seq").repartition("source", "day").sortWithinPartitions("source", "day", "seq")
+    rows.select("source", "day", "line").write.partitionBy("source", "day").text(path)
+    return path
+
+
 def log_lines_over_new_year(spark: SparkSession, folder: str) -> DataFrame:
     """The log lines, all fifteen days earlier: from the middle of December to the middle of January."""
     moved = "date_format(ts - INTERVAL 15 DAYS, 'MM/dd HH:mm:ss.SSS')"

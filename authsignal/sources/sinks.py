@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from authsignal.config import ATTACKS, TRAINING_FEATURES
 from authsignal.operators.features import FEATURE_COLUMNS
-from authsignal.operators.metrics import exposition
+from authsignal.operators.metrics import exposition_files
 from authsignal.schemas import TRAINING
 
 
@@ -54,10 +54,8 @@ def write_response_report(events: DataFrame, blocked: DataFrame, path: str) -> N
 
 
 def write_exposition(metric_rows: DataFrame, path: str) -> None:
-    """Metric text files; lines of one sample stay together and in order."""
-    lines = exposition(metric_rows)
-    keys = [c for c in ("capture", "name") if c in lines.columns]
-    lines.repartition(*keys[:1]).sortWithinPartitions(*keys, "part").select("value").write.text(path)
+    """Metric text files that are one valid exposition, read in the order of their names."""
+    exposition_files(metric_rows).select("value").write.text(path)
 
 
 def write_event_log(lines: DataFrame, path: str) -> None:

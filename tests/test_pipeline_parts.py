@@ -185,6 +185,43 @@ def test_csv_roundtrip(labelled, spark, tmp_path):
     assert head.startswith("label,window_id,capture,t_start,t_end,total_packets,auth_requests") and head.endswith("is_active")
 
 
+def parsed_exposition(lines):
+    """Samples per family; fails as a text parser does on headers or series that come twice or late."""
+    families, series, current = {}, set(), None
+    for line in lines:
+        if line.startswith("# HELP "):
+            current = line.split(" ")[2]
+            assert current not in families
+            families[current] = None
+        elif line.startswith("# TYPE "):
+            assert line.split(" ")[2] == current and families[current] is None
+            families[current] = 0
+        else:
+            key, value = line.rsplit(" ", 1)
+            assert key.split("{")[0] == current and families[current] is not None and key not in series
+            series.add(key)
+            float(value)
+            families[current] += 1
+    return families
+
+
+def test_exposition_over_many_files(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "concat('c', id) AS capture", "concat('family', id % 3) AS name", "map('capture', concat('c', id)) AS labels", "id * 1e-9 AS value"
+    )
+    rows = rows.unionByName(rows.where("capture = 'c7'"))
+    rows.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_exposition(rows, str(tmp_path / "files"))
+    finally:
+        rows.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(Path(tmp_path / "files").glob("*.txt"))
+    assert len(files) > 1
+    lines = [line for f in files for line in f.read_text().splitlines()]
+    assert parsed_exposition(lines) == {"family0": 134, "family1": 133, "family2": 133}
+    assert float(next(line for line in lines if 'capture="c3"' in line).split(" ")[-1]) == 3 * 1e-9
+
+
 def test_report_json(traffic, tmp_path):
     rows = detection.detect_without_model(traffic, CFG)
     sinks.write_report(detection.result_rows(rows), str(tmp_path / "report"))
@@ -193,10 +230,11 @@ def test_report_json(traffic, tmp_path):
     head = [json.loads(line) for f in Path(tmp_path / "report" / "summary").glob("*.json") for line in f.read_text().splitlines()]
     assert head[0]["captures"] == 12
     sinks.write_exposition(metrics.metric_rows(rows), str(tmp_path / "metrics"))
-    lines = [line for f in Path(tmp_path / "metrics").glob("*.txt") for line in f.read_text().splitlines()]
+    lines = [line for f in sorted(Path(tmp_path / "metrics").glob("*.txt")) for line in f.read_text().splitlines()]
     assert 'mitigation_applied{capture="guess0",attack="brute_force"} 1' in lines
-    at = lines.index('detection_prediction{capture="guess0"} 1')
+    at = next(k for k, line in enumerate(lines) if line.startswith('detection_prediction{capture="calm0"} '))
     assert lines[at - 2 : at] == ["# HELP detection_prediction Attack type detected", "# TYPE detection_prediction gauge"]
+    assert parsed_exposition(lines) == {name: 12 for name in ("detection_prediction", "detection_confidence", "mitigation_applied")}
 
 
 def test_discovery(spark, traffic, tmp_path):
