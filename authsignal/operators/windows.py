@@ -85,16 +85,22 @@ def apply_overrides(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
     )
 
 
-def window_ids(labelled_windows: DataFrame, bucket: int = 1_000) -> DataFrame:
+def window_totals(durations: DataFrame, manifest: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Number of sliding windows (capture, pos, n) of each listed capture, from its length alone."""
+    n = F.expr(Layout.sliding(cfg).n_windows).cast("bigint")
+    return durations.select("capture", n.alias("n")).join(manifest.select("capture", "pos"), "capture")
+
+
+def window_ids(labelled_windows: DataFrame, bucket: int = 1_000, totals: DataFrame | None = None) -> DataFrame:
     """Running window number over captures in manifest order, then time: ``<label>_w<n>``.
 
-    Positions are cut into buckets. Windows before a bucket come from a running sum over one row
+    ``totals`` (capture, pos, n) saves counting the windows. Positions are cut into buckets. Windows before a bucket come from a running sum over one row
     per bucket; inside a bucket a running sum over its captures gives the rest. The window table
     itself is never sorted in one task.
     """
-    counts = labelled_windows.groupBy("capture", "pos").agg(F.count("*").alias("n")).withColumn(
-        "bucket", floor_div(F.col("pos"), bucket)
-    )
+    if totals is None:
+        totals = labelled_windows.groupBy("capture", "pos").agg(F.count("*").alias("n"))
+    counts = totals.withColumn("bucket", floor_div(F.col("pos"), bucket))
     region = floor_div(F.col("bucket"), bucket)
     totals = counts.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("region", region)
     regions = totals.groupBy("region").agg(F.sum("n").alias("n"))

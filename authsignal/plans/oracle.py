@@ -6,7 +6,7 @@ rather than parsed, so the two sides share no logic.
 
 from __future__ import annotations
 
-from authsignal.config import MODEL_FEATURES, TRAINING_FEATURES
+from authsignal.config import MODEL_FEATURES, REAL_FEATURES, TRAINING_FEATURES
 
 U = 8_640_000_000
 SIZE, STEP = 30 * U, 10 * U
@@ -741,6 +741,19 @@ FROM (SELECT capture, CASE WHEN prediction <> 'normal' THEN 'ALERT' ELSE 'INFO'
 FROM (SELECT *, g AS is_gnb, NOT g AND event_type <> 'signup' AS m
       FROM (SELECT *, event_id % 97 = 0 OR event_id % 193 = 0 AS g FROM logs))""",
     ),
+    "discovered_packets": query(
+        "", "SELECT (event_id % 7)::VARCHAR AS folder, count(*) AS packets, sum(event_id)::BIGINT AS frames, 0::BIGINT AS with_suffix FROM events GROUP BY 1"
+    ),
+    "feature_file": query("sliding", f"SELECT {ALL.replace(' w,', '')} FROM sliding"),
+    "training_file": query(
+        "numbered",
+        f"SELECT label, {', '.join(f"{f}::{'DOUBLE' if f in REAL_FEATURES else 'BIGINT'} AS {f}" for f in TRAINING_FEATURES)} FROM numbered WHERE seq <= 100",
+    ),
+    "report_file": query(
+        "detections",
+        f"""SELECT epoch_us(TIMESTAMP '2024-01-26 00:00:00') AS at_us, capture, prediction, confidence, method, {online_actions("prediction")} AS actions,
+       response_time, capture_seconds, {MODEL} FROM detections""",
+    ),
     "log_times": query(
         "timed_logs", "SELECT source, seq, epoch_us(ts) AS ts_us, year(ts)::INTEGER AS year, carried FROM timed_logs"
     ),

@@ -21,7 +21,7 @@ from authsignal.operators.features import (
     tumbling_features,
 )
 from authsignal.plans import detection, training
-from authsignal.sources import captures, tails
+from authsignal.sources import captures, sinks, tails
 from authsignal.sources import events as ev
 from authsignal.streaming import captures as stream_captures
 from authsignal.streaming import commits, jobs
@@ -636,6 +636,40 @@ def event_log_lines(spark, folder):
     return metrics.event_log(rows)
 
 
+# ---- files written and read back ----
+def discovered_packets(spark, folder):
+    """Packets of the capture files found in each folder; their path is the capture's name."""
+    found = captures.discover(spark, ev.capture_files(spark, folder))
+    return found.groupBy(F.regexp_extract("capture", "^folder=([0-9]+)/[^/]+$", 1).alias("folder")).agg(
+        F.count("*").alias("packets"), F.sum("frame_no").alias("frames"), F.count_if(F.endswith("capture", F.lit(".parquet"))).alias("with_suffix")
+    )
+
+
+def feature_file(spark, folder):
+    path = new_path(spark, "features")
+    sinks.write_features(_sliding(spark, folder), path)
+    return sinks.read_features(spark, path)
+
+
+def training_file(spark, folder):
+    path = new_path(spark, "training-file")
+    sinks.write_training(filters.first_n(_labelled(spark, folder), "label", training.ORDER, CFG.per_class), path)
+    return sinks.read_training(spark, path)
+
+
+def report_file(spark, folder):
+    """The nested report documents, read back."""
+    path = new_path(spark, "report")
+    rows = detection.result_rows(_detections(spark, folder), _since(ENDED))
+    sinks.write_report(rows, path)
+    back = sinks.read_report(spark, path, rows.schema)
+    return back.select(
+        F.unix_micros("timestamp").alias("at_us"), "capture", "prediction", "confidence", "method",
+        F.array_join("actions", ",").alias("actions"), "response_time", "capture_seconds",
+        *[F.col(f"features.{name}").alias(name) for name in MODEL_FEATURES],
+    )
+
+
 # ---- log and capture evidence ----
 def log_identifiers(spark, folder):
     rows = evidence.with_identifiers(_parsed(spark, folder))
@@ -890,6 +924,10 @@ QUERIES = {
     "metric_bands": metric_bands,
     "result_table": result_table,
     "event_log_lines": event_log_lines,
+    "discovered_packets": discovered_packets,
+    "feature_file": feature_file,
+    "training_file": training_file,
+    "report_file": report_file,
     "log_identifiers": log_identifiers,
     "log_matches_since": log_matches_since,
     "log_times": log_times,

@@ -12,8 +12,8 @@ from authsignal.operators import forest
 from authsignal.operators.augment import oversample
 from authsignal.operators.features import Layout, window_features
 from authsignal.operators.rules import offline_class, simple_class, weighted_class, with_weighted_scores
-from authsignal.operators.windows import window_ids
-from authsignal.sources.captures import label_windows
+from authsignal.operators.windows import window_ids, window_totals
+from authsignal.sources.captures import capture_duration, label_windows
 
 ORDER = ["capture", "w"]
 
@@ -22,8 +22,8 @@ def labelled_features(
     packets: DataFrame, manifest: DataFrame, cfg: DetectorConfig = DetectorConfig(), limits: ScaleLimits = ScaleLimits()
 ) -> DataFrame:
     """Sliding windows of the listed captures with label and running window id."""
-    windows = window_features(packets, cfg, Layout.sliding(cfg), limits)
-    return window_ids(label_windows(windows, manifest))
+    windows = label_windows(window_features(packets, cfg, Layout.sliding(cfg), limits), manifest)
+    return window_ids(windows, totals=window_totals(capture_duration(packets), manifest, cfg))
 
 
 def training_set(labelled: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:

@@ -66,6 +66,13 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).selectExpr(*columns)
 
 
+def capture_files(spark: SparkSession, folder: str) -> str:
+    """Packets without a capture name, as files in seven folders, and their path."""
+    path = new_path(spark, "captures")
+    frames(spark, folder).withColumn("folder", F.col("frame_no") % 7).drop("capture").write.partitionBy("folder").parquet(path)
+    return path
+
+
 def packet_stream(spark: SparkSession, folder: str, late: str, files_per_batch: int | None = None) -> DataFrame:
     """The same packets as a stream of event files, with their event time."""
     # as a pattern, the table may be one file or a folder of files

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from authsignal.config import ATTACKS, TRAINING_FEATURES
+from authsignal.config import ATTACKS, REAL_FEATURES, TRAINING_FEATURES
 from authsignal.operators.features import FEATURE_COLUMNS
 from authsignal.operators.metrics import exposition_files
 from authsignal.schemas import TRAINING
@@ -19,6 +20,15 @@ def write_features(rows: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """A stored feature table; the header decides whether it has a label and a window id."""
+    header = spark.read.option("header", True).csv(path).columns
+    types = {"capture": "string", "label": "string", "window_id": "string", **dict.fromkeys(REAL_FEATURES, "double")}
+    types |= dict.fromkeys(("t_start", "t_end", "duration"), "double") | dict.fromkeys(("suci_unencrypted", "rand_repeat", "is_active"), "int")
+    schema = ", ".join(f"`{name}` {types.get(name, 'bigint')}" for name in header)
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_training(rows: DataFrame, path: str) -> None:
     """Training set with its fixed columns; anything else is dropped."""
     rows.select("label", *TRAINING_FEATURES).write.option("header", True).csv(path)
@@ -38,6 +48,11 @@ def write_report(detections: DataFrame, path: str) -> None:
     ).write.json(f"{path}/summary")
 
 
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The documents of a detection report, with the types of the rows that were written."""
+    return spark.read.schema(schema).json(f"{path}/results")
+
+
 def response_report(events: DataFrame) -> DataFrame:
     """Header of the response report: total and a map of responses per attack class."""
     per_class = [F.struct(F.lit(a).alias("key"), F.count_if(F.col("attack_type") == a).alias("value")) for a in ATTACKS]
