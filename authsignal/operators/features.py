@@ -116,8 +116,8 @@ def rogue_setup(cfg: DetectorConfig) -> str:
     return f"({_carries('ngap_procedures', cfg.ng_setup)} AND {unlisted})"
 
 
-def panes(packets: DataFrame, cfg: DetectorConfig, layout: Layout) -> DataFrame:
-    """One row per (capture, pane): counts inside windows, and whole-capture evidence."""
+def panes(packets: DataFrame, cfg: DetectorConfig, layout: Layout, **more: str) -> DataFrame:
+    """One row per (capture, pane): counts inside windows, whole-capture evidence, and ``more`` aggregates."""
     tests = conditions(cfg)
     keep = layout.counted
     aggregates = {
@@ -129,6 +129,7 @@ def panes(packets: DataFrame, cfg: DetectorConfig, layout: Layout) -> DataFrame:
         "any_rogue": f"bool_or({rogue_setup(cfg)})",
         "capture_us": "max(capture_us)",
         "has_last": "bool_or(frame_no = last_frame)",
+        **more,
     }
     return packets.groupBy("capture", F.expr(f"{layout.pane} AS pane")).agg(
         *[F.expr(f"{expression} AS {name}") for name, expression in aggregates.items()]

@@ -17,7 +17,9 @@ from authsignal.operators.features import (
     rand_repeats,
 )
 from authsignal.operators.rules import window_score
-from authsignal.sources.captures import with_capture_length
+
+
+ENDLESS_US = 1 << 60  # a length beyond all packets, where the real one is applied later
 
 
 def time_slice(packets: DataFrame, t0_us: int, t1_us: int, extra: Column | None = None) -> DataFrame:
@@ -33,10 +35,19 @@ def capture_verdict_inputs(
 
     A tumbling window is a single pane, so the best window and the overrides are both reductions
     of the pane rows by capture. A capture whose windows are all empty reports its first one.
+
+    Packets that carry only ``rel_us`` need no length joined onto them: it is worked out from the
+    panes, one row per capture and window, and panes beyond it are left out there.
     """
     layout = Layout.tumbling(cfg)
-    packets = with_capture_length(packets, unreadable_us=cfg.window_us, limits=limits)
-    rows = panes(packets, cfg, layout).selectExpr("*", "cast(null_seen AND watched_seen AS int) AS suci_unencrypted")
+    if "capture_us" in packets.columns:
+        rows = panes(packets, cfg, layout)
+    else:
+        packets = packets.withColumns({"capture_us": F.lit(ENDLESS_US), "last_frame": F.lit(None).cast("long")})
+        rows = panes(packets, cfg, layout, last_row="max(struct(frame_no, rel_us))")
+        length = F.max("last_row").over(W.partitionBy("capture"))["rel_us"]
+        rows = rows.withColumn("capture_us", F.coalesce(length, F.lit(cfg.window_us)).cast("bigint"))
+    rows = rows.selectExpr("*", "cast(null_seen AND watched_seen AS int) AS suci_unencrypted")
     rows = rows.select("*", window_score().alias("score"))
     per_capture = rows.groupBy("capture").agg(
         F.expr(

@@ -218,3 +218,16 @@ def test_plans_have_no_nested_loops_or_python(cases):
 
 def test_overlap_percent():
     assert CFG.overlap_percent == 66
+
+
+def test_detection_joins_no_clock_onto_packets(spark):
+    """The plan of a bare packet table has no join but the one of RAND windows, on rows of one per window."""
+    from authsignal.plans.detection import capture_features
+
+    packets = table(spark, [packet("a", k, k * 7.5, nas=[89], rand=str(k % 2)) for k in range(17)])
+    df = capture_features(packets, CFG)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    # the last packet stands at the end of the fourth window and is in none of them
+    row = df.first()
+    assert (row.capture_us, row.total_packets, row.all_failures, row.rand_repeat) == (120_000_000, 4, 17, 1)
