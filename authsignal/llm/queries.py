@@ -25,6 +25,7 @@ from authsignal.llm import (
     whitening,
 )
 from authsignal.llm.common import table
+from authsignal.llm.oracle import LLM_ORACLE as LLM_ORACLE
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,4 +114,3 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_prefix_trie": op12_prefix_trie,
     "op13_personal": op13_personal,
 }
-LLM_ORACLE: dict[str, str] = {}
