@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from authsignal.config import DetectorConfig, ScaleLimits
+from authsignal.config import DetectorConfig
 from authsignal.functions.columns import floor_div
 from authsignal.operators.features import (
     COUNTERS,
@@ -28,9 +28,7 @@ def time_slice(packets: DataFrame, t0_us: int, t1_us: int, extra: Column | None
     return packets.where(inside if extra is None else inside & extra)
 
 
-def capture_verdict_inputs(
-    packets: DataFrame, cfg: DetectorConfig, limits: ScaleLimits = ScaleLimits()
-) -> DataFrame:
+def capture_verdict_inputs(packets: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Per capture: the best tumbling window and the whole-capture evidence, in one aggregation.
 
     A tumbling window is a single pane, so the best window and the overrides are both reductions

@@ -6,18 +6,16 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authsignal.config import MODEL_FEATURES, SCORE_ORDER, DetectorConfig, ScaleLimits
+from authsignal.config import MODEL_FEATURES, SCORE_ORDER, DetectorConfig
 from authsignal.operators import forest
 from authsignal.operators.respond import online_actions
 from authsignal.operators.rules import gated, online_class, score_share, weighted_class, with_weighted_scores
 from authsignal.operators.windows import apply_overrides, capture_verdict_inputs
 
 
-def capture_features(
-    packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), limits: ScaleLimits = ScaleLimits()
-) -> DataFrame:
+def capture_features(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """One row per capture: best window with the whole-capture overrides applied."""
-    rows = apply_overrides(capture_verdict_inputs(packets, cfg, limits), cfg)
+    rows = apply_overrides(capture_verdict_inputs(packets, cfg), cfg)
     return rows.withColumn("capture_seconds", F.bround(F.col("capture_us") / F.lit(float(cfg.unit_us)), 2))
 
 
@@ -58,11 +56,10 @@ def detect(
     packets: DataFrame,
     model: PipelineModel,
     cfg: DetectorConfig = DetectorConfig(),
-    limits: ScaleLimits = ScaleLimits(),
     timings: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid detection over all captures in one plan: rules, else forest with the gate."""
-    scored = forest.predict(model, with_response_time(capture_features(packets, cfg, limits), timings))
+    scored = forest.predict(model, with_response_time(capture_features(packets, cfg), timings))
     return decide(scored, cfg, "model_class", "model_confidence", "rf")
 
 
@@ -78,11 +75,10 @@ def with_score_share(rows: DataFrame) -> DataFrame:
 def detect_without_model(
     packets: DataFrame,
     cfg: DetectorConfig = DetectorConfig(),
-    limits: ScaleLimits = ScaleLimits(),
     timings: DataFrame | None = None,
 ) -> DataFrame:
     """Detection where no model is trained yet: weighted rules stand in for the forest."""
-    rows = with_score_share(with_response_time(capture_features(packets, cfg, limits), timings))
+    rows = with_score_share(with_response_time(capture_features(packets, cfg), timings))
     return decide(rows, cfg, "weighted_class", "score_share", "weighted")
 
 

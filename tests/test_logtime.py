@@ -1,6 +1,7 @@
 """Times of log lines against a plain loop."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,8 +91,11 @@ def test_no_line_of_any_format_is_lost(spark):
 
 
 def test_plan_sorts_no_source_in_one_task(spark):
+    """Windows over lines lie within a block; windows over whole sources see one row per block."""
     df = spark.createDataFrame([("s", k, None, "m") for k in range(9)], LINE)
-    plan = with_line_times(df, block=3)._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    # lines are dealt by source and block; only the rows of blocks are dealt by source alone
-    assert all("_block" in line or "_of" in line or "Arguments" in line for line in exchanges if "stamp" in line)
+    plan = with_line_times(df, block=3)._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan)
+    of_lines = [w for w in windows if re.search(r"seq#\d+L ASC", w)]
+    of_blocks = [w for w in windows if w not in of_lines]
+    assert of_lines and all(re.match(r"source#\d+, _block#\d+L, seq#", w) for w in of_lines)
+    assert of_blocks and all(re.match(r"source#\d+, _block#\d+L ASC", w) for w in of_blocks)
