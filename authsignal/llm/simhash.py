@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import written
+from authsignal.functions.skew import attach_by_key
 from authsignal.llm.common import batches, ship, texts
-from authsignal.llm.graph import components, flat_labels
+from authsignal.llm.graph import LIMITS, components, flat_labels, lowest_of_class
 
 SEED = 42
 TILE = 2048
@@ -159,15 +160,12 @@ def near_duplicates(
 ) -> DataFrame:
     """Rows (doc_id, fp, component_id): the smallest id reachable over links of ``radius`` bits."""
     marks = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct")
     roots = written(components(links(distinct.select("fp"), radius, tile)).withColumnRenamed("node", "fp"), "roots")
-    linked = distinct.join(roots, "fp")
-    lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    classes = written(linked.join(lowest, "root").select("fp", "lowest"), "classes")
-    final = written(
-        distinct.join(classes, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id")), "classes"
-    )
-    return marks.join(final, "fp").select("doc_id", "fp", "component_id")
+    classes = lowest_of_class(distinct, roots, "fp")
+    final = distinct.join(classes, "fp", "left").select("fp", "copies", F.coalesce("lowest", "first_id").alias("component_id"))
+    # a fingerprint that many documents share is cut into parts
+    return attach_by_key(marks, final, "fp", "copies", "doc_id", LIMITS).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):

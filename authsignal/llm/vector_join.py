@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import written
+from authsignal.functions.skew import attach_by_key
 from authsignal.llm.common import batches, identity, rows_of, ship
-from authsignal.llm.graph import components, flat_labels
+from authsignal.llm.graph import LIMITS, components, flat_labels, lowest_of_class
 from authsignal.llm.vectors import element, fitted_sample, units, usable
 
 AXES = 4  # leading principal axes of the grid order
@@ -65,10 +66,13 @@ def blocks(reps: DataFrame, lead: np.ndarray, eps: float, kind: str) -> DataFram
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for part in parts:
-                for rep, label, dim, copies, vector in rows_of(part, "rep", "label", "dim", "copies", "embedding"):
-                    row = np.array([vector], dtype=np.float64)
-                    cell = np.floor(along(units(row), lead)[0] / eps).astype(int).tolist()
-                    yield rep, label, dim, copies, *cell, row.astype(kind).tobytes()
+                rows = list(rows_of(part, "rep", "label", "dim", "copies", "embedding"))
+                for size in sorted({row[2] for row in rows}):
+                    same = [row for row in rows if row[2] == size]
+                    vectors = np.array([row[4] for row in same], dtype=np.float64)
+                    cells_of = np.floor(along(units(vectors), lead) / eps).astype(int).tolist()
+                    for row, cell, vector in zip(same, cells_of, vectors.astype(kind)):
+                        yield *row[:4], *cell, vector.tobytes()
 
         yield from batches(found(), placed)
 
@@ -217,25 +221,21 @@ def near_duplicates(
     links = block_links(laid, written(block_pairs(laid, eps), "block_pairs"), lead, least, kind)
     more = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = written(components(links.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep"), "roots")
-    linked = reps.select("rep", "first_id").join(roots, "rep")
-    lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    classes = linked.join(lowest, "root").select("rep", "lowest")
+    classes = lowest_of_class(reps, roots, "rep")
     final = (
         reps.select("rep", "key_a", "key_b", "first_id", "copies")
         .join(more, "rep", "left")
         .join(classes, "rep", "left")
         .select(
-            "key_a",
-            "key_b",
-            (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("found_links"),
-            F.coalesce("lowest", "first_id").alias("found_component"),
+            F.struct("key_a", "key_b").alias("key"),
+            "copies",
+            (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+            F.coalesce("lowest", "first_id").alias("component_id"),
         )
     )
-    keyed = written(final, "vector_classes").withColumn("usable", F.lit(True))
-    component = F.coalesce("found_component", "vec_id")
-    return own.drop("embedding", "label").join(keyed, ["usable", "key_a", "key_b"], "left").select(
-        "vec_id",
-        F.coalesce("found_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-    )
+    # vectors that take no part stay out of the join; a vector with many copies is cut into parts
+    asked = own.where("usable").select("vec_id", F.struct("key_a", "key_b").alias("key"))
+    found = attach_by_key(asked, final, "key", "copies", "vec_id", LIMITS).select("vec_id", "n_links", "component_id")
+    alone = own.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return found.unionAll(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept)

@@ -4,10 +4,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from authsignal.config import ScaleLimits
 from authsignal.llm import simhash
-from authsignal.llm.graph import components, flat_labels
+from authsignal.llm.graph import components, flat_labels, lowest_of_class
 from tests.conftest import SMALL
 
 
@@ -99,3 +102,45 @@ def test_components_of_chains_and_stars(spark):
 def test_only_narrow_plans(spark, documents):
     plan = simhash.near_duplicates(documents([(1, "a b c")]))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def spread_of(df):
+    """Rows of each task that has any."""
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+
+
+@pytest.fixture
+def plain_exchanges(spark):
+    """Sixteen partitions that are neither merged nor broadcast, so that a hot key shows."""
+    wanted = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_class_is_spread(spark, plain_exchanges):
+    """A third of all nodes in one class, as a star, beside chains of two: no task takes the class."""
+    limits = ScaleLimits(broadcast_bytes=0, hot_rows=8)
+    n = 3000
+    edges = [(0, k) for k in range(1, n // 3)] + [(k, k + 1) for k in range(n // 3, n, 2)]
+    edges = spark.createDataFrame(edges, "a long, b long")
+    found = components(edges, limits)
+    roots = {r.node: r.root for r in found.collect()}
+    assert len(roots) == n + n % 2 and len({roots[k] for k in range(n // 3)}) == 1
+    assert len(set(roots.values())) == 1 + (n - n // 3 + 1) // 2
+    members = spark.range(n).select(F.col("id").alias("node"), (F.col("id") + 7).alias("first_id"))
+    lowest = lowest_of_class(members, found, "node", limits)
+    got = {r.node: r.lowest for r in lowest.collect()}
+    assert all(got[k] == 7 for k in range(n // 3)) and all(got[k] == k - (k - n // 3) % 2 + 7 for k in range(n // 3, n))
+    tasks = spread_of(lowest)
+    assert len(tasks) == 16 and tasks[-1] <= 2 * tasks[8]
+
+
+def test_class_of_a_third_of_the_rows(spark, documents):
+    rows = [(k, "the same text for all of these") for k in range(200)] + [(1000 + k, f"t{k} " * 3 + f"u{k * 7} v{k * 13}") for k in range(400)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows)).collect()}
+    marks = np.array([plain_fingerprint(t) for _, t in rows], dtype=np.uint64)
+    assert got == dict(zip((i for i, _ in rows), plain_classes([i for i, _ in rows], marks, 2)))

@@ -75,6 +75,17 @@ def test_join_of_odd_rows(spark):
     assert vector_join.near_duplicates(vectors(spark, []), 0.93).collect() == []
 
 
+def test_join_of_large_groups(spark):
+    """A third near each other, a third copies of one vector, and a third that takes no part, all of one label."""
+    draw = np.random.default_rng(4)
+    near = (np.eye(8)[0] + draw.standard_normal((300, 8)) * 0.02).tolist()
+    rows = [(k, v, 1) for k, v in enumerate(near + [np.eye(8)[3].tolist()] * 300 + [None] * 150 + [[0.0] * 8] * 150)]
+    got = vector_join.near_duplicates(vectors(spark, rows), 0.93).collect()
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert len(got) == len(rows) == len(found)
+    assert found == {k: (299, k - k % 300, k % 300 == 0) if k < 600 else (0, k, True) for k in range(900)}
+
+
 def test_join_query(spark):
     from authsignal.llm.queries import op8_vector_join
 
