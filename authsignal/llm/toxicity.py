@@ -7,7 +7,8 @@ learns which sentences explain the labels, and its sentence scores then locate t
 
 The fit uses a bounded sample of labelled rows (``Limits``); scoring reads every whole text.
 
-Defined cases: a null text counts as empty; an empty text has one sentence without words, whose
+Defined cases: a row without an id teaches nothing and is not held out; of texts that repeat an id the
+one of least hash teaches, all are scored; a null text counts as empty; an empty text has one sentence without words, whose
 score is that of the model's bias; labels other than 0 and 1 teach nothing, of labels repeated for
 one id the largest counts; with no usable labels the score is 0 for all; repeated rows are scored
 each; other columns of the input are ignored, whatever their names.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from authsignal.functions.shared import written
@@ -37,8 +38,10 @@ FORM = bytes(
 class Limits:
     """Bounds of the fit; none of them touches what is scored."""
 
-    documents: int = 20_000  # labelled rows that the model is fitted on
+    documents: int = 20_000  # labelled ids that the model is fitted on, one text each
+    marks: int = 20_000_000  # words of the model in sentences that it is fitted on, over all those texts
     vocabulary: int = 2_000  # words of the sentence model
+    word_bytes: int = 64  # longer words, and their beginnings, are no words of the model
     least_documents: int = 5  # a word of the model is in so many labelled rows
     rounds: int = 400
     rate: float = 0.05
@@ -97,12 +100,14 @@ def learn(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), keep=No
     # at most ``limits.documents`` rows of two numbers
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.documents)
     chosen = written(chosen, "chosen")
-    sample = written(texts(docs).join(F.broadcast(chosen), "doc_id"), "sample", compression="zstd")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one, F.first("toxic").alias("toxic"))
+    sample = written(sample, "sample", compression="zstd")
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not seen.get(0) or not seen.get(1):
         return Model(-np.inf, {})
     words = vocabulary(sample, seen[1], seen[0], limits)
-    rows = instances(sample, words)
+    rows = bounded(written(instances(sample, words), "instances"), limits.marks)
     fitted = rows.repartition(1).mapInArrow(fit(len(words), limits), "place int, weight double").collect()
     weights = {r["place"]: r["weight"] for r in fitted}
     return Model(weights[len(words)], {w: weights[k] for k, w in enumerate(words) if weights[k]})
@@ -110,6 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), keep=No
 
 def vocabulary(sample: DataFrame, toxic: int, clean: int, limits: Limits) -> list[bytes]:
     """The words that tell the two labels apart best, by the likelihood ratio of document counts."""
+    longest = limits.word_bytes
     schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +124,7 @@ def vocabulary(sample: DataFrame, toxic: int, clean: int, limits: Limits) -> lis
                 sums = (Counter(), Counter())
                 for text, label in rows_of(part, "text", "toxic"):
                     words = set(sentences(text)[0].split())
-                    sums[label].update({name for word in words if len(word) <= 64 for name in features(word)})
+                    sums[label].update({name for word in words if len(word) <= longest for name in features(word)})
                 for word in sums[0].keys() | sums[1].keys():
                     yield word, sums[1][word], sums[0][word]
 
@@ -150,10 +156,10 @@ def vocabulary(sample: DataFrame, toxic: int, clean: int, limits: Limits) -> lis
 
 
 def instances(sample: DataFrame, words: list[bytes]) -> DataFrame:
-    """Rows (toxic, plain, places, marks): sentences without model words are only counted."""
+    """Rows (doc_id, toxic, plain, places, marks): sentences without model words are only counted."""
     places_of = {w: k for k, w in enumerate(words)}
     schema = pa.schema(
-        [("toxic", pa.int32()), ("plain", pa.int32()), ("places", pa.list_(pa.int32())), ("marks", pa.list_(pa.int32()))]
+        [("doc_id", pa.int64()), ("toxic", pa.int32()), ("plain", pa.int32()), ("places", pa.list_(pa.int32())), ("marks", pa.list_(pa.int32()))]
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +167,7 @@ def instances(sample: DataFrame, words: list[bytes]) -> DataFrame:
 
         def found():
             for part in parts:
-                for text, label in rows_of(part, "text", "toxic"):
+                for doc_id, text, label in rows_of(part, "doc_id", "text", "toxic"):
                     plain, places, marks = 0, [], []
                     for k, sentence in enumerate(sentences(text)[1]):
                         own = {places_of[name] for name in known.of(sentence.split())}
@@ -170,11 +176,24 @@ def instances(sample: DataFrame, words: list[bytes]) -> DataFrame:
                             marks += [k] * len(own)
                         else:
                             plain += 1
-                    yield label, plain, places, marks
+                    yield doc_id, label, plain, places, marks
 
         yield from batches(found(), schema, 512)
 
-    return sample.select("text", "toxic").mapInArrow(run, "toxic int, plain int, places array<int>, marks array<int>")
+    return sample.select("doc_id", "text", "toxic").mapInArrow(
+        run, "doc_id long, toxic int, plain int, places array<int>, marks array<int>"
+    )
+
+
+def bounded(rows: DataFrame, marks: int) -> DataFrame:
+    """The rows, in order of a hash of the id, whose marks together are at most ``marks``.
+
+    Only pairs of numbers are put in order, one for each of the ids of the bounded sample.
+    """
+    total = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", F.size("places").alias("size"))
+    within = sizes.withColumn("total", F.sum("size").over(total)).where(F.col("total") <= marks).select("doc_id")
+    return rows.join(within, "doc_id", "left_semi")
 
 
 def fit(n_words: int, limits: Limits):
@@ -282,5 +301,5 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Rows that no model learns from: every fifth by checksum of the id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows that no model learns from: every fifth by checksum of the id; false without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
