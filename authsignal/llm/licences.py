@@ -3,9 +3,17 @@
 A template is written as in licence lists:
 
 * ``<<beginOptional>> ... <<endOptional>>`` may be missing as a whole, and may be nested;
-* ``<<var;name="...";match="a-b">>`` stands for a to b words of any kind (``match`` left out: 0 to 8);
+* ``<<var;name="...";original="...";match="...">>`` is a replaceable region (``match`` left out: 0 to 8 words);
 * all other words are mandatory and must match exactly.
 
+Tags may carry further attributes. ``match`` is one of these; anything else is refused:
+
+* ``a-b``: a to b words of any kind;
+* ``.*`` or ``.+``: any number of words, or one at least;
+* ``.{a,b}`` or ``.{a,}``: a to b characters, read as words: none or, where a is above zero, one at
+  least, and at most (b + 1) // 2, since a word has a character and a blank stands between two;
+* ``one text|another text``: one of these wordings, which may end in an empty one.
+
 Each template is compiled into an automaton over words (states are template places; an optional
 region adds a move without a word). A text is accepted where a run of its words takes the automaton
 from its start to its end. All states that are open at one word advance together, so a scan is
@@ -21,6 +29,7 @@ each; an empty table gives no rows; other columns of the input are ignored, what
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,6 +64,28 @@ TEMPLATES = {
     "gpl-or-later": """gnu general public license <<beginOptional>>as published by the free software
         foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;name="version";match="1-2">> or
         <<var;name="option";match="0-3">> any later version""",
+    "mit": """<<beginOptional;name="title">>the mit license <<beginOptional>>mit<<endOptional>><<endOptional>>
+        <<beginOptional;name="copyright">>copyright <<var;name="holder";match=".{1,5000}">><<endOptional>>
+        permission is hereby granted free of charge to any person obtaining a copy of
+        <<var;name="software";match="this software|the software">> and associated documentation files the software to deal
+        in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to
+        do so subject to the following conditions the above copyright notice and this permission notice
+        <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions
+        of the software the software is provided as is without warranty of any kind express or implied including but not
+        limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+        <<var;name="parties";match=".+">> be liable for any claim damages or other liability whether in an action of contract
+        tort or otherwise arising from out of or in connection with the software or the use or other dealings in the
+        software""",
+    "isc": """<<beginOptional;name="title">>isc license<<endOptional>>
+        <<beginOptional;name="copyright">>copyright <<var;name="holder";match=".{1,5000}">><<endOptional>>
+        permission to use copy modify and <<var;name="or";match="or distribute|distribute">> this software for any purpose
+        with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in
+        all copies the software is provided as is and <<var;name="author";match=".{1,500}">> disclaims all warranties with
+        regard to this software including all implied warranties of merchantability and fitness in no event shall
+        <<var;name="parties";match=".{1,500}">> be liable for any special direct indirect or consequential damages or any
+        damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+        tortious action arising out of or in connection with the use or performance of this software""",
     "bsd-redistribution": """redistribution and use in source and binary forms with or without modification are
         permitted provided that the following conditions are met""",
 }
@@ -73,6 +104,7 @@ class Automaton:
     moves: list[list[tuple[bytes | None, int]]] = field(default_factory=lambda: [[]])
     skips: list[list[int]] = field(default_factory=lambda: [[]])
     mandatory: set[bytes] = field(default_factory=set)
+    most: dict[int, int] = field(default_factory=dict)  # states that loop: how many words they take
     end: int = 0
 
     def grow(self) -> int:
@@ -90,6 +122,32 @@ class Automaton:
                     todo.append(state)
         return found
 
+    def run(self, at: int, words: list[bytes | None]) -> int:
+        """The state behind these words, one after the other."""
+        for word in words:
+            state = self.grow()
+            self.moves[at].append((word, state))
+            at = state
+        return at
+
+    def region(self, at: int, least: int, most: float) -> int:
+        """The state behind ``least`` to ``most`` words of any kind: a run, then one state that loops."""
+        at = self.run(at, [ANY] * least)
+        if most > least:
+            loop = self.grow()
+            self.skips[at].append(loop)
+            self.moves[loop].append((ANY, loop))
+            self.most[loop] = most - least
+            at = loop
+        return at
+
+    def choice(self, at: int, wordings: list[list[bytes]]) -> int:
+        """The state behind any one of the wordings."""
+        behind = self.grow()
+        for words in wordings:
+            self.skips[self.run(at, words)].append(behind)
+        return behind
+
     def finish(self) -> "Automaton":
         self.start = self.closed({0})
         self.reached = [self.closed({state}) for state in range(len(self.moves))]
@@ -97,35 +155,50 @@ class Automaton:
         return self
 
 
+def bounds(match: str) -> tuple[int, float] | None:
+    """Fewest and most words that a replaceable region stands for; None where it lists wordings."""
+    if found := re.fullmatch(r"(\d+)-(\d+)", match):
+        least, most = int(found[1]), int(found[2])
+    elif match in (".*", ".+"):
+        least, most = int(match == ".+"), math.inf
+    elif found := re.fullmatch(r"\.\{(\d+),(\d*)\}", match):
+        few, many = int(found[1]), int(found[2]) if found[2] else None
+        least, most = int(few > 0), math.inf if many is None else (many + 1) // 2 if few <= many else -1
+    elif re.fullmatch(r"[A-Za-z0-9 ,|\x80-\U0010ffff]+", match):
+        return None
+    else:
+        raise ValueError(f"a region that isn't understood: {match!r}")
+    if least > most:
+        raise ValueError(f"a region that can't match: {match!r}")
+    return least, most
+
+
 def compile_template(label: str, template: str) -> Automaton:
-    """The automaton of one template."""
+    """The automaton of one template; ValueError where its markup isn't understood."""
     own, at, open_regions = Automaton(label), 0, []
     for k, part in enumerate(TAG.split(template)):
+        name = part.split(";")[0].strip()
         if k % 2 == 0:
-            for word in word_runs(part):
-                state = own.grow()
-                own.moves[at].append((word, state))
-                if not open_regions:
-                    own.mandatory.add(word)
-                at = state
-        elif part.strip() == "beginOptional":
+            words = word_runs(part)
+            if not open_regions:
+                own.mandatory.update(words)
+            at = own.run(at, words)
+        elif name == "beginOptional":
             open_regions.append(at)
-        elif part.strip() == "endOptional":
+        elif name == "endOptional":
+            if not open_regions:
+                raise ValueError(f"template {label}: an optional region ends that hasn't begun")
             state = own.grow()
             own.skips[at].append(state)
             own.skips[open_regions.pop()].append(state)
             at = state
-        elif part.startswith("var"):
-            bounds = re.search(r'match="(\d+)-(\d+)"', part)
-            least, most = map(int, bounds.groups()) if bounds else (0, 8)
-            places = [at]
-            for _ in range(most):
-                state = own.grow()
-                own.moves[places[-1]].append((ANY, state))
-                places.append(state)
-            at = own.grow()
-            for place in places[least:]:
-                own.skips[place].append(at)
+        elif name == "var":
+            found = re.search(r';\s*match\s*=\s*"(.*?)"\s*(;|$)', part, re.S)
+            if not found and re.search(r";\s*match\b", part):
+                raise ValueError(f"template {label}: match without a quoted value in {part!r}")
+            match = found[1].strip() if found else "0-8"
+            words = bounds(match)
+            at = own.region(at, *words) if words else own.choice(at, [word_runs(wording) for wording in match.split("|")])
         else:
             raise ValueError(f"template {label}: unknown region {part!r}")
     if open_regions:
@@ -137,11 +210,15 @@ def compile_template(label: str, template: str) -> Automaton:
 
 
 def places(own: Automaton, words: list[bytes]) -> list[tuple[int, int]]:
-    """Accepted runs (first word, word behind): for each start the longest, in order."""
+    """Accepted runs (first word, word behind): for each start the longest, in order.
+
+    For each state that is open, and each start that reaches it, the words are kept that a loop may
+    still take: what can follow the largest number can follow all smaller ones.
+    """
     found: dict[int, int] = {}
-    firsts = own.firsts
+    firsts, most = own.firsts, own.most
     starts = [k for k, word in enumerate(words) if word in firsts]
-    open_states: dict[int, set[int]] = {}  # state: the starts that reach it
+    open_states: dict[int, dict[int, float]] = {}  # state: the starts that reach it, with words left
     nxt, k, n = 0, 0, len(words)
     while k < n:
         if not open_states:
@@ -150,14 +227,25 @@ def places(own: Automaton, words: list[bytes]) -> list[tuple[int, int]]:
             k = starts[nxt]
         if nxt < len(starts) and starts[nxt] == k:
             for state in own.start:
-                open_states.setdefault(state, set()).add(k)
+                open_states.setdefault(state, {})[k] = most.get(state, 0)
             nxt += 1
         word, after = words[k], {}
         for state, sources in open_states.items():
             for wanted, target in own.moves[state]:
-                if wanted is ANY or wanted == word:
-                    for reached in own.reached[target]:
-                        after.setdefault(reached, set()).update(sources)
+                if wanted is not ANY and wanted != word:
+                    continue
+                going = sources
+                if target == state:
+                    going = {source: left - 1 for source, left in sources.items() if left > 0}
+                    if not going:
+                        continue
+                for reached in own.reached[target]:
+                    into = after.setdefault(reached, {})
+                    if reached == state and target == state:
+                        for source, left in going.items():
+                            into[source] = max(left, into.get(source, left))
+                    else:
+                        into.update(dict.fromkeys(going, most.get(reached, 0)))
         open_states = after
         k += 1
         for source in after.get(own.end, ()):
