@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,17 @@ from authsignal.llm.vectors import element, fitted_sample, units, usable
 @dataclass(frozen=True)
 class Settings:
     block: int = 4096  # vectors of an index block
-    queries: int = 256  # queries that are searched together
+    queries: int = 256  # queries whose estimates are made together
+    together: int = 8  # blocks of queries that one copy of an index block is sent for
+    most_tasks: int = 50_000  # of one search
     planes: int = 8  # bits a coordinate of a rotated query
     bound: float = 2.0  # width of the error bound, in standard deviations about
     seed: int = 42
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
+    """A random orthogonal matrix, the same in every task, made once a worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -71,60 +75,64 @@ def codes(rows: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.nd
     return words(turned > 0), far, np.where(far > 0, own, 1.0)
 
 
-class Query:
-    """One query against the codes of a block."""
+class Queries:
+    """A block of queries against the codes of a block of vectors."""
 
-    def __init__(self, row: np.ndarray, centre: np.ndarray, turn: np.ndarray, settings: Settings):
-        direction, far = centred(row[None, :], centre)
-        turned = direction[0] @ turn
-        self.unit, self.far, self.dim = units(row[None, :])[0], float(far[0]), len(row)
+    def __init__(self, rows: np.ndarray, centre: np.ndarray, turn: np.ndarray, settings: Settings):
+        direction, self.far = centred(rows, centre)
+        turned = direction @ turn
+        self.units, self.dim, self.settings = units(rows), rows.shape[1], settings
         top = (1 << settings.planes) - 1
-        self.low = float(turned.min())
-        self.step = max(float(turned.max() - turned.min()) / top, 1e-12)
-        levels = np.rint((turned - self.low) / self.step).astype(np.int64)
-        self.total = int(levels.sum())
-        self.planes = [words(((levels >> k) & 1)[None, :].astype(bool))[0] for k in range(settings.planes)]
+        self.low = turned.min(axis=1)
+        self.step = np.maximum((turned.max(axis=1) - self.low) / top, 1e-12)
+        levels = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
+        self.total = levels.sum(axis=1)
+        self.planes = [words(((levels >> k) & 1).astype(bool)) for k in range(settings.planes)]
         # rounding moves each coordinate by half a step at most
         self.rounding = self.step * np.sqrt(self.dim) / 2
-        self.settings = settings
 
     def estimates(self, code: np.ndarray, own: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of directions, and how far they may be off."""
-        dot = np.zeros(len(code))
+        """Estimated inner products of directions, one row a query, and how far they may be off."""
+        dot = np.zeros((len(self.units), len(code)))
         for k, plane in enumerate(self.planes):
-            dot += np.bitwise_count(code & plane).sum(axis=1) * float(1 << k)
-        signs = 2 * self.step * dot + 2 * self.low * ones - self.step * self.total - self.dim * self.low
+            for word in range(code.shape[1]):
+                dot += np.bitwise_count(plane[:, word, None] & code[None, :, word]) * float(1 << k)
+        low, step = self.low[:, None], self.step[:, None]
+        signs = 2 * step * dot + 2 * low * ones - step * self.total[:, None] - self.dim * low
         error = self.settings.bound * np.sqrt(np.maximum(0.0, 1 - own * own)) / own / np.sqrt(max(1, self.dim - 1))
-        return signs / np.sqrt(self.dim) / own, error + self.rounding / own
+        return signs / np.sqrt(self.dim) / own, error + self.rounding[:, None] / own
 
-    def cosines(self, code, own, ones, far, widen: float) -> np.ndarray:
-        """Cosines with the query: estimated (widen 0) or bounded from above (widen 1)."""
+    def cosines(self, code, own, ones, far) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with the queries: estimated, and bounded from above."""
         inner, error = self.estimates(code, own, ones)
-        inner = np.minimum(1.0, inner + widen * error)
-        return 1 - (far * far + self.far * self.far - 2 * far * self.far * inner) / 2
+        both = self.far[:, None]
+        within = lambda x: 1 - (far * far + both * both - 2 * far * both * np.minimum(1.0, x)) / 2
+        return within(inner), within(inner + error)
 
 
-def nearest(query_id: int, query: Query, ids, rows, code, own, ones, far, most: int) -> list[tuple[int, float]]:
-    """The nearest of one block: exact scores for all whose bound allows them among the first."""
-    open_ = ids != query_id
-    left = np.flatnonzero(open_)
-    if not len(left):
-        return []
+def nearest(query_ids, queries: Queries, ids, rows, code, own, ones, far, most: int) -> Iterator[tuple[int, int, float]]:
+    """The nearest of one block, by query: exact scores for all whose bound allows them among the first.
 
-    def exact(places: np.ndarray) -> np.ndarray:
-        # summed row by row in one order, so that equal vectors score the same wherever they stand
-        return np.clip((units(rows[places]) * query.unit).sum(axis=1), -1.0, 1.0)
+    ``rows`` are unit vectors.
+    """
+    guesses, bounds = queries.cosines(code, own, ones, far)
+    for query_id, unit, guess, bound in zip(query_ids.tolist(), queries.units, guesses, bounds):
 
-    if len(left) > most:
-        guess = query.cosines(code, own, ones, far, 0.0)[left]
-        first = left[np.argpartition(-guess, most - 1)[:most]]
-        least = exact(first).min()
-        bound = query.cosines(code, own, ones, far, 1.0)
-        left = left[bound[left] >= least - 1e-12]
-        left = np.union1d(left, first)
-    scores = exact(left)
-    order = np.lexsort((ids[left], -scores))[:most]
-    return list(zip(ids[left][order].tolist(), scores[order].tolist()))
+        def exact(places: np.ndarray) -> np.ndarray:
+            # summed row by row in one order, so that equal vectors score the same wherever they stand
+            return np.clip((rows[places] * unit).sum(axis=1), -1.0, 1.0)
+
+        left = np.flatnonzero(ids != query_id)
+        if not len(left):
+            continue
+        if len(left) > most:
+            first = left[np.argpartition(-guess[left], most - 1)[:most]]
+            least = exact(first).min()
+            left = np.union1d(left[bound[left] >= least - 1e-12], first)
+        scores = exact(left)
+        order = np.lexsort((ids[left], -scores))[:most]
+        for vec_id, score in zip(ids[left][order].tolist(), scores[order].tolist()):
+            yield query_id, vec_id, score
 
 
 def candidates(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -133,24 +141,26 @@ def candidates(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return own.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
 
 
-INDEX = "part int, dim int, n long, ids binary, vectors binary, codes binary, far binary, own binary"
+INDEX = "block long, dim int, n long, ids binary, vectors binary, codes binary, far binary, own binary"
 
 
 def build_index(vectors: DataFrame, centre: np.ndarray, settings: Settings = Settings()) -> DataFrame:
     """The written index over all rows of ``candidates``: blocks of vectors of one dimension."""
     ship(vectors.sparkSession)
     kind = element(vectors)
-    names = [("part", pa.int32()), ("dim", pa.int32()), ("n", pa.int64())]
+    names = [("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int64())]
     schema = pa.schema(names + [(c, pa.binary()) for c in ("ids", "vectors", "codes", "far", "own")])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_no = TaskContext.get().partitionId()
+        part_no, made = TaskContext.get().partitionId(), 0
 
         def block(dim: int, held: list[tuple]) -> tuple:
+            nonlocal made
+            made += 1
             ids = np.array([r[0] for r in held], dtype="<i8")
             rows = np.array([r[1] for r in held], dtype=kind)
             code, far, own = codes(rows.astype(np.float64), centre, rotation(dim, settings.seed))
-            return part_no, dim, len(held), ids.tobytes(), rows.tobytes(), code.tobytes(), far.tobytes(), own.tobytes()
+            return (part_no << 32) + made, dim, len(held), ids.tobytes(), rows.tobytes(), code.tobytes(), far.tobytes(), own.tobytes()
 
         def found():
             held: dict[int, list] = {}
@@ -172,12 +182,17 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, most: int =
     spark = index.sparkSession
     ship(spark)
     kind = element(queries)
-    names = [("dim", pa.int32()), ("query_ids", pa.binary()), ("query_vectors", pa.binary())]
+    names = [("query_block", pa.int64()), ("dim", pa.int32()), ("query_ids", pa.binary()), ("query_vectors", pa.binary())]
     schema = pa.schema(names)
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_no, made = TaskContext.get().partitionId(), 0
+
         def block(dim: int, held: list[tuple]) -> tuple:
-            return dim, np.array([r[0] for r in held], dtype="<i8").tobytes(), np.array([r[1] for r in held], dtype=kind).tobytes()
+            nonlocal made
+            made += 1
+            ids, rows = np.array([r[0] for r in held], dtype="<i8"), np.array([r[1] for r in held], dtype=kind)
+            return (part_no << 32) + made, dim, ids.tobytes(), rows.tobytes()
 
         def found():
             held: dict[int, list] = {}
@@ -198,28 +213,32 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, most: int =
             for part in parts:
                 columns = ("dim", "ids", "vectors", "codes", "far", "own", "query_ids", "query_vectors")
                 for dim, ids, rows, code, far, own, query_ids, query_rows in rows_of(part, *columns):
-                    turn = rotation(dim, settings.seed)
                     ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
                     rows, query_rows = (np.frombuffer(v, kind).reshape(-1, dim).astype(np.float64) for v in (rows, query_rows))
                     code = np.frombuffer(code, "<u8").reshape(len(ids), -1)
                     far, own = np.frombuffer(far, "<f8"), np.frombuffer(own, "<f8")
                     ones = np.bitwise_count(code).sum(axis=1).astype(np.float64)
-                    for query_id, row in zip(query_ids.tolist(), query_rows):
-                        query = Query(row, centre, turn, settings)
-                        for vec_id, score in nearest(query_id, query, ids, rows, code, own, ones, far, most):
-                            yield query_id, vec_id, score
+                    asked = Queries(query_rows, centre, rotation(dim, settings.seed), settings)
+                    yield from nearest(query_ids, asked, ids, units(rows), code, own, ones, far, most)
 
         yield from batches(found(), out)
 
-    size = index.agg(F.max("part").alias("parts"), F.sum("n").alias("n")).first()
-    if size["n"] is None:
+    if index.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = written(queries.select("vec_id", "embedding", "dim"), "queries")
     gathered = asked.repartition(max(1, -(-asked.count() // settings.queries)))
-    asked_blocks = gathered.mapInArrow(gather, "dim int, query_ids binary, query_vectors binary")
-    # every block of queries goes to every part of the index, and meets the blocks that the part has
-    sent = asked_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(size["parts"]))))
-    met = index.join(sent, ["part", "dim"]).select(
+    asked_blocks = written(gathered.mapInArrow(gather, "query_block long, dim int, query_ids binary, query_vectors binary"), "query_blocks")
+    # every block of queries meets every block of the index: blocks are dealt to cells, those of queries to
+    # bunches, and each pair of a cell and a bunch is about one block against a few, so more queries or
+    # vectors make more tasks, not longer ones
+    bunches = max(1, -(-asked_blocks.count() // settings.together))
+    cells = max(1, min(index.count(), settings.most_tasks // bunches))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys, tasks = ("dim", "cell", "bunch"), cells * bunches
+    held = index.withColumn("cell", dealt("block", cells)).withColumn("bunch", every(bunches)).repartition(tasks, *keys)
+    sent = asked_blocks.withColumn("bunch", dealt("query_block", bunches)).withColumn("cell", every(cells)).repartition(tasks, *keys)
+    met = held.join(sent.hint("merge"), [*keys]).select(
         "dim", "ids", "vectors", "codes", "far", "own", "query_ids", "query_vectors"
     )
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")

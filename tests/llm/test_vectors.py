@@ -1,5 +1,7 @@
 """Vector join and search against all pairs."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -150,11 +152,27 @@ def test_bounds_hold_for_most(spark):
     turn = ann.rotation(64, 42)
     assert np.allclose(turn @ turn.T, np.eye(64))
     code, far, own = ann.codes(rows, centre, turn)
-    query = ann.Query(rows[5], centre, turn, ann.Settings())
+    queries = ann.Queries(rows[5:25], centre, turn, ann.Settings())
     ones = np.bitwise_count(code).sum(axis=1).astype(float)
-    estimate, error = query.estimates(code, own, ones)
-    true = ann.centred(rows, centre)[0] @ ann.centred(rows[5:6], centre)[0][0]
-    assert (np.abs(estimate - true) <= error).mean() > 0.9
+    estimates, errors = queries.estimates(code, own, ones)
+    true = ann.centred(rows[5:25], centre)[0] @ ann.centred(rows, centre)[0].T
+    assert estimates.shape == errors.shape == true.shape
+    assert (np.abs(estimates - true) <= errors).mean(axis=1).min() > 0.9
+
+
+def test_more_queries_make_more_tasks(spark):
+    """Each task searches a bounded number of blocks, however many queries there are."""
+    rows = vectors(spark, [(k, v.tolist(), 1) for k, v in enumerate(clustered(512, 8, 6))])
+    settings = ann.Settings(block=64, queries=16, together=2)
+    own = ann.candidates(rows, "vec_id", "embedding")
+    index = ann.build_index(own, np.zeros(8), settings)
+    tasks = []
+    for asked in (32, 512):
+        found = ann.search(index, own.where(f"vec_id < {asked}"), np.zeros(8), 3, settings)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        tasks.append(int(re.search(r"RepartitionByExpression \[dim.*?\], (\d+)", plan)[1]))
+        assert found.count() == 3 * asked
+    assert tasks[1] >= 8 * tasks[0]
 
 
 def test_search_of_odd_rows(spark):
