@@ -172,3 +172,5 @@ class ScaleLimits:
     hot_keys: int = 10_000
     # windows generated by one row of a span table
     span_block: int = 4_096
+    # groups of subscribers that the rate limiter keeps on a stream, for each stretch of time
+    rate_groups: int = 1_024

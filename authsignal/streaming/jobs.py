@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from authsignal.config import DetectorConfig
+from authsignal.config import DetectorConfig, ScaleLimits
 from authsignal.operators.features import COUNTERS, conditions, null_scheme, rate_columns, rogue_setup, watched
 from authsignal.operators.forest import predict
 from authsignal.operators.metrics import event_log
@@ -99,55 +99,70 @@ def running_overrides(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()
     )
 
 
+# a row of the limiter: who, when and what, then what was known of it before the batch
+WHO, WHEN, COUNTS = ["unnamed", "subscriber"], "at_us", ["attempts", "failures"]
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """One column per subscriber and instant, in that order, with the other entries added up."""
+    rows = rows[:, np.lexsort(rows[2::-1])]
+    first = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
+    return np.vstack([rows[:3, first], np.add.reduceat(rows[3:], first, axis=1)])
+
+
 def _limiter(cfg: DetectorConfig) -> Callable:
-    """State per (subscriber, time shard): the counts of every instant in the shard and the one before."""
-    width = cfg.rate_window_seconds * 1_000_000
-    counts = ["attempts", "failures"]
+    """State per (group of subscribers, time shard): the counts of every instant in the shard and the one before.
 
-    def in_window(table: pd.DataFrame, shard: int) -> pd.DataFrame:
-        """Attempts and failures in the window up to each instant of the shard itself."""
-        instants = table.index.to_numpy()
-        own = instants[instants // width == shard]
-        upto = np.searchsorted(instants, own, side="right")
-        since = np.searchsorted(instants, own - width, side="left")
-        running = {c: np.concatenate([[0], table[c].to_numpy().cumsum()]) for c in counts}
-        return pd.DataFrame({c: running[c][upto] - running[c][since] for c in counts}, index=own, dtype="int64")
+    Groups are worked through as arrays: what a call costs is shared by all subscribers of the group.
+    """
+    width = cfg.rate_window_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        # every arriving batch shrinks to one row per instant before the next one is read
-        fresh = pd.concat([b.groupby("at_us", as_index=False)[counts].sum() for b in batches])
-        known = pd.DataFrame(dict(zip(["at_us", *counts], state.get))) if state.exists else fresh[["at_us", *counts]].iloc[:0]
-        known = known.astype("int64").groupby("at_us")[counts].sum().sort_index()
-        merged = pd.concat([known.reset_index(), fresh]).astype("int64").groupby("at_us")[counts].sum().sort_index()
-        state.update(tuple(part.tolist() for part in (merged.index.to_numpy(), merged.attempts.to_numpy(), merged.failures.to_numpy())))
-        state.setTimeoutTimestamp(max((int(key[1]) + 2) * width // 1000, state.getCurrentWatermarkMs() + 1))
-        now, before = in_window(merged, int(key[1])), in_window(known, int(key[1]))
-        before = before.reindex(now.index, fill_value=-1)
-        changed = now[(now != before).any(axis=1)]
-        if len(changed):
+        shard = int(key[1])
+        # every arriving batch shrinks to one row per subscriber and instant before the next one is read
+        parts = [_counted(b[[*WHO, WHEN, *COUNTS]].to_numpy(dtype="int64").T) for b in batches]
+        parts = [np.vstack([part, np.zeros((3, part.shape[1]), dtype="int64")]) for part in parts]
+        if state.exists:
+            known = np.frombuffer(state.get[0], dtype="<i8").reshape(5, -1)
+            parts.append(np.vstack([known, known[3:], np.ones((1, known.shape[1]), dtype="int64")]))
+        rows = _counted(np.hstack(parts))
+        state.update((np.ascontiguousarray(rows[:5], dtype="<i8").tobytes(),))
+        state.setTimeoutTimestamp(max((shard + 2) * width // 1000, state.getCurrentWatermarkMs() + 1))
+        # all subscribers on one line, three windows apart, so that no window reaches the one before
+        person = np.append(0, np.cumsum((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
+        line = person * 3 * width + rows[2] - (shard - 2) * width
+        own = np.flatnonzero(rows[2] // width == shard)
+        since = np.searchsorted(line, line[own] - width, side="left")
+        running = np.pad(rows[3:7].cumsum(axis=1), ((0, 0), (1, 0)))
+        windows = running[:, own + 1] - running[:, since]
+        changed = (rows[7, own] == 0) | (windows[:2] != windows[2:]).any(axis=0)
+        if changed.any():
+            unnamed, subscriber, at_us = rows[:3, own[changed]]
+            attempts, failures = windows[:2, changed]
             yield pd.DataFrame(
                 {
-                    "subscriber": np.full(len(changed), key[0]),
-                    "at_us": changed.index.to_numpy(),
-                    "attempts": changed.attempts.to_numpy(),
-                    "failures": changed.failures.to_numpy(),
-                    "over_limit": changed.attempts.to_numpy() > cfg.max_attempts,
-                    "blocked": changed.failures.to_numpy() >= cfg.block_failures,
+                    "subscriber": pd.arrays.IntegerArray(subscriber, unnamed == 1) if unnamed.any() else subscriber,
+                    "at_us": at_us,
+                    "attempts": attempts,
+                    "failures": failures,
+                    "over_limit": attempts > cfg.max_attempts,
+                    "blocked": failures >= cfg.block_failures,
                 }
             )
 
     return step
 
 
-def rate_limiter(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def rate_limiter(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), limits: ScaleLimits = ScaleLimits()) -> DataFrame:
     """Attempts and failures of a subscriber in the window up to each instant, as they arrive.
 
     Time is cut into shards as long as the window, each packet also going to the next shard as
-    context. One busy subscriber is so spread over groups, and the state of a group is bounded by
-    the instants of two windows.
+    context. One busy subscriber is so spread over groups. Subscribers are dealt to
+    ``limits.rate_groups`` groups by hash, and the state of a group is bounded by the instants that its
+    subscribers have in two windows.
 
     The rows are changes: a late packet makes every instant whose window it falls into appear again
     with new counts. The last row of a (subscriber, instant) is the valid one; ``commits.latest``
@@ -158,19 +173,21 @@ def rate_limiter(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
     shards = (
         packets.where(f"{tests['auth_requests']} OR {tests['auth_failures']}")
         .selectExpr(
-            "subscriber",
+            f"cast(pmod(xxhash64(subscriber), {limits.rate_groups}) AS int) AS part",
+            "cast(subscriber IS NULL AS bigint) AS unnamed",
+            "coalesce(subscriber, 0L) AS subscriber",
             "ts",
             "unix_micros(ts) AS at_us",
             f"cast({tests['auth_requests']} AS bigint) AS attempts",
             f"cast({tests['auth_failures']} AS bigint) AS failures",
         )
         .selectExpr("*", f"explode(array(at_us div {width}, at_us div {width} + 1)) AS shard")
-        .select("subscriber", "shard", "ts", "at_us", "attempts", "failures")
+        .select("part", "shard", "unnamed", "subscriber", "ts", "at_us", "attempts", "failures")
     )
-    return shards.groupBy("subscriber", "shard").applyInPandasWithState(
+    return shards.groupBy("part", "shard").applyInPandasWithState(
         _limiter(cfg),
         outputStructType="subscriber long, at_us long, attempts long, failures long, over_limit boolean, blocked boolean",
-        stateStructType="instants array<long>, attempts array<long>, failures array<long>",
+        stateStructType="counts binary",
         outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )

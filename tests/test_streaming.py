@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from authsignal.config import DetectorConfig
+from authsignal.config import DetectorConfig, ScaleLimits
 from authsignal.operators.respond import rate_limits
 from authsignal.schemas import PACKET
-from authsignal.streaming import jobs
+from authsignal.sources import events as ev
+from authsignal.streaming import commits, jobs
 from tests.packets import packet, table
 
 CFG = DetectorConfig()
@@ -89,3 +90,18 @@ def test_rate_limiter_equals_batch(spark, stream_folder):
     batch = spark.read.schema(PACKET).parquet(stream_folder)
     want = {tuple(r) for r in rate_limits(batch, CFG).collect()}
     assert got == want and any(r[4] for r in want) and any(r[5] for r in want)
+
+
+def test_rate_limiter_deals_subscribers_to_a_bounded_number_of_groups(spark, tmp_path):
+    many = [9_007_199_254_740_993 + k for k in range(40)]  # neither null ids nor such large ones may be rounded
+    rows = [packet("a", 100 * s + i, 1 + i * 7, nas=[86 if i % 3 else 89], subscriber=who) for s, who in enumerate([None, 0, *many]) for i in range(9)]
+    packets, folder = table(spark, rows), str(tmp_path / "packets")
+    for part in range(3):  # packets of every instant come late
+        packets.where(F.col("frame_no") % 3 == part).coalesce(1).write.mode("append").parquet(folder)
+    rows = jobs.rate_limiter(jobs.packet_stream(spark, folder, "1 day", 1), CFG, ScaleLimits(rate_groups=4))
+    query = commits.committed_sink(rows, str(tmp_path / "out"), str(tmp_path / "log"))
+    query.awaitTermination(300)
+    assert query.exception() is None and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 3
+    got = commits.latest(commits.read_committed(spark, str(tmp_path / "out"), rows.schema), "subscriber", "at_us")
+    want = {tuple(r) for r in rate_limits(spark.read.schema(PACKET).parquet(folder), CFG).collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 42 * 9
