@@ -90,10 +90,12 @@ def _packet_stream(spark: SparkSession, folder: str, files: str, late: str, file
 def shuffled_packet_stream(spark: SparkSession, folder: str, late: str, parts: int = 3) -> DataFrame:
     """The packets as a stream of several micro-batches, each of which covers the whole time."""
     path = new_path(spark, "event-files")
-    rows = events(spark, folder)
+    rows, files = events(spark, folder), []
     for part in range(parts):
-        rows.where(F.col("event_id") % parts == part).write.mode("append").parquet(path)
-    return _packet_stream(spark, folder, path, late, 1)
+        rows.where(F.col("event_id") % parts == part).write.parquet(f"{path}/{part}")
+        files.append(len(spark.read.parquet(f"{path}/{part}").inputFiles()))
+    # however many files a part has, it is one micro-batch
+    return _packet_stream(spark, folder, f"{path}/*", late, max(files))
 
 
 def timings(spark: SparkSession, folder: str) -> DataFrame:

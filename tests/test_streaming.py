@@ -105,3 +105,16 @@ def test_rate_limiter_deals_subscribers_to_a_bounded_number_of_groups(spark, tmp
     got = commits.latest(commits.read_committed(spark, str(tmp_path / "out"), rows.schema), "subscriber", "at_us")
     want = {tuple(r) for r in rate_limits(spark.read.schema(PACKET).parquet(folder), CFG).collect()}
     assert {tuple(r) for r in got.collect()} == want and len(want) == 42 * 9
+
+
+def test_shuffled_events_are_three_batches_however_many_files(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "'click' AS event_type", "1D AS value", "'{}' AS props"
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = ev.shuffled_packet_stream(spark, str(tmp_path), "1 day").writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+    query = stream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    batches = [n for n in seen if n]
+    assert query.exception() is None and len(batches) == 3 and sum(batches) == 400
