@@ -103,16 +103,21 @@ def packed(nodes: DataFrame, value: Column) -> Column:
 def tree_sums(trees: Column, features: Column, depth: int, width: int) -> Column:
     """Sum over all trees of the value at the leaf that ``features`` (array<double>) reaches.
 
-    A missing feature goes the upper way, as does one above the threshold.
+    A missing feature goes the upper way, as does one above the threshold. The features are worked out
+    once a row: an expression inside a lambda would be worked out again at every step of every tree.
     """
 
-    def leaf(tree: Column) -> Column:
+    def leaf(tree: Column, x: Column) -> Column:
         def step(at: Column, _: Column) -> Column:
             feature = F.get(tree["feature"], at)
-            lower = F.get(features, feature) <= F.get(tree["threshold"], at)
+            lower = F.get(x, feature) <= F.get(tree["threshold"], at)
             return F.when(feature < 0, at).when(lower, F.get(tree["below"], at)).otherwise(F.get(tree["above"], at))
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(0), step)
 
     zero = F.array(*[F.lit(0.0)] * width)
-    return F.aggregate(trees, zero, lambda total, tree: F.zip_with(total, F.get(tree["value"], leaf(tree)), lambda a, b: a + b))
+
+    def sums(x: Column) -> Column:
+        return F.aggregate(trees, zero, lambda total, tree: F.zip_with(total, F.get(tree["value"], leaf(tree, x)), lambda a, b: a + b))
+
+    return F.get(F.transform(F.array(features), sums), F.lit(0))

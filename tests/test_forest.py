@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from authsignal.functions.trees import node_table, packed, tree_sums, with_split_floor
+from authsignal.functions.trees import PACKED, node_table, packed, tree_sums, with_split_floor
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,12 @@ def test_scores_from_the_table_equal_the_library(grown, rows, floor):
     for r in got.collect():
         assert r.p == pytest.approx(want[r.id], abs=1e-12)
     assert sum(model.featureImportances.toArray()) == pytest.approx(1)
+
+
+def test_features_of_the_node_walk_are_worked_out_once_a_row(spark):
+    trees = F.from_json(F.lit('[{"feature":[-1],"threshold":[0.0],"below":[0],"above":[0],"value":[[1.0]]}]'), PACKED)
+    rows = spark.createDataFrame([(4.0,)], "v double").select(tree_sums(trees, F.array(F.sqrt("v")), 3, 1).alias("sums"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # what stands inside a lambda is worked out again at every step of every tree
+    assert "SQRT(v" in plan and "SQRT(v" not in plan[plan.index("lambdafunction(") :]
+    assert rows.first().sums == [1.0]
