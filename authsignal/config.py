@@ -174,3 +174,5 @@ class ScaleLimits:
     span_block: int = 4_096
     # groups of subscribers that the rate limiter keeps on a stream, for each stretch of time
     rate_groups: int = 1_024
+    # groups of captures whose windows are kept together on a stream
+    capture_groups: int = 1_024

@@ -4,8 +4,10 @@ A capture starts with its first packet, so its windows can be laid once that pac
 packets wait until the watermark has passed them and are then taken in time order. A window is out
 as soon as a later packet shows that the capture outlasts it; what remains comes when no packet has
 arrived for ``gap``. State per capture is the packets still waiting, the panes and RAND values of
-one window, and one row of totals, so it doesn't grow with the length of the capture. All packets of a
-capture in one micro-batch meet in one task, in batches; ``packet_stream`` bounds them by files.
+one window, and one row of totals, so it doesn't grow with the length of the capture. Captures are
+dealt to ``ScaleLimits.capture_groups`` groups by hash: a group has one state, read and written once a
+call, and one timer, so what a call costs is shared by its captures. All packets of a group in one
+micro-batch meet in one task, in batches; ``packet_stream`` bounds them by files.
 
 The length of a capture is the time of its last packet. Packets that arrive after their capture has
 ended start a new one of that name.
@@ -13,6 +15,7 @@ ended start a new one of that name.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from authsignal.config import SCORE_WEIGHTS, DetectorConfig
+from authsignal.config import SCORE_WEIGHTS, DetectorConfig, ScaleLimits
 from authsignal.operators import forest
 from authsignal.operators.features import (
     COUNTERS,
@@ -42,10 +45,6 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 ROGUE = "rogue"
 BITS = (*COUNTERS, *SEEN, ROGUE)  # what is true of a packet, one bit each
 PANE = (*COUNTERS, *SEEN)
-CLOCK = (
-    "t0 long, last_us long, pending array<struct<flags:long,rand:string>>, next_w long, marked array<long>, "
-    "all_failures long, any_abort boolean, any_rogue boolean, best array<long>"
-)
 WINDOW = (
     "capture string, w long, capture_us long, " + ", ".join(f"{c} long" for c in COUNTERS) + ", "
     + ", ".join(f"{c} boolean" for c in SEEN) + ", rand_repeat int, all_failures long, any_abort boolean, any_rogue boolean, score long"
@@ -61,13 +60,13 @@ class Fold:
     """The totals of one capture and the window it is in; plain data, filled in time order."""
 
     def __init__(self, layout: Layout, clock: tuple | None, panes: dict[int, list[int]], rands: dict[str, int]):
-        self.layout, self.panes, self.rands, self.changed = layout, panes, rands, set()
+        self.layout, self.panes, self.rands = layout, panes, rands
         fields = clock or (None, None, [], 0, [], 0, False, False, None)
         self.t0, self.last_us, self.pending, self.next_w, self.marked, self.failures, self.abort, self.rogue, self.best = fields
         self.pending, self.marked = [tuple(p) for p in self.pending], set(self.marked)
 
-    def clock(self) -> tuple:
-        return (self.t0, self.last_us, self.pending, self.next_w, sorted(self.marked), self.failures, self.abort, self.rogue, self.best)
+    def clock(self) -> tuple | None:
+        return None if self.t0 is None else (self.t0, self.last_us, self.pending, self.next_w, sorted(self.marked), self.failures, self.abort, self.rogue, self.best)
 
     def add(self, us: int, flags: int, rand: str | None) -> Iterator[list[int]]:
         """Take a packet; packets of the latest instant stay pending, as a short capture leaves its last one out."""
@@ -96,7 +95,6 @@ class Fold:
                     last = earlier * lay.pane_us // lay.step_us
                     self.marked.update(range(max(self.first(pane), self.next_w), last + 1))
                 self.rands[rand] = pane
-                self.changed.add(rand)
         self.pending = []
 
     def first(self, pane: int) -> int:
@@ -140,36 +138,57 @@ class Fold:
 
 
 class CaptureProcessor(StatefulProcessor):
-    """Feeds a capture's packets to its :class:`Fold`; emits all windows, or the best one at the end."""
+    """Feeds the packets of a group's captures to their :class:`Fold`; emits all windows, or the best one at the end.
+
+    The state of a group is one value: for each capture that has not ended its clock, panes, RAND values,
+    waiting packets and the time at which it is due without further packets, as plain data.
+    """
 
     def __init__(self, layout: Layout, gap_ms: int, verdicts: bool):
         self.layout, self.gap_ms, self.verdicts = layout, gap_ms, verdicts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", CLOCK)
-        self.panes = handle.getMapState("panes", "pane long", "counts array<long>")
-        self.rands = handle.getMapState("rands", "rand string", "pane long")
-        self.waiting = handle.getListState("waiting", "us long, frame long, flags long, rand string")
+        self.captures = handle.getValueState("captures", "held binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh: dict[str | None, list] = {}
         for part in rows:
-            found = zip(*(part[name].tolist() for name in ("at_us", "frame_no", "flags", "rand")))
-            self.waiting.appendList([(us, frame, flags, rand if isinstance(rand, str) else None) for us, frame, flags, rand in found])
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs())
+            for capture, us, frame, flags, rand in zip(*(part[name].tolist() for name in ("capture", "at_us", "frame_no", "flags", "rand"))):
+                packet = (us, frame, flags, rand if isinstance(rand, str) else None)
+                fresh.setdefault(capture if isinstance(capture, str) else None, []).append(packet)
+        yield from self.advance(fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self.advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def advance(self, key: Any, watermark: int) -> Iterator[pd.DataFrame]:
-        """Take what the watermark has passed; end the capture if nothing came for the gap."""
-        rows = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda r: (r[0], r[1]))
+        yield from self.advance({}, timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, fresh: dict[str | None, list], watermark: int) -> Iterator[pd.DataFrame]:
+        """Take the captures further that have new packets or are due."""
+        stored = self.captures.get()
+        held = pickle.loads(stored[0]) if stored else {}
+        out: list[tuple] = []
+        for capture in {**dict.fromkeys(c for c, state in held.items() if state[-1] <= watermark), **dict.fromkeys(fresh)}:
+            state = self.step(capture, held.pop(capture, (None, {}, {}, [], 0)), fresh.get(capture, []), watermark, out)
+            if state:
+                held[capture] = state
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.captures.update((pickle.dumps(held),))
+            self.handle.registerTimer(min(state[-1] for state in held.values()))
+        else:
+            self.captures.clear()
+        if out:
+            names = ["capture", "w", "capture_us", *PANE, "rand_repeat", "all_failures", "any_abort", "any_rogue", "score"]
+            yield pd.DataFrame(out, columns=names)
+
+    def step(self, capture: str | None, state: tuple, fresh: list, watermark: int, out: list[tuple]) -> tuple | None:
+        """Take what the watermark has passed; end the capture if nothing came for the gap. The new state, or None."""
+        clock, panes, rands, waiting, _ = state
+        rows = sorted([*waiting, *fresh], key=lambda r: (r[0], r[1]))
         ready = [r for r in rows if r[0] <= watermark * 1000]
         late = rows[len(ready) :]
-        panes = {k[0]: list(v[0]) for k, v in self.panes.iterator()}
-        rands = {k[0]: v[0] for k, v in self.rands.iterator()}
-        held = set(panes), set(rands)
-        fold = Fold(self.layout, self.clock.get() if self.clock.exists() else None, panes, rands)
+        fold = Fold(self.layout, clock, panes, rands)
         found = [row for us, _, flags, rand in ready for row in fold.add(us, flags, rand)]
         ended = fold.t0 is not None and not late and watermark >= fold.last_us // 1000 + self.gap_ms
         if ended:
@@ -178,48 +197,24 @@ class CaptureProcessor(StatefulProcessor):
             for row in found:
                 fold.keep_best(row)
             found = [fold.best[1:]] if ended else []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        length = fold.last_us - fold.t0 if self.verdicts and found else None
+        out += self.table(capture, found, fold, length)
         if ended:
-            for state in (self.clock, self.panes, self.rands, self.waiting):
-                state.clear()
-        else:
-            self.store(fold, late, *held)
-            self.handle.registerTimer(late[0][0] // 1000 + 1 if late else fold.last_us // 1000 + self.gap_ms)
-        if found:
-            length = fold.last_us - fold.t0 if self.verdicts else None
-            yield self.table(key[0], found, fold, length)
-
-    def store(self, fold: Fold, late: list, panes: set, rands: set) -> None:
-        if fold.t0 is not None:
-            self.clock.update(fold.clock())
+            return None
         oldest = fold.next_w * self.layout.step_us // self.layout.pane_us
-        for pane in panes | set(fold.panes):
-            if pane < oldest:
-                if pane in panes:
-                    self.panes.removeKey((pane,))
-            else:
-                self.panes.updateValue((pane,), (fold.panes[pane],))
-        for rand in rands | fold.changed:
-            if fold.rands[rand] < oldest:
-                if rand in rands:
-                    self.rands.removeKey((rand,))
-            elif rand in fold.changed:
-                self.rands.updateValue((rand,), (fold.rands[rand],))
-        if late:
-            self.waiting.put([tuple(r) for r in late])
-        else:
-            self.waiting.clear()
+        due = late[0][0] // 1000 + 1 if late else fold.last_us // 1000 + self.gap_ms
+        panes = {pane: counts for pane, counts in fold.panes.items() if pane >= oldest}
+        rands = {rand: pane for rand, pane in fold.rands.items() if pane >= oldest}
+        return (fold.clock(), panes, rands, late, due)
 
-    def table(self, capture: str, found: list[list[int]], fold: Fold, length: int | None) -> pd.DataFrame:
+    def table(self, capture: str | None, found: list[list[int]], fold: Fold, length: int | None) -> list[tuple]:
         rows = []
         for row in found:
             counts = row[2 : 2 + len(COUNTERS)]
             seen = [bool(v) for v in row[2 + len(COUNTERS) : 2 + len(PANE)]]
             whole = [fold.failures, fold.abort, fold.rogue, Fold.score(row)]
             rows.append((capture, row[0], row[1] if length is None else length, *counts, *seen, row[-1], *whole))
-        names = ["capture", "w", "capture_us", *PANE, "rand_repeat", "all_failures", "any_abort", "any_rogue", "score"]
-        return pd.DataFrame(rows, columns=names)
+        return rows
 
 
 def marked(packets: DataFrame, cfg: DetectorConfig) -> DataFrame:
@@ -229,22 +224,27 @@ def marked(packets: DataFrame, cfg: DetectorConfig) -> DataFrame:
     return packets.selectExpr("capture", "ts", "unix_micros(ts) AS at_us", "frame_no", f"{flags} AS flags", "nullif(rand, '') AS rand")
 
 
-def _processed(packets: DataFrame, cfg: DetectorConfig, layout: Layout, gap_seconds: int, verdicts: bool) -> DataFrame:
-    return marked(packets, cfg).groupBy("capture").transformWithStateInPandas(
+def _processed(packets: DataFrame, cfg: DetectorConfig, layout: Layout, gap_seconds: int, verdicts: bool, limits: ScaleLimits) -> DataFrame:
+    part = F.expr(f"cast(pmod(xxhash64(capture), {limits.capture_groups}) AS int)")
+    return marked(packets, cfg).withColumn("part", part).groupBy("part").transformWithStateInPandas(
         CaptureProcessor(layout, gap_seconds * 1000, verdicts), outputStructType=WINDOW, outputMode="append", timeMode="eventtime"
     )
 
 
-def sliding_windows(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), gap_seconds: int = 300) -> DataFrame:
+def sliding_windows(
+    packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), gap_seconds: int = 300, limits: ScaleLimits = ScaleLimits()
+) -> DataFrame:
     """The sliding feature windows of each capture, empty ones and those of short captures included."""
     layout = Layout.sliding(cfg)
-    return derive(_processed(packets, cfg, layout, gap_seconds, False), cfg, layout).select(*FEATURE_COLUMNS)
+    return derive(_processed(packets, cfg, layout, gap_seconds, False, limits), cfg, layout).select(*FEATURE_COLUMNS)
 
 
-def finished_captures(packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), gap_seconds: int = 300) -> DataFrame:
+def finished_captures(
+    packets: DataFrame, cfg: DetectorConfig = DetectorConfig(), gap_seconds: int = 300, limits: ScaleLimits = ScaleLimits()
+) -> DataFrame:
     """One row per capture that has ended: its best window with the whole-capture overrides."""
     layout = Layout.tumbling(cfg)
-    rows = derive(_processed(packets, cfg, layout, gap_seconds, True), cfg, layout)
+    rows = derive(_processed(packets, cfg, layout, gap_seconds, True, limits), cfg, layout)
     return apply_overrides(rows, cfg).withColumn("capture_seconds", F.bround(F.col("capture_us") / F.lit(float(cfg.unit_us)), 2))
 
 

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from authsignal.config import DetectorConfig
+from authsignal.config import DetectorConfig, ScaleLimits
 from authsignal.operators.features import FEATURE_COLUMNS, Layout, sliding_features, tumbling_features
 from authsignal.operators.windows import best_window
 from authsignal.plans import detection, training
@@ -116,3 +117,24 @@ def test_replayed_and_half_written_batches_change_nothing(spark, tmp_path):
     read = commits.read_committed(spark, folder, schema)
     assert sorted(map(tuple, read.collect())) == [("a", 1, 0), ("b", 1, 0), ("b", 3, 10)]
     assert sorted(map(tuple, commits.latest(read, "key").collect())) == [("a", 1), ("b", 3)]
+
+
+def test_captures_share_a_bounded_number_of_groups(spark, tmp_path):
+    packets = [packet(name, i, 1 + i * 7, nas=[86], rand=str(i % 2)) for name in [None, *(f"c{k}" for k in range(30))] for i in range(12)]
+    folder = str(tmp_path / "packets")
+    table(spark, packets).coalesce(1).write.parquet(folder)
+    table(spark, [packet("end", 0, 90_000)]).coalesce(1).write.mode("append").parquet(folder)
+    stream = captures.sliding_windows(jobs.packet_stream(spark, folder, "20 seconds", 1), CFG, 250, ScaleLimits(capture_groups=4))
+    captures.state_store(spark)
+    try:
+        query = commits.committed_sink(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+        query.awaitTermination(300)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert query.exception() is None
+    operators = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    # a state and a timer, with its index, for each group
+    assert 0 < max(o["numRowsTotal"] for o in operators) <= 3 * 4
+    got = commits.read_committed(spark, str(tmp_path / "out"), stream.schema).where("capture IS NULL OR capture <> 'end'")
+    per_capture = {r.capture: (r.n, r.total) for r in got.groupBy("capture").agg(F.count("*").alias("n"), F.sum("total_packets").alias("total")).collect()}
+    assert len(per_capture) == 31 and len(set(per_capture.values())) == 1
