@@ -10,8 +10,8 @@ held-out candidates so that 98 of 100 that pass are right, selects what is added
 
 Nothing is labelled by hand. Base spans are the positive examples, each as it stands and rewritten
 in the other ways, in its own context; the generators' candidates outside base spans are the
-negative ones. The fit uses at most ``Limits.documents`` documents and ``Limits.rows`` candidates of
-each kind and label; every text is scored whole.
+negative ones. The fit uses all candidates of all documents but a fifth, the thresholds those of that
+fifth; every text is scored whole.
 
 All of it is column expressions: patterns, spans, features, tree walks and selection run inside the
 row, so documents are neither shuffled nor gathered. The patterns are written without backtracking
@@ -69,14 +69,6 @@ ENDINGS = r"(?i)(com|org|net|edu|gov|io|de|fr|es|uk)$"
 WORDS = r"(?i)(mail|contact|phone|tel|call|fax|card|visa|pay|addr|host|server|\bip\b)"
 
 
-@dataclass(frozen=True)
-class Limits:
-    """Bounds of the fit; none of them touches what is scored."""
-
-    documents: int = 50_000
-    rows: int = 4_000  # of each kind and label
-
-
 @dataclass(frozen=True)
 class Model:
     trees: Column | None  # one constant
@@ -240,27 +232,18 @@ def examples(docs: DataFrame) -> DataFrame:
     return with_spans(docs).select("doc_id", F.inline(F.concat(*found)))
 
 
-def learn(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit trees and thresholds on a bounded sample of the documents' own candidates."""
-    rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    # at most ``limits.documents`` ids
-    chosen = written(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.documents).distinct(), "chosen")
-    everything = written(examples(rows.join(F.broadcast(chosen), "doc_id", "left_semi")), "examples")
-    sample = None
-    for kind in KINDS:
-        for label in (0, 1):
-            part = everything.where((F.col("kind") == kind) & (F.col("label") == label))
-            part = part.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(limits.rows)
-            sample = part if sample is None else sample.unionByName(part)
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    sample = written(sample.withColumn("held", held).coalesce(4), "sample")
-    counts = {(r["held"], r["label"]) for r in sample.select("held", "label").distinct().collect()}
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit trees and thresholds on all candidates of all documents; those whose ids leave 0 are held out of the fit."""
+    rows = texts(docs, id_col, text_col)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    every = written(examples(rows).withColumn("held", held), "examples")
+    counts = {(r["held"], r["label"]) for r in every.select("held", "label").distinct().collect()}
     if not {(False, 0), (False, 1), (True, 1)} <= counts:
         return Model(None, {})
-    fit = sample.where(~F.col("held")).select(F.col("label").cast("double").alias("y"), array_to_vector("x").alias("features"))
+    fit = every.where(~F.col("held")).select(F.col("label").cast("double").alias("y"), array_to_vector("x").alias("features"))
     boosted = GBTClassifier(labelCol="y", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(fit)
     trees = packed(node_table(boosted), F.array(F.col("prediction") * F.col("tree_weight")))
-    scored = sample.where("held").select("kind", "label", F.floor(probability(trees, F.col("x")) * 100).alias("bin"))
+    scored = every.where("held").select("kind", "label", F.floor(probability(trees, F.col("x")) * 100).alias("bin"))
     # at most 101 bins of each kind
     bins = scored.groupBy("kind", "bin").agg(F.sum("label").alias("right"), F.count("*").alias("n"))
     above = W.partitionBy("kind").orderBy(F.desc("bin"))

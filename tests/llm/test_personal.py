@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.ml.classification import GBTClassifier
@@ -155,3 +156,26 @@ def test_query(spark):
     check(rows, df.collect())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_all_candidates_are_learned_from(documents, monkeypatch):
+    """More candidates of one kind and label than any bounded sample held."""
+    rows = [(i, " ".join(f"{'write' if n % 2 else 'mail'} user{n}@host{i}.com or name at place{n} dot org" for n in range(700))) for i in range(20)]
+    seen = {}
+
+    class Fitted(Exception):
+        pass
+
+    class Counter:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, table):
+            seen.update({r.y: r["count"] for r in table.groupBy("y").count().collect()})
+            raise Fitted
+
+    monkeypatch.setattr(personal, "GBTClassifier", Counter)
+    with pytest.raises(Fitted):
+        personal.learn(documents(rows))
+    fit = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert seen == {1.0: len(fit) * 700 * len(personal.REWRITTEN["email"]), 0.0: len(fit) * 700}
